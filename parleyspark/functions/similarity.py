@@ -142,11 +142,12 @@ def reference_streams(refs: Column, width: int) -> Column:
 def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams) -> DataFrame:
     """Matched and total hypothesis n-grams per order, clipped by the best reference.
 
-    ``grams`` maps a text to array<struct<n, gram>>. Hypothesis (k = -1) and
-    references leave a row in one explode, so most counts combine before the shuffle.
+    ``hyp`` is a word array, ``refs`` an array of them; ``grams`` maps a word
+    array column to array<struct<n, gram>>. Hypothesis (k = -1) and references
+    leave a row in one explode, so most counts combine before the shuffle.
     """
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("k"), hyp.alias("t"))), F.transform(refs, lambda r, k: F.struct(k.alias("k"), r.alias("t"))))
-    rows = df.select(key, F.explode(sides).alias("s")).select(key, "s.k", F.explode(grams(F.col("s.t"))).alias("g"))
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("k"), hyp.alias("w"))), F.transform(refs, lambda r, k: F.struct(k.alias("k"), r.alias("w"))))
+    rows = df.select(key, F.explode(sides).alias("s")).select(key, "s.k", "s.w").select(key, "k", F.explode(grams(F.col("w"))).alias("g"))
     counts = rows.groupBy(key, "g", "k").agg(F.count(F.lit(1)).alias("c"))
     per_gram = counts.groupBy(key, "g").agg(
         F.max(F.when(F.col("k") < 0, F.col("c"))).alias("ch"), F.max(F.when(F.col("k") >= 0, F.col("c"))).alias("cr")
@@ -159,18 +160,16 @@ def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams) ->
 
 def corpus_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) -> DataFrame:
     """BLEU in [0, 1] with exponential smoothing and closest reference length."""
-    grams = lambda c: F.flatten(
-        F.array(*[F.transform(word_grams(bleu_tokens(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, max_n + 1)])
-    )
-    per_n = clipped_counts(df, key, F.col(hyp), F.col(refs), grams)
-    hyp_len = F.size(bleu_tokens(F.col(hyp)))
-    closest = F.array_min(
-        F.transform(refs, lambda r: F.struct(F.abs(F.size(bleu_tokens(r)) - F.col("_h")).alias("d"), F.size(bleu_tokens(r)).alias("l")))
-    )["l"]
-    lengths = df.withColumn("_h", hyp_len).agg(F.sum("_h").alias("h"), F.sum(closest).alias("r"))
+    words = df.select(key, bleu_tokens(F.col(hyp)).alias("_h"), F.transform(refs, bleu_tokens).alias("_r"))
+    tagged = lambda w, n: F.transform(word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
+    per_n = clipped_counts(words, key, F.col("_h"), F.col("_r"), grams)
+    sizes = words.select(F.size("_h").alias("h"), F.transform("_r", lambda r: F.size(r)).alias("r"))
+    closest = F.array_min(F.transform("r", lambda r: F.struct(F.abs(r - F.col("h")).alias("d"), r.alias("l"))))["l"]
+    lengths = sizes.agg(F.sum("h").alias("hyp_len"), F.sum(closest).alias("ref_len"))
     wide = per_n.agg(
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}") for n in range(1, max_n + 1) for c in "mt"]
-    ).withColumns({"h": lengths.select("h").scalar().cast("double"), "r": lengths.select("r").scalar().cast("double")})
+    ).withColumns({"h": lengths.select("hyp_len").scalar().cast("double"), "r": lengths.select("ref_len").scalar().cast("double")})
     smooth, log_sum, usable = F.lit(1.0), F.lit(0.0), F.lit(True)
     for n in range(1, max_n + 1):
         m, t = F.col(f"m{n}"), F.col(f"t{n}")
