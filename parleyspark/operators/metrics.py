@@ -134,33 +134,37 @@ def first_max(df: DataFrame, keys: Sequence[str], objective: str, order: str) ->
     return df.orderBy(F.desc(objective), F.asc(order)).limit(1)
 
 
-def youden(df: DataFrame, removed: Column, score: str, width: float = 1 / 64) -> DataFrame:
-    """Best cut of a drop score: reject when score > cut, cuts rounded to 3 dp.
+def youden(df: DataFrame, removed: Column, scores: Sequence[str], width: float = 1 / 64) -> DataFrame:
+    """Best cut of each drop score: reject when score > cut, cuts rounded to 3 dp.
 
-    A cut between two scores can be decided by counts per distinct
-    (score, cut) pair, so only distinct values take part in the running sum.
+    All scores share one pass. A cut is decided by running counts over distinct
+    values, so rows and cuts never meet in a cross product.
     """
     from parleyspark.operators.ranks import running_before
 
+    named = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in scores]))
     values = (
-        df.filter(F.col(score).isNotNull())
-        .withColumn("_r", removed)
-        .groupBy(F.col(score).alias("v"))
+        df.select(removed.alias("_r"), named.alias("s"))
+        .select("_r", "s.score", "s.v")
+        .filter("v IS NOT NULL")
+        .groupBy("score", "v")
         .agg(F.count_if("_r").alias("r"), F.count_if(~F.col("_r")).alias("k"))
     )
-    cuts = values.select((F.rint(F.col("v") * 1000) / 1000).alias("v")).distinct().withColumn("is_cut", F.lit(True))
+    zero = F.lit(0).cast("bigint")
+    both = F.array(
+        F.struct("v", "r", "k", F.lit(False).alias("is_cut")),
+        F.struct((F.rint(F.col("v") * 1000) / 1000).alias("v"), zero.alias("r"), zero.alias("k"), F.lit(True).alias("is_cut")),
+    )
     merged = (
-        values.withColumn("is_cut", F.lit(False)).unionByName(cuts, allowMissingColumns=True)
-        .groupBy("v")
-        .agg(F.sum(F.coalesce("r", F.lit(0))).alias("r"), F.sum(F.coalesce("k", F.lit(0))).alias("k"), F.max("is_cut").alias("is_cut"))
+        values.select("score", F.inline(both))
+        .groupBy("score", "v")
+        .agg(F.sum("r").alias("r"), F.sum("k").alias("k"), F.max("is_cut").alias("is_cut"))
     )
-    upto = running_before(merged, [], "v", width, ["r", "k"]).filter("is_cut")
-    total = values.agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
-    all_r, all_k = total.select("r").scalar(), total.select("k").scalar()
-    tpr = ratio(all_r - F.col("r_before") - F.col("r"), all_r)
-    fpr = ratio(all_k - F.col("k_before") - F.col("k"), all_k)
-    scored = upto.select(F.col("v").alias("threshold"), (tpr - fpr).alias("j"))
-    return first_max(scored, [], "j", "threshold")
+    upto = running_before(merged, ["score"], "v", width, ["r", "k"]).filter("is_cut")
+    above = lambda c: F.col(f"{c}_total") - F.col(f"{c}_before") - F.col(c)
+    j = ratio(above("r"), F.col("r_total")) - ratio(above("k"), F.col("k_total"))
+    scored = upto.select("score", F.col("v").alias("threshold"), j.alias("j"))
+    return first_max(scored, ["score"], "j", "threshold")
 
 
 def gate_table(df: DataFrame, removed: Column, gates: dict[str, Column], variant: str | None = None) -> DataFrame:

@@ -56,10 +56,10 @@ def align_terms(pairs: DataFrame, source: str, target: str, terms: DataFrame, to
     words = F.regexp_extract_all(F.lower(F.col(target)), F.lit(C.LATIN_WORD), F.lit(0))
     words = F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
     term_list = terms.agg(F.sort_array(F.collect_list("token"))).scalar()
-    rows = pairs.withColumn("_words", words)
+    rows = pairs.withColumns({"_words": words, "_terms": term_list})
     background = rows.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("bg"))
     n_docs = pairs.agg(F.count(F.lit(1))).scalar().cast("double")
-    hits = rows.select("_words", F.explode(F.filter(term_list, lambda t: F.contains(F.col(source), t))).alias("term"))
+    hits = rows.select("_words", F.explode(F.filter("_terms", lambda t: F.contains(F.col(source), t))).alias("term"))
     per_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
     per_word = (
         hits.select("term", F.explode("_words").alias("word"))

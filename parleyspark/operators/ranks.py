@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def running_before(df: DataFrame, keys: Sequence[str], value: str, width: float, sums: Sequence[str]) -> DataFrame:
-    """Add ``<c>_before``: total of c over strictly smaller values of the key.
+    """Add ``<c>_before``, the total of c over strictly smaller values of the key,
+    and ``<c>_total``, the total over the key.
 
     ``df`` holds at most one row per (keys, value).
     """
@@ -24,7 +25,10 @@ def running_before(df: DataFrame, keys: Sequence[str], value: str, width: float,
     totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     across = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_base_{c}") for c in sums]
+        *keys,
+        "_b",
+        *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_base_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(W.partitionBy(*keys)).alias(f"{c}_total") for c in sums],
     )
     inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     joined = bucketed.join(base, [*keys, "_b"])
@@ -53,9 +57,8 @@ def ecdf(df: DataFrame, value: str, width: float = 1 / 1024) -> DataFrame:
     """Share of rows at or below each distinct value."""
     values = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_before(values, [], value, width, ["n"])
-    total = values.agg(F.sum("n")).scalar()
     upto = (F.col("n_before") + F.col("n")).cast("double")
-    return ranked.select(value, (upto / total.cast("double")).alias("ecdf"))
+    return ranked.select(value, (upto / F.col("n_total").cast("double")).alias("ecdf"))
 
 
 def ecdf_at(sample: DataFrame, value: str, points: DataFrame, point: str, out: str, width: float = 1 / 1024) -> DataFrame:
@@ -67,9 +70,8 @@ def ecdf_at(sample: DataFrame, value: str, points: DataFrame, point: str, out: s
     ours = sample.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.lit(1).alias("_n"))
     theirs = points.filter(F.col(point).isNotNull()).select(F.col(point).alias("_v"), F.lit(0).alias("_n"))
     values = ours.union(theirs).groupBy("_v").agg(F.sum("_n").alias("n"))
-    total = values.agg(F.sum("n")).scalar()
     steps = running_before(values, [], "_v", width, ["n"]).select(
-        "_v", ((F.col("n_before") + F.col("n")).cast("double") / total.cast("double")).alias(out)
+        "_v", ((F.col("n_before") + F.col("n")).cast("double") / F.col("n_total").cast("double")).alias(out)
     )
     return points.join(steps, points[point] == steps["_v"], "left").drop("_v")
 
@@ -82,12 +84,10 @@ def quantiles(
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
     ranked = running_before(values, keys, value, width, ["n"])
-    sizes = values.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    ranked = ranked.join(sizes, keys) if keys else ranked.withColumn("_size", values.agg(F.sum("n")).scalar())
     lo, hi = F.col("n_before"), F.col("n_before") + F.col("n")
     aggs = []
     for name, p in probs.items():
-        k = (F.col("_size") - 1).cast("double") * F.lit(p)
+        k = (F.col("n_total") - 1).cast("double") * F.lit(p)
         below, above = F.floor(k), F.ceil(k)
         pick = lambda r: F.max(F.when((lo <= r) & (r < hi), F.col(value)))
         aggs += [pick(below).alias(f"_l_{name}"), pick(above).alias(f"_h_{name}"), F.max(k - below).alias(f"_f_{name}")]
@@ -101,21 +101,20 @@ def quantiles(
 def midranks(values: DataFrame, value: str, n: str, out: str, width: float) -> DataFrame:
     """Average rank of each distinct value given its multiplicity."""
     ranked = running_before(values, [], value, width, [n])
-    return ranked.select(value, (F.col(f"{n}_before") + (F.col(n) + 1) / 2).alias(out), n)
+    rank = F.col(f"{n}_before") + (F.col(n) + 1) / 2
+    return ranked.select(value, rank.alias(out), F.col(f"{n}_total").alias("_total"))
 
 
 def spearman(df: DataFrame, x: str, y: str, width_x: float, width_y: float) -> DataFrame:
     """Rank correlation from pair counts; hot values collapse before any join."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
-    rx = midranks(pairs.groupBy(x).agg(F.sum("n").alias("m")), x, "m", "rx", width_x).drop("m")
-    ry = midranks(pairs.groupBy(y).agg(F.sum("n").alias("m")), y, "m", "ry", width_y).drop("m")
+    rx = midranks(pairs.groupBy(x).agg(F.sum("n").alias("m")), x, "m", "rx", width_x)
+    ry = midranks(pairs.groupBy(y).agg(F.sum("n").alias("m")), y, "m", "ry", width_y).drop("_total")
     joined = pairs.join(rx, x).join(ry, y)
-    size = F.sum("n").cast("double")
-    total = pairs.agg(F.sum("n")).scalar().cast("double")
-    mean = (total + 1) / 2
+    mean = (F.col("_total").cast("double") + 1) / 2
     dx, dy, n = F.col("rx") - mean, F.col("ry") - mean, F.col("n").cast("double")
     sxy, sxx, syy = F.sum(n * dx * dy), F.sum(n * dx * dx), F.sum(n * dy * dy)
-    return joined.agg(F.sum("n").alias("n"), F.try_divide(sxy, F.sqrt(sxx * syy)).alias("rho"), size.alias("_s")).drop("_s")
+    return joined.agg(F.sum("n").alias("n"), F.try_divide(sxy, F.sqrt(sxx * syy)).alias("rho"))
 
 
 def mann_whitney(df: DataFrame, in_first: Column, value: str, width: float) -> DataFrame:

@@ -281,8 +281,7 @@ def _s_youden(score: str) -> str:
 )
 def youden(spark, sf):
     d = graded(spark, sf).select("removed", "drop_raw", "drop_rank")
-    one = lambda s: M.youden(d, F.col("removed"), s).select(F.lit(s).alias("score"), "threshold", "j")
-    return one("drop_raw").unionByName(one("drop_rank"))
+    return M.youden(d, F.col("removed"), ["drop_raw", "drop_rank"])
 
 
 @query(
