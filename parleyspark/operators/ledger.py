@@ -39,7 +39,7 @@ def ledger(calls: DataFrame) -> DataFrame:
 
 def billed_hours(launch: Column, end: Column) -> Column:
     """Hours between two timestamps with the minimum billing time."""
-    seconds = F.unix_micros(end).cast("double") / 1e6 - F.unix_micros(launch).cast("double") / 1e6
+    seconds = (F.unix_micros(end.cast("timestamp")).cast("double") - F.unix_micros(launch.cast("timestamp")).cast("double")) / 1e6
     return F.greatest(seconds, F.lit(float(C.MIN_BILLED_SECONDS))) / F.lit(3600.0)
 
 

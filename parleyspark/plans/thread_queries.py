@@ -347,8 +347,8 @@ def messages(spark, sf):
     return B.turns(spark, sf).withColumn("tokens", T.content_token_count(F.col("text")))
 
 
-def _s_window(max_tokens: int, short: int) -> str:
-    return f"""tk AS (SELECT conv_id, turn, role, text, ({B.s_content_count('text')})::BIGINT AS tokens FROM conversations),
+def _s_window(max_tokens: int, short: int, source: str = "conversations") -> str:
+    return f"""tk AS (SELECT conv_id, turn, role, text, ({B.s_content_count('text')})::BIGINT AS tokens FROM {source}),
         lg AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM tk),
         ps AS (SELECT *, before IS NULL OR text <> before AS push FROM lg),
         pn AS (SELECT *, sum(push::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM ps),
@@ -359,8 +359,9 @@ def _s_window(max_tokens: int, short: int) -> str:
             WHERE suffix <= {max_tokens} OR no = cur_no GROUP BY conv_id, turn)"""
 
 
-def windows(spark, sf, max_tokens=C.MAX_WINDOW_TOKENS, short=C.SHORT_TOKENS):
-    d = Wi.rolling_window(messages(spark, sf), "conv_id", "turn", "text", "tokens", max_tokens=max_tokens, short_tokens=short)
+def windows(spark, sf, max_tokens=C.MAX_WINDOW_TOKENS, short=C.SHORT_TOKENS, rows=None):
+    rows = messages(spark, sf) if rows is None else rows
+    d = Wi.rolling_window(rows, "conv_id", "turn", "text", "tokens", max_tokens=max_tokens, short_tokens=short)
     return d.withColumn("window_text", Wi.window_text(F.col("slots"), "text"))
 
 
@@ -385,15 +386,16 @@ def rolling_window_wide(spark, sf):
 
 
 _SCORE = lambda tag, text: B.s_unit(f"'{tag}|' || {text}")
-_FUSED = f"""{_s_window(1000, 60)}, ms AS (SELECT conv_id % 4 AS kind_id, conv_id, turn, role, text, slots, use_window, {_SCORE('m', 'text')} AS current, {_SCORE('m', 'window_text')} AS win, {_SCORE('kv', 'text')} AS kv FROM wn),
+_FUSION = f"""ms AS (SELECT conv_id % 4 AS kind_id, conv_id, turn, role, text, slots, use_window, {_SCORE('m', 'text')} AS current, {_SCORE('m', 'window_text')} AS win, {_SCORE('kv', 'text')} AS kv FROM wn),
     fu AS (SELECT *, ({B.s_int("'fail|' || text")} % 20) = 0 AS failed FROM ms),
     sc AS (SELECT *, CASE WHEN failed THEN kv WHEN use_window THEN greatest(current, win) ELSE current END AS score FROM fu),
     fl AS (SELECT *, CASE WHEN failed THEN score >= 0.6::DOUBLE ELSE score > 0.5 END AS flagged FROM sc)"""
+_FUSED = f"{_s_window(1000, 60)}, {_FUSION}"
 
 
-def fused(spark, sf):
+def fused(spark, sf, rows=None):
     """Window-fused scores with a fallback where the stand-in scorer fails."""
-    d = windows(spark, sf, 1000, 60)
+    d = windows(spark, sf, 1000, 60, rows)
     d = d.withColumns(
         {
             "current": hash_unit(F.lit("m"), F.col("text")),
@@ -444,17 +446,18 @@ def contact_eviction(spark, sf):
 
 # --- live scoring and incidents -------------------------------------------------------------
 _SUPPRESSED = "conv_id % 17 = 0"
-_LIVE = f"""{_FUSED}, inc AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS seen FROM fl WHERE role <> 'system' AND length({B.s_strip('text')}) >= 5 AND NOT ({_SUPPRESSED})),
+_LIVE = f"""inc AS (SELECT * FROM conversations WHERE role <> 'system' AND length({B.s_strip('text')}) >= 5 AND NOT ({_SUPPRESSED})
+        QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) = 1), {_s_window(1000, 60, 'inc')}, {_FUSION},
     hit AS (SELECT conv_id, turn, text, score, CASE WHEN score >= 0.9::DOUBLE THEN 'high' ELSE 'medium' END AS severity, conv_id * 1000 + turn AS seq,
-        sha256(conv_id || chr(10) || lower({B.s_strip('text')})) AS id FROM inc WHERE seen = 1 AND flagged)"""
+        sha256(conv_id || chr(10) || lower({B.s_strip('text')})) AS id FROM fl WHERE flagged)"""
 
 
 def live_hits(spark, sf):
-    """Scored stream in batch form: filter, suppress, first delivery, flag, severity."""
-    d = fused(spark, sf)
+    """The live path in batch form: filter, suppress, first delivery, window, score, flag."""
     suppressed = table(spark, sf, "conversations").filter(_SUPPRESSED).select("conv_id").distinct()
-    d = d.filter(G.incoming(F.col("role") == "system", F.col("text"))).join(suppressed, "conv_id", "left_anti")
-    d = D.seen_once(d, ["conv_id", "text"], "turn").filter("flagged")
+    rows = messages(spark, sf).filter(G.incoming(F.col("role") == "system", F.col("text")))
+    rows = D.seen_once(rows.join(suppressed, "conv_id", "left_anti"), ["conv_id", "text"], "turn")
+    d = fused(spark, sf, rows).filter("flagged")
     contact = F.col("conv_id").cast("string")
     return d.select(
         "conv_id", "turn", "text", "score", G.severity(F.col("flagged"), F.col("score")).alias("severity"),
@@ -471,20 +474,20 @@ _LOG = f"""WITH RECURSIVE {_LIVE}, o AS (SELECT *, row_number() OVER (ORDER BY s
     st AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS log, []::BIGINT[] AS seqs UNION ALL
         SELECT o.i, CASE WHEN list_contains(st.log, o.id) THEN st.log ELSE list_slice(list_concat([o.id], st.log), 1, 100) END,
         CASE WHEN list_contains(st.log, o.id) THEN st.seqs ELSE list_slice(list_concat([o.seq], st.seqs), 1, 100) END FROM st JOIN o ON o.i = st.i + 1),
-    fin AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs FROM st ORDER BY i DESC LIMIT 1)), lg AS (SELECT hit.* FROM hit JOIN fin ON hit.seq = fin.seq)"""
+    fin AS (SELECT unnest(seqs) AS seq FROM (SELECT seqs FROM st ORDER BY i DESC LIMIT 1)), kept_log AS (SELECT hit.* FROM hit JOIN fin ON hit.seq = fin.seq)"""
 
 
 def incident_rows(spark, sf):
     return I.incident_log(live_hits(spark, sf), "seq", cap=100)
 
 
-@query("incident_log", f"{_LOG} SELECT id, conv_id::VARCHAR AS contact, score, severity, seq FROM lg")
+@query("incident_log", f"{_LOG} SELECT id, conv_id::VARCHAR AS contact, score, severity, seq FROM kept_log")
 def incident_log(spark, sf):
     log = incident_rows(spark, sf)
     return log.select("id", contact_name(F.col("conv_id").cast("string"), "Unknown chat").alias("contact"), "score", "severity", "seq")
 
 
-@query("incident_counters", f"{_LOG} SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high FROM lg")
+@query("incident_counters", f"{_LOG} SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high FROM kept_log")
 def incident_counters(spark, sf):
     return I.counters(incident_rows(spark, sf))
 
@@ -553,11 +556,11 @@ _CALLS = """cl AS (SELECT l_shipdate AS ts_utc, l_returnflag AS job, l_linestatu
 
 @query(
     "ledger_rollup",
-    f"""WITH {_CALLS} SELECT ts_utc::DATE AS date_utc, job, service, model, count(*) AS n_calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(usd), 6) AS usd_estimated
+    f"""WITH {_CALLS} SELECT ts_utc::DATE AS date_utc, job, service, model, count(*) AS n_calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(usd), 8) AS usd_estimated
         FROM us GROUP BY GROUPING SETS ((ts_utc::DATE, job, service, model), ())""",
 )
 def ledger_rollup(spark, sf):
-    return L.ledger(calls(spark, sf)).withColumn("usd_estimated", F.round("usd_estimated", 6))
+    return L.ledger(calls(spark, sf)).withColumn("usd_estimated", F.round("usd_estimated", 8))
 
 
 @query(
@@ -574,7 +577,7 @@ def spend_cap(spark, sf):
 
 @query(
     "compute_cost",
-    """WITH s AS (SELECT user_id, greatest(epoch_us(max(ts))::DOUBLE / 1e6::DOUBLE - epoch_us(min(ts))::DOUBLE / 1e6::DOUBLE, 60.0::DOUBLE) / 3600.0::DOUBLE AS hours FROM events GROUP BY user_id)
+    """WITH s AS (SELECT user_id, greatest((epoch_us(max(ts))::DOUBLE - epoch_us(min(ts))::DOUBLE) / 1e6::DOUBLE, 60.0::DOUBLE) / 3600.0::DOUBLE AS hours FROM events GROUP BY user_id)
         SELECT user_id, hours, round(0.526::DOUBLE * hours, 9) AS compute_usd, round(0.08::DOUBLE * 100.0::DOUBLE * hours / 730.0::DOUBLE, 9) AS disk_usd, round(2.5::DOUBLE * 0.023::DOUBLE * (hours / 730.0::DOUBLE), 9) AS store_usd FROM s""",
 )
 def compute_cost(spark, sf):
