@@ -98,8 +98,9 @@ def read_log(spark: SparkSession, path: str, schema: str, key: str, strict: bool
 
 def read_attempts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Attempt log: last outcome per row with numeric scores, and the bad-line count."""
-    raw = spark.read.schema(ATTEMPT + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    raw = raw.withColumn("_ord", file_order())
+    lines = spark.read.text(path).withColumn("_ord", file_order()).filter(T.strip(F.col("value")) != "")
+    schema = ATTEMPT + ", _corrupt_record string"
+    raw = lines.select("_ord", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("_ord", "r.*")
     bad = raw.agg(F.count("_corrupt_record").alias("corrupt_lines"))
     good = last_wins(raw.filter("_corrupt_record IS NULL AND row_id IS NOT NULL"), ["row_id"], "_ord")
     numeric = {c: F.col(c).try_cast("double") for c in ("hindi_abuse", "hinglish_abuse", "score_delta")}
