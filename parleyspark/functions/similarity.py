@@ -182,6 +182,40 @@ def corpus_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) ->
     return wide.select(F.col("h").cast("bigint").alias("hyp_len"), F.col("r").cast("bigint").alias("ref_len"), score.alias("bleu"))
 
 
+def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) -> DataFrame:
+    """NIST score: information-weighted matches with the length penalty.
+
+    ``hyp`` and ``ref`` are word arrays. Information of an n-gram is the log2
+    ratio of its prefix count to its own count over all references.
+    """
+    tagged = lambda w, n: F.transform(
+        word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+    )
+    grams = lambda c: F.flatten(F.array(*[tagged(F.col(c), n) for n in range(1, max_n + 1)]))
+    sides = [F.transform(grams(c), lambda g, f=flag: F.struct(g.alias("g"), F.lit(f).alias("l"))) for c, flag in ((hyp, 1), (ref, 0))]
+    rows = df.select(key, F.explode(F.concat(*sides)).alias("x")).select(key, "x.g", "x.l")
+    counts = rows.groupBy(key, "g").agg(F.sum("l").alias("ch"), F.sum(1 - F.col("l")).alias("cr"))
+    totals = counts.filter("cr > 0").groupBy("g").agg(F.sum("cr").alias("c"))
+    words = df.agg(F.sum(F.size(ref))).scalar().cast("double")
+    prefix = F.struct((F.col("g.n") - 1).alias("n"), F.regexp_replace("g.gram", " [^ ]*$", "").alias("gram"))
+    keyed = totals.withColumn("_p", prefix)
+    parent = totals.select(F.col("g").alias("_p"), F.col("c").alias("_pc"))
+    joined = keyed.join(parent, "_p", "left")
+    upper = F.when(F.col("g.n") == 1, words).otherwise(F.col("_pc").cast("double"))
+    info = joined.select("g", F.log2(upper / F.col("c").cast("double")).alias("info"))
+    matched = counts.filter("ch > 0 and cr > 0").join(info, "g")
+    gain = matched.groupBy(F.col("g.n").alias("n")).agg(F.sum(F.least("ch", "cr") * F.col("info")).alias("gain"))
+    size = counts.groupBy(F.col("g.n").alias("n")).agg(F.sum("ch").cast("double").alias("total"))
+    mean = size.join(gain, "n", "left").select(F.try_divide(F.coalesce("gain", F.lit(0.0)), F.col("total")).alias("p"))
+    hyp_words = df.agg(F.sum(F.size(hyp))).scalar().cast("double")
+    ratio = hyp_words / words
+    import math
+
+    beta = math.log(0.5) / math.log(1.5) ** 2
+    penalty = F.when(ratio > 0, F.exp(F.lit(beta) * F.pow(F.log(F.least(ratio, F.lit(1.0))), F.lit(2.0)))).otherwise(0.0)
+    return mean.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")).select((F.col("s") * penalty).alias("nist"))
+
+
 def corpus_chrf(df: DataFrame, hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Character F-score in [0, 100] against one reference per row.
 

@@ -142,29 +142,30 @@ def stem_hit(padded: Column, stem: str) -> Column:
     return padded.rlike(f" {stem}{tail} ")
 
 
-def marker_positions(text: Column, surfaces: Iterable[str]) -> Column:
-    """0-based indices of whitespace tokens that carry a marker.
+def token_matches(token: Column, surfaces: Iterable[str]) -> Column:
+    """Token carries a marker: equal to it, or starting with one of five letters or more."""
+    surfaces = list(surfaces)
+    clean = F.regexp_replace(fold_obfuscation(token), C.NOT_WORD_CHAR, "")
+    hit = clean.isin(surfaces)
+    for s in surfaces:
+        if len(s) >= 5:
+            hit = hit | clean.startswith(s)
+    return hit
 
-    Short markers need the whole token; five letters or more may be a prefix.
-    """
+
+def may_have_marker(text: Column, surfaces: Iterable[str]) -> Column:
+    """Cheap necessary test: a marker's letters with only symbols between them."""
+    gap = r"[^\p{L}\p{N}\s\p{Z}]*"
+    return text.rlike("(?iu)" + "|".join(gap.join(s) for s in surfaces))
+
+
+def marker_positions(text: Column, surfaces: Iterable[str]) -> Column:
+    """0-based indices of whitespace tokens that carry a marker."""
     surfaces = list(surfaces)
     parts = F.filter(F.split(text, C.SPACE_RUN), lambda t: t != "")
-    clean = lambda t: F.regexp_replace(fold_obfuscation(t), C.NOT_WORD_CHAR, "")
-
-    def matches(token):
-        hit = token.isin(surfaces)
-        for s in surfaces:
-            if len(s) >= 5:
-                hit = hit | token.startswith(s)
-        return hit
-
-    flags = F.transform(parts, lambda t: matches(clean(t)))
-    indexed = F.transform(flags, lambda f, i: F.when(f, i))
-    # tokens are only inspected where the folded text has a marker at all
-    folded = F.regexp_replace(fold_obfuscation(text), r"[^\p{L}\p{N}_\s\p{Z}]", "")
-    possible = folded.rlike("|".join(surfaces))
+    indexed = F.transform(parts, lambda t, i: F.when(token_matches(t, surfaces), i))
     none = F.array().cast("array<int>")
-    return F.when(possible, F.filter(indexed, lambda i: i.isNotNull())).otherwise(none)
+    return F.when(may_have_marker(text, surfaces), F.filter(indexed, lambda i: i.isNotNull())).otherwise(none)
 
 
 def clean_reply(raw: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parleyspark import config as C
+from parleyspark.session import cut_lineage
 
 
 def _replay(cap: int):
@@ -52,6 +55,7 @@ def incident_log(flagged: DataFrame, order: str, cap: int = C.INCIDENT_CAP, prob
     repeats are so dense that no run exists, the replay starts at the beginning
     and streams through with bounded memory.
     """
+    flagged = cut_lineage(flagged)
     ids = flagged.select("id", order)
     tail = ids.orderBy(F.desc(order)).limit(probe * cap)
     firsts = ids.join(tail.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias("_first"))
@@ -75,16 +79,19 @@ def counters(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
-def running_spend(calls: DataFrame, day: str, order: str, usd: str, cap: float) -> DataFrame:
+def running_spend(calls: DataFrame, blocks: Sequence[str], order: Sequence[str], usd: str, cap: float) -> DataFrame:
     """Calls made before the running total reaches the cap.
 
-    Daily totals carry the sum across days, so each window covers one day.
+    ``blocks`` are leading columns of the order that cut it into stretches of
+    bounded size. Totals per stretch carry the sum on, so no window covers more
+    than one stretch however many calls a day has.
     """
-    daily = calls.groupBy(day).agg(F.sum(usd).alias("_day_usd"))
-    before = W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    base = daily.select(day, F.coalesce(F.sum("_day_usd").over(before), F.lit(0.0)).alias("_base"))
-    inside = W.partitionBy(day).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    spent = calls.join(base, day).withColumn(
+    blocks = list(blocks)
+    totals = calls.groupBy(*blocks).agg(F.sum(usd).alias("_t"))
+    before = W.orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select(*blocks, F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
+    inside = W.partitionBy(*blocks).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    spent = calls.join(base, blocks).withColumn(
         "spent_before", F.col("_base") + F.coalesce(F.sum(usd).over(inside), F.lit(0.0))
     )
     return spent.filter(F.col("spent_before") < F.lit(cap)).drop("_base")

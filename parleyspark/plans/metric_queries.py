@@ -15,7 +15,7 @@ from parleyspark.operators import ranks as R
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
 from parleyspark.plans.text_queries import CORRUPTED, corrupted
-from parleyspark.session import table
+from parleyspark.session import cut_lineage, table
 
 # abusive is y = 1 here; the labels say 0 = abusive
 _Y = "(1 - label)"
@@ -256,7 +256,7 @@ def graded(spark, sf):
     d = d.withColumns({"drop_raw": F.col("h") - F.col("g"), "no_lexicon": ~G.has_stem(F.col("text"))}).drop("text")
     d = R.ecdf_at(d, "h", d, "h", "f_src")
     d = R.ecdf_at(B.label_scores(spark, sf).select("g"), "g", d, "g", "f_out")
-    return d.withColumn("drop_rank", F.col("f_src") - F.col("f_out"))
+    return cut_lineage(d.withColumn("drop_rank", F.col("f_src") - F.col("f_out")))
 
 
 _GRADED = f"""{B.LABELLED}, ec AS (SELECT *, cume_dist() OVER (ORDER BY h) AS f_src, cume_dist() OVER (ORDER BY g) AS f_out FROM lab),
@@ -527,7 +527,7 @@ def fisher_table(spark, sf):
 
 def mann_whitney_stats(spark, sf):
     """Mixing index of rows the score gate drops against rows it keeps."""
-    d = bucketed(spark, sf).filter("label = 0 OR label = 1")
+    d = cut_lineage(bucketed(spark, sf).select("cmi", "h", "g"))
     dropped = ~(F.col("g") >= F.col("h") - C.SCORE_DELTA)
     return R.mann_whitney(d, dropped, "cmi", 0.25)
 
@@ -546,7 +546,7 @@ def mann_whitney(spark, sf):
 
 
 def spearman_stats(spark, sf):
-    return R.spearman(bucketed(spark, sf), "cmi", "g", 0.25, 1 / 256)
+    return R.spearman(cut_lineage(bucketed(spark, sf).select("cmi", "g")), "cmi", "g", 0.25, 1 / 256)
 
 
 @query(

@@ -12,7 +12,7 @@ from parleyspark.operators import metrics as M
 from parleyspark.operators import ranks as R
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
-from parleyspark.session import table
+from parleyspark.session import cut_lineage, table
 
 
 @query(
@@ -64,7 +64,7 @@ def mix_summary(df, keys):
 
     Texts are tokenised once; everything else reads the counts per distinct value.
     """
-    values = (
+    values = cut_lineage(
         T.with_mixing(df)
         .groupBy(*keys, "cmi")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("en_frac").alias("en"), F.sum("switches").alias("sw"))
@@ -162,7 +162,8 @@ def s_positions(t: str, surfaces) -> str:
         (SELECT doc_id, {s_positions('text', C.MARKER_SURFACES)} AS hits FROM documents) WHERE len(hits) > 0""",
 )
 def marker_hits(spark, sf):
-    d = B.documents(spark, sf).withColumn("hits", T.marker_positions(F.col("text"), C.MARKER_SURFACES))
+    d = B.documents(spark, sf).filter(T.may_have_marker(F.col("text"), C.MARKER_SURFACES))
+    d = d.withColumn("hits", T.marker_positions(F.col("text"), C.MARKER_SURFACES))
     return d.filter(F.size("hits") > 0).select(
         "doc_id", F.size("hits").cast("bigint").alias("n_hits"), F.get("hits", F.lit(0)).cast("bigint").alias("first_hit")
     )
@@ -239,34 +240,35 @@ def corruption_variants_of(df, key: str, text: str, source: str):
     swap = F.get(F.array(*[F.lit(w) for w in C.BENIGN_SWAPS]), pick("swap", len(C.BENIGN_SWAPS)))
     injected = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in C.INJECTED_WORDS])
     first, second = (F.get(injected, pick(t, len(C.INJECTED_WORDS))) for t in ("inject1", "inject2"))
-    d = df.withColumn("_toks", F.filter(F.split(text, C.SPACE_RUN), lambda t: t != ""))
+    d = df.filter(T.may_have_marker(F.col(text), C.MARKER_SURFACES))
+    d = d.withColumn("_toks", F.filter(F.split(text, C.SPACE_RUN), lambda t: t != ""))
     d = d.withColumn("_hits", T.marker_positions(F.col(text), C.MARKER_SURFACES)).filter(F.size("_hits") == 1)
     d = d.withColumn("_i", F.get("_hits", F.lit(0)))
     token = F.get("_toks", F.col("_i"))
     aligned = F.lit(False)
     for m in C.MARKERS:
         if m.tier == "hard":
-            aligned = aligned | (F.contains(F.col(source), F.lit(m.stem)) & (F.size(T.marker_positions(token, m.surfaces)) == 1))
+            aligned = aligned | (F.contains(F.col(source), F.lit(m.stem)) & T.token_matches(token, m.surfaces))
     d = d.filter(aligned).withColumn("slur", token)
     i, toks, n = F.col("_i"), F.col("_toks"), F.size("_toks")
     before, after = F.slice(toks, F.lit(1), i), F.slice(toks, i + 2, n)
     join = lambda a: F.array_join(a, " ")
     at = F.least(first["p"], n)
     inject = F.concat(F.slice(toks, F.lit(1), at), F.array(first["w"]), F.slice(toks, at + 1, n), F.array(second["w"]))
-    d = d.withColumns(
-        {
-            "original": F.col(text),
-            "inject_english": join(inject),
-            "drop_slur": join(F.concat(before, after)),
-            "swap_benign": join(F.concat(before, F.array(swap), after)),
-        }
-    )
-    hits = lambda c: F.size(T.marker_positions(F.col(c), C.MARKER_SURFACES))
-    d = d.filter((n >= 3) & (hits("drop_slur") == 0) & (hits("swap_benign") == 0) & (hits("inject_english") == 1))
+    made = {
+        "original": F.col(text),
+        "inject_english": join(inject),
+        "drop_slur": join(F.concat(before, after)),
+        "swap_benign": join(F.concat(before, F.array(swap), after)),
+    }
     truth = lambda v: "preserved" if v in VARIANTS[:2] else "removed"
-    arms = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text"), F.lit(truth(v)).alias("truth")) for v in VARIANTS])
+    arms = F.array(*[F.struct(F.lit(v).alias("variant"), made[v].alias("text"), F.lit(truth(v)).alias("truth")) for v in VARIANTS])
+    d = d.filter(n >= 3).withColumn("_arms", arms)
+    # every variant is searched again: one marker where it must stay, none where it must be gone
+    left = lambda a: F.size(T.marker_positions(a["text"], C.MARKER_SURFACES))
+    d = d.filter(F.forall("_arms", lambda a: left(a) == F.when(a["truth"] == "preserved", 1).otherwise(0)))
     base = [c for c in df.columns if c != text]
-    return d.withColumn("_v", F.explode(arms)).select(*base, "slur", "_v.variant", F.col("_v.text").alias(text), "_v.truth")
+    return d.withColumn("_v", F.explode("_arms")).select(*base, "slur", "_v.variant", F.col("_v.text").alias(text), "_v.truth")
 
 
 def _s_pick(tag, n):

@@ -19,7 +19,7 @@ from parleyspark.operators import threads as Th
 from parleyspark.operators import windows as Wi
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
-from parleyspark.session import table
+from parleyspark.session import cut_lineage, table
 
 
 def order_hash(tag, key):
@@ -523,6 +523,7 @@ def attention_scores(spark, sf):
 def logistic_fit(spark, sf):
     """Class-balanced logistic baseline on standardised features."""
     d = A.with_features(B.labelled(spark, sf), "text", ABUSE_STEMS, BENIGN_STEMS)
+    d = cut_lineage(d.select("doc_id", "label", "feats"))
     n = len(A.BASE_FEATURES) + len(ABUSE_STEMS) + len(BENIGN_STEMS)
     z = A.standardisation(d, "feats", n)
     mean, std = z.select("mean").scalar(), z.select("std").scalar()
@@ -569,10 +570,12 @@ def ledger_rollup(spark, sf):
         SELECT ts_utc::DATE AS day, count(*) AS n_calls, round(max(spent), 4) AS spent_before FROM r WHERE spent < 40.0 GROUP BY 1""",
 )
 def spend_cap(spark, sf):
-    c = calls(spark, sf).select(F.to_date("ts_utc").alias("day"), F.struct("call_id", "l_partkey").alias("ord"), F.col("usd_estimated").alias("usd"))
-    return I.running_spend(c, "day", "ord", "usd", 40.0).groupBy("day").agg(
-        F.count(F.lit(1)).alias("n_calls"), F.round(F.max("spent_before"), 4).alias("spent_before")
+    c = calls(spark, sf).select(
+        F.to_date("ts_utc").alias("day"), F.floor(F.col("call_id") / 65536).alias("stretch"), "call_id", "l_partkey",
+        F.col("usd_estimated").alias("usd"),
     )
+    kept = I.running_spend(c, ["day", "stretch"], ["call_id", "l_partkey"], "usd", 40.0)
+    return kept.groupBy("day").agg(F.count(F.lit(1)).alias("n_calls"), F.round(F.max("spent_before"), 4).alias("spent_before"))
 
 
 @query(

@@ -43,9 +43,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike local checkpoints."""
+    """Compute once and keep the result in the shared checkpoint folder.
+
+    Used for narrow results that several steps read, such as indices derived
+    from whole texts. A lost executor costs a re-read, not a recomputation.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
 
 

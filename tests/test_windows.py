@@ -99,7 +99,7 @@ def test_incident_log_in_batches(spark):
 def test_running_spend(spark):
     rows = [(s // 10, s, 0.25) for s in range(50)]
     df = spark.createDataFrame(rows, "day int, ord int, usd double")
-    assert I.running_spend(df, "day", "ord", "usd", 3.0).count() == 12
+    assert I.running_spend(df, ["day"], ["ord"], "usd", 3.0).count() == 12
 
 
 def test_attention_equals_loop(spark):
