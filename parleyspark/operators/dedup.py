@@ -31,17 +31,21 @@ def norm_key(text: Column) -> Column:
     return F.sha2(T.normalise(text), 256)
 
 
-def first_per_text(df: DataFrame, order: Sequence[str], text: str = "text") -> DataFrame:
-    return first_wins(df.withColumn("_norm", norm_key(F.col(text))), ["_norm"], order).drop("_norm")
+def with_norm(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replace the text by its norm key and a blank flag."""
+    return df.withColumns({"norm": norm_key(F.col(text)), "blank": T.normalise(F.col(text)) == ""}).drop(text)
 
 
-def holdout_reason(train: DataFrame, holdout: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``in_holdout``: same normalised text as a holdout row, or blank."""
-    keys = holdout.select(norm_key(F.col(text)).alias("_norm")).distinct().withColumn("_held", F.lit(True))
-    keyed = train.withColumn("_norm", norm_key(F.col(text)))
-    joined = keyed.join(keys, "_norm", "left")
-    blank = T.normalise(F.col(text)) == ""
-    return joined.withColumn("in_holdout", F.coalesce(F.col("_held"), F.lit(False)) | blank).drop("_held", "_norm")
+def first_per_text(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """First row per norm key."""
+    return first_wins(df, ["norm"], order)
+
+
+def mark_holdout(train: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Add ``in_holdout``: norm key shared with a holdout row, or blank text."""
+    keys = holdout.select("norm").distinct().withColumn("_held", F.lit(True))
+    joined = train.join(keys, "norm", "left")
+    return joined.withColumn("in_holdout", F.coalesce(F.col("_held"), F.lit(False)) | F.col("blank")).drop("_held")
 
 
 def pending(rows: DataFrame, *done: DataFrame, key: str) -> DataFrame:

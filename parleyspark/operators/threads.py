@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parleyspark.functions import text as T
+from parleyspark.session import cut_lineage
 
 
 def threads_from_turns(turns: DataFrame, key: str, order: str, text: str, max_turns: int = 10) -> DataFrame:
@@ -29,14 +30,17 @@ def ancestor_chains(comments: DataFrame, max_hops: int) -> DataFrame:
 
     ``comments`` has id and parent. Chains double in length with each join, so
     nine hops take four joins of id columns. A walk ends at the first id that
-    is not a comment.
+    is not a comment. Each round reads its input twice, so rounds are written
+    out; otherwise the work would double every round.
     """
     chains = comments.filter(F.coalesce("parent", F.lit("")) != "").select("id", F.array("parent").alias("chain"))
+    chains = cut_lineage(chains)
     length = 1
     while length < max_hops:
         nxt = chains.select(F.col("id").alias("_at"), F.col("chain").alias("_more"))
         joined = chains.join(nxt, F.element_at("chain", -1) == F.col("_at"), "left")
-        chains = joined.select("id", F.concat("chain", F.coalesce("_more", F.array().cast("array<string>"))).alias("chain"))
+        longer = F.concat("chain", F.coalesce("_more", F.array().cast("array<string>")))
+        chains = cut_lineage(joined.select("id", longer.alias("chain")))
         length *= 2
     return chains.select("id", F.slice("chain", 1, max_hops).alias("chain"))
 

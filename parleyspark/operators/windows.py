@@ -21,28 +21,37 @@ def _last(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), F.lit(n))
 
 
-def carry_in(df: DataFrame, key: str, order: str, cols: Sequence[str], keep: Column, n: int) -> DataFrame:
-    """Per (key, _block): the last n kept rows of all earlier blocks, oldest first.
+def block_summary(base: DataFrame, key: str, order: str, text: str, cols: Sequence[str], n: int) -> DataFrame:
+    """Per (key, _block): text before the block and the last n slots before it.
 
-    Row ranks inside a block prune to n rows before the shuffle; the window
-    over blocks sees at most n rows per block.
+    One pass finds the slots inside each block. The first row of a block is a
+    slot only if it differs from the last text of the block before; that is
+    settled on the table of blocks, where at most n + 1 slots stand for a block.
     """
-    ranked = df.select(key, "_block", order, *cols, keep.alias("_keep")).withColumn(
-        "_rn", F.row_number().over(W.partitionBy(key, "_block").orderBy(F.desc("_keep"), F.desc(order)))
+    in_block = W.partitionBy(key, "_block").orderBy(order)
+    before = F.lag(text).over(in_block)
+    local = base.select(key, "_block", order, *cols).withColumn("_new", before.isNull() | (F.col(text) != before))
+    ranked = local.withColumn(
+        "_rn", F.row_number().over(W.partitionBy(key, "_block").orderBy(F.desc("_new"), F.desc(order)))
     )
     slot = F.struct(F.col(order), F.col("_block").alias("_from"), *cols)
-    tails = (
-        ranked.filter(F.col("_rn") <= n)
-        .groupBy(key, "_block")
-        .agg(F.sort_array(F.collect_list(F.when(F.col("_keep"), slot))).alias("_tail"))
+    tails = ranked.groupBy(key, "_block").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_new") & (F.col("_rn") <= n + 1), slot))).alias("_tail"),
+        F.min(order).alias("_start"),
+        F.min_by(text, order).alias("_head"),
+        F.max_by(text, order).alias("_end"),
     )
-    filled = F.sum(F.when(F.size("_tail") > 0, 1).otherwise(0)).over(W.partitionBy(key).orderBy("_block"))
+    blocks = W.partitionBy(key).orderBy("_block")
+    tails = tails.withColumn("_before", F.lag("_end").over(blocks))
+    repeat = F.col("_before").isNotNull() & (F.col("_head") == F.col("_before"))
+    true_tail = F.filter("_tail", lambda s: ~(repeat & (s[order] == F.col("_start"))))
+    tails = tails.withColumn("_tail", _last(true_tail, n))
+    # frames count blocks that hold slots, so stretches of repeats cannot hide older slots
+    filled = F.sum(F.when(F.size("_tail") > 0, 1).otherwise(0)).over(blocks)
     frame = W.partitionBy(key).orderBy("_filled").rangeBetween(-n, 0)
-    # blocks of the frame can include this one and later empty ones; keep the earlier slots
-    merged = F.flatten(F.collect_list("_tail").over(frame))
-    out = tails.withColumn("_filled", filled).withColumn("_all", merged)
+    tails = tails.withColumn("_filled", filled).withColumn("_all", F.flatten(F.collect_list("_tail").over(frame)))
     earlier = F.filter("_all", lambda s: s["_from"] < F.col("_block"))
-    return out.select(key, "_block", _last(F.sort_array(earlier), n).alias("_carry"))
+    return tails.select(key, "_block", "_before", _last(F.sort_array(earlier), n).alias("_carry"))
 
 
 def rolling_window(
@@ -68,14 +77,12 @@ def rolling_window(
     base = df.withColumn("_block", block if block is not None else F.floor(F.col(order) / 4096))
     in_block = W.partitionBy(key, "_block").orderBy(order)
 
-    prev = carry_in(base, key, order, [text], F.lit(True), 1)
-    prev = prev.select(key, "_block", F.get("_carry", F.lit(0))[text].alias("_before"))
-    base = base.join(prev, [key, "_block"])
+    summary = block_summary(base, key, order, text, cols, max_slots)
+    base = base.join(summary.select(key, "_block", "_before"), [key, "_block"])
     lagged = F.coalesce(F.lag(text).over(in_block), F.col("_before"))
     base = base.withColumn("_push", lagged.isNull() | (F.col(text) != lagged)).drop("_before")
 
-    carry = carry_in(base, key, order, cols, F.col("_push"), max_slots)
-    halo = carry.select(key, "_block", F.explode("_carry").alias("_s")).select(
+    halo = summary.select(key, "_block", F.explode("_carry").alias("_s")).select(
         key, "_block", F.col(f"_s.{order}").alias(order), *[F.col(f"_s.{c}").alias(c) for c in cols]
     )
     halo = halo.withColumn("_push", F.lit(True)).withColumn("_halo", F.lit(True))

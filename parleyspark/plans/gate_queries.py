@@ -15,6 +15,7 @@ from parleyspark.operators import metrics as M
 from parleyspark.operators import sampling as Sa
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
+from parleyspark.session import cut_lineage
 
 
 @query(
@@ -159,7 +160,7 @@ def release_quarantine(spark, sf):
 )
 def reprocess_quarantine(spark, sf):
     """Rows taken back for another run leave the stored quarantine."""
-    q = outcomes(spark, sf).filter("status <> 'accepted'")
+    q = cut_lineage(outcomes(spark, sf).filter("status <> 'accepted'"))
     ids = q.filter("fail_reason = 'abuse_score_drop'").select("doc_id")
     source = B.labelled(spark, sf).select("doc_id", "split", "label", "text").join(ids, "doc_id", "left_semi")
     again = source.select(F.lit("reprocess").alias("part"), "doc_id", "split", "label", F.md5("text").alias("text_hash"))
@@ -182,39 +183,41 @@ _CLEAN = f"""{B.LABELLED}, tr AS (SELECT *, {B.s_norm('text')} AS norm FROM lab
     fin AS (SELECT *, disagrees AND confidence >= 0.7::DOUBLE AND judge_label = (CASE WHEN g >= 0.5 THEN 0 ELSE 1 END) AND judge_label <> label AS flip FROM rel)"""
 
 
-def clean_train(spark, sf):
-    """Train rows with the first drop reason, then the rows that stay."""
-    lab = B.labelled(spark, sf)
-    train, held = lab.filter("split = 'train'"), lab.filter("split <> 'train'")
-    marked = D.holdout_reason(train, held)
-    norm = T.normalise(F.col("text"))
-    shots = [s.strip().lower() for s in C.SHOT_TEXTS]
+def norm_rows(spark, sf):
+    """Labelled rows with norm keys in place of texts; texts are read once."""
+    shots = [t.strip().lower() for t in C.SHOT_TEXTS]
+    lab = B.labelled(spark, sf).withColumn("is_shot", T.normalise(F.col("text")).isin(shots))
+    return cut_lineage(D.with_norm(lab.select("doc_id", "label", "split", "h", "g", "is_shot", "text")))
+
+
+def clean_train(rows):
+    """(train rows with the first drop reason, the rows that stay)."""
+    train, held = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
     reason = G.first_failure(
         [
-            ("fewshot_leak", norm.isin(shots)),
+            ("fewshot_leak", F.col("is_shot")),
             ("abuse_score_spike", G.non_abusive_spike(F.col("label"), F.col("h"), F.col("g"))),
             ("holdout_or_empty", F.col("in_holdout")),
         ],
         None,
     )
-    marked = marked.withColumn("drop_reason", reason).drop("in_holdout")
+    marked = D.mark_holdout(train, held).withColumn("drop_reason", reason).drop("in_holdout")
     return marked, D.first_per_text(marked.filter("drop_reason IS NULL"), ["doc_id"])
 
 
 @query("dropped_row_log", f"WITH {_CLEAN} SELECT doc_id, label, drop_reason FROM why WHERE drop_reason IS NOT NULL")
 def dropped_row_log(spark, sf):
-    marked, _ = clean_train(spark, sf)
+    marked, _ = clean_train(norm_rows(spark, sf))
     return marked.filter("drop_reason IS NOT NULL").select("doc_id", "label", "drop_reason")
 
 
 @query("train_dedup_first", f"WITH {_CLEAN} SELECT doc_id, label, split FROM kept")
 def train_dedup_first(spark, sf):
-    return clean_train(spark, sf)[1].select("doc_id", "label", "split")
+    return clean_train(norm_rows(spark, sf))[1].select("doc_id", "label", "split")
 
 
-def relabelled(spark, sf):
+def relabelled(kept):
     """Judge verdicts flip a label only when confident, agreed and different."""
-    kept = clean_train(spark, sf)[1]
     j = stable_int(F.lit("judge"), F.col("doc_id").cast("string"))
     verdict = kept.select("doc_id", (j % 2).alias("judge_label"), ((j % 1000).cast("double") / 1000.0).alias("confidence"))
     h, g, label = F.col("h"), F.col("g"), F.col("label")
@@ -233,7 +236,7 @@ def relabelled(spark, sf):
     f"WITH {_CLEAN} SELECT doc_id, label AS old_label, CASE WHEN flip THEN judge_label ELSE label END AS new_label, flip FROM fin",
 )
 def relabel_apply(spark, sf):
-    r = relabelled(spark, sf)
+    r = relabelled(clean_train(norm_rows(spark, sf))[1])
     return r.select("doc_id", F.col("label").alias("old_label"), F.when(F.col("flip"), F.col("judge_label")).otherwise(F.col("label")).alias("new_label"), "flip")
 
 
@@ -245,18 +248,17 @@ def relabel_apply(spark, sf):
         (SELECT count(*) FROM fin WHERE flip) AS relabeled, (SELECT count(*) FROM kept) AS train_out FROM why""",
 )
 def clean_report(spark, sf):
-    marked, kept = clean_train(spark, sf)
+    marked, kept = clean_train(norm_rows(spark, sf))
     n = lambda r: F.count_if(F.col("drop_reason") == r).alias(r)
-    out = relabelled(spark, sf).agg(F.count(F.lit(1)).alias("train_out"), F.count_if("flip").alias("relabeled"))
-    scalar = lambda c: out.select(c).scalar()
-    return marked.agg(
+    dropped = marked.agg(
         F.count(F.lit(1)).alias("train_in"), n("fewshot_leak"), n("abuse_score_spike"), n("holdout_or_empty"),
         F.count_if(F.col("drop_reason").isNull()).alias("_open"),
-    ).select(
+    )
+    out = relabelled(kept).agg(F.count(F.lit(1)).alias("train_out"), F.count_if("flip").alias("relabeled"))
+    both = dropped.withColumn("_one", F.lit(1)).join(out.withColumn("_one", F.lit(1)), "_one")
+    return both.select(
         "train_in", "fewshot_leak", "abuse_score_spike", "holdout_or_empty",
-        (F.col("_open") - scalar("train_out")).alias("train_dups"),
-        scalar("relabeled").alias("relabeled"),
-        scalar("train_out").alias("train_out"),
+        (F.col("_open") - F.col("train_out")).alias("train_dups"), "relabeled", "train_out",
     )
 
 
@@ -269,13 +271,12 @@ def clean_report(spark, sf):
 )
 def merge_rescued(spark, sf):
     """Rescued rows of every split join train, after the holdout and duplicate tests."""
-    lab = B.labelled(spark, sf)
-    kept = clean_train(spark, sf)[1].select("doc_id", "label", "text", F.lit(0).cast("bigint").alias("src"))
-    rescued = lab.filter("g > 0.6D").select(
-        (F.col("doc_id") + 1000000000).alias("doc_id"), "label", "text", F.lit(1).cast("bigint").alias("src")
-    )
-    both = D.holdout_reason(kept.unionByName(rescued), lab.filter("split <> 'train'"))
-    merged = D.first_per_text(both.filter(~F.col("in_holdout")), ["src", "doc_id"])
+    rows = norm_rows(spark, sf)
+    part = lambda d, src: d.select("doc_id", "label", "norm", "blank", F.lit(src).cast("bigint").alias("src"))
+    rescued = rows.filter("g > 0.6D").withColumn("doc_id", F.col("doc_id") + 1000000000)
+    both = part(clean_train(rows)[1], 0).unionByName(part(rescued, 1))
+    open_rows = D.mark_holdout(both, rows.filter("split <> 'train'")).filter(~F.col("in_holdout"))
+    merged = D.first_per_text(open_rows, ["src", "doc_id"])
     return merged.select("doc_id", "label", F.lit("train").alias("split"), "src")
 
 
@@ -352,7 +353,11 @@ def variant_acceptance(spark, sf):
         ],
         None,
     )
-    gen = gen.withColumn("early", early)
+    open_text = lambda c: F.when(F.col("early").isNull(), F.col(c)).alias(c)
+    gen = gen.withColumn("early", early).select(
+        "vid", "kind", "want", "early", "_norm", "judge_label", "judge_conf", open_text("seed_text"), open_text("text")
+    )
+    gen = cut_lineage(gen)
     survivors = gen.filter("early IS NULL").withColumn("cosine", S.ngram_cosine(seed, F.col("text")))
     late = G.first_failure(
         [
@@ -362,7 +367,7 @@ def variant_acceptance(spark, sf):
         ],
         None,
     )
-    survivors = survivors.withColumn("late", late)
+    survivors = cut_lineage(survivors.withColumn("late", late).drop("text", "seed_text"))
     passed = D.first_wins(survivors.filter("late IS NULL"), ["_norm"], ["vid"])
     accepted = passed.orderBy("vid").limit(5000).select("vid", F.lit(True).alias("_in"))
     final = survivors.join(accepted, "vid", "left").withColumn(

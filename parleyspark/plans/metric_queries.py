@@ -722,6 +722,7 @@ _STOP = sorted(set(C.BASE_WORDS) | set(C.ENGLISH_WORDS))
 def term_alignment(spark, sf):
     lab = B.labelled(spark, sf)
     terms = Mi.dirichlet_terms(lab, latin_words(), F.col("label") == 0, top_k=12)
+    terms = [r["token"] for r in terms.select("token").collect()]  # at most twelve
     half = F.floor(F.length("text") / 2).cast("int")
     pairs = lab.select("doc_id", F.substr("text", F.lit(1), half).alias("src"), F.substr(F.col("text"), half + 1).alias("out"))
     a = Mi.align_terms(pairs, "src", "out", terms)

@@ -106,7 +106,7 @@ def cmi_by_lang(spark, sf):
         SELECT 'low' AS side, doc_id, cmi, en_frac FROM r WHERE lo <= 8 UNION ALL SELECT 'high', doc_id, cmi, en_frac FROM r WHERE hi <= 8""",
 )
 def cmi_extremes(spark, sf):
-    d = T.with_mixing(B.documents(spark, sf)).select("doc_id", "cmi", "en_frac")
+    d = cut_lineage(T.with_mixing(B.documents(spark, sf)).select("doc_id", "cmi", "en_frac"))
     side = lambda name, key: d.orderBy(key, F.desc("en_frac"), "doc_id").limit(8).select(F.lit(name).alias("side"), "*")
     return side("low", F.asc("cmi")).unionByName(side("high", F.desc("cmi")))
 

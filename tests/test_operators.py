@@ -70,7 +70,7 @@ def test_attempts_first_pass_wins(spark):
 def test_dedup_is_idempotent(spark):
     rng = random.Random(0)
     rows = [(i, rng.choice(["A  b", "a B", "c", "hot", "HOT "])) for i in range(100)]
-    df = spark.createDataFrame(rows, "id int, text string").repartition(5)
+    df = D.with_norm(spark.createDataFrame(rows, "id int, text string").repartition(5))
     once = D.first_per_text(df, ["id"])
     assert once.count() == 3 and D.first_per_text(once, ["id"]).count() == 3
     assert {r["id"] for r in once.collect()} == {min(i for i, t in rows if " ".join(t.lower().split()) == k) for k in ("a b", "c", "hot")}
