@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -192,7 +193,11 @@ def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) ->
         word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
     )
     grams = lambda c: F.flatten(F.array(*[tagged(F.col(c), n) for n in range(1, max_n + 1)]))
-    sides = [F.transform(grams(c), lambda g, f=flag: F.struct(g.alias("g"), F.lit(f).alias("l"))) for c, flag in ((hyp, 1), (ref, 0))]
+
+    def side(c, flag):
+        return F.transform(grams(c), lambda g: F.struct(g.alias("g"), F.lit(flag).alias("l")))
+
+    sides = [side(hyp, 1), side(ref, 0)]
     rows = df.select(key, F.explode(F.concat(*sides)).alias("x")).select(key, "x.g", "x.l")
     counts = rows.groupBy(key, "g").agg(F.sum("l").alias("ch"), F.sum(1 - F.col("l")).alias("cr"))
     totals = counts.filter("cr > 0").groupBy("g").agg(F.sum("cr").alias("c"))
@@ -209,8 +214,6 @@ def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) ->
     mean = size.join(gain, "n", "left").select(F.try_divide(F.coalesce("gain", F.lit(0.0)), F.col("total")).alias("p"))
     hyp_words = df.agg(F.sum(F.size(hyp))).scalar().cast("double")
     ratio = hyp_words / words
-    import math
-
     beta = math.log(0.5) / math.log(1.5) ** 2
     penalty = F.when(ratio > 0, F.exp(F.lit(beta) * F.pow(F.log(F.least(ratio, F.lit(1.0))), F.lit(2.0)))).otherwise(0.0)
     return mean.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")).select((F.col("s") * penalty).alias("nist"))

@@ -57,6 +57,18 @@ def pending(rows: DataFrame, *done: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.distinct(), key, "left_anti")
 
 
+def attach_all(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Inner lookup by a unique key in which every row must find its match.
+
+    The check runs inside the same job: an unmatched row fails the query.
+    """
+    found = lookup.withColumn("_found", F.lit(True))
+    joined = rows.join(found, key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no match for {key} "), F.col(key).cast("string")))
+    checked = F.when(F.col("_found"), True).otherwise(missing.cast("boolean"))
+    return joined.filter(checked).drop("_found")
+
+
 def seen_once(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """First delivery of each (contact, text)."""
     return first_wins(df, list(keys), [order])

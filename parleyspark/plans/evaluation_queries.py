@@ -107,3 +107,68 @@ def corpus_mix(spark, sf):
     return both.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min(F.length("text")).cast("bigint").alias("shortest")
     )
+
+
+@query(
+    "recode_labels",
+    """SELECT CASE WHEN label IN (0, 1) THEN 0 ELSE 1 END::BIGINT AS label, 0.5::DOUBLE AS weight, count(*) AS n FROM embeddings GROUP BY 1""",
+)
+def recode_labels(spark, sf):
+    """Two of several classes become the abusive class; one weight per source."""
+    e = table(spark, sf, "embeddings").select(F.when(F.col("label").isin(0, 1), 0).otherwise(1).cast("bigint").alias("label"), F.lit(0.5).alias("weight"))
+    return e.groupBy("label", "weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "label_list_scores",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN (event_id % 100)::DOUBLE / 100.0::DOUBLE WHEN 'view' THEN (event_id % 100)::DOUBLE / 100.0::DOUBLE
+        WHEN 'error' THEN 1 - (event_id % 100)::DOUBLE / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events""",
+)
+def label_list_scores(spark, sf):
+    """Abusive probability from whichever class the scorer listed."""
+    from parleyspark.operators import gates as G
+
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    name = F.when(F.col("event_type") == "click", "ABUSIVE").when(F.col("event_type") == "view", "label_0").when(F.col("event_type") == "error", "Label_1").otherwise("other")
+    p = (F.col("event_id") % 100).cast("double") / 100.0
+    return e.select("event_id", G.abusive_score(F.array(F.struct(name.alias("label"), p.alias("score")))).alias("score"))
+
+
+@query(
+    "standardised_scores",
+    """WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd FROM events GROUP BY event_type)
+        SELECT event_id, round((value - m) / greatest(CASE WHEN sd < 1e-6 THEN 1.0 ELSE sd END, 1e-6), 6) AS z FROM events JOIN s USING (event_type)""",
+)
+def standardised_scores(spark, sf):
+    """Population z-scores; the per-group moments are a tiny table."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    s = e.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    sd = F.greatest(F.when(F.col("sd") < 1e-6, 1.0).otherwise(F.col("sd")), F.lit(1e-6))
+    return e.join(s, "event_type").select("event_id", F.round((F.col("value") - F.col("m")) / sd, 6).alias("z"))
+
+
+@query(
+    "vocabulary_difference",
+    f"""WITH w AS (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), {B.lit(Q.C.LATIN_WORD)}))) AS word FROM documents),
+        d AS (SELECT word FROM w WHERE lang = 'en' EXCEPT SELECT word FROM w WHERE lang = 'fr') SELECT length(word) AS n_letters, count(*) AS n FROM d GROUP BY 1""",
+)
+def vocabulary_difference(spark, sf):
+    """Words of one corpus that another does not have."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(Q.C.LATIN_WORD), F.lit(0)))).alias("word")
+    w = B.documents(spark, sf).filter("lang IN ('en', 'fr')").select("lang", words)
+    flags = w.groupBy("word").agg(F.max(F.col("lang") == "en").alias("mine"), F.max(F.col("lang") == "fr").alias("theirs"))
+    only = flags.filter(F.col("mine") & ~F.col("theirs"))
+    return only.groupBy(F.length("word").cast("bigint").alias("n_letters")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "redelivery_results",
+    """WITH f AS (SELECT user_id, event_type, min(event_id) AS first_id, arg_min(value, event_id) AS stored FROM events GROUP BY ALL)
+        SELECT e.event_id, f.first_id, f.stored FROM events e JOIN f ON e.user_id = f.user_id AND e.event_type = f.event_type WHERE e.event_id <> f.first_id""",
+)
+def redelivery_results(spark, sf):
+    """A message seen before takes its stored result instead of a new score."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    keys = ["user_id", "event_type"]
+    first = e.groupBy(*keys).agg(F.min("event_id").alias("first_id"), F.min_by("value", "event_id").alias("stored"))
+    return e.join(first, keys).filter("event_id <> first_id").select("event_id", "first_id", "stored")

@@ -39,6 +39,12 @@ WINDOW = ST.StructType(
 )
 
 
+def use_rocksdb(spark) -> None:
+    """State store that the window state needs; keeps state off the heap."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+
+
 class RollingWindowProcessor(StatefulProcessor):
     """Keeps at most ``max_slots`` slots per contact in state.
 

@@ -182,3 +182,50 @@ def test_cost(spark):
     hours = L.billed_hours(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:10").cast("timestamp"))
     assert val(spark, hours) == pytest.approx(60 / 3600)
     assert str(val(spark, L.parse_end_time(F.lit("User initiated (2024-05-01 10:00:00 GMT)")))) == "2024-05-01 10:00:00"
+
+
+def test_lookup_must_be_complete(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "id int")
+    full = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, v string")
+    assert D.attach_all(rows, full, "id").count() == 2
+    with pytest.raises(Exception, match="no match for id 2"):
+        D.attach_all(rows, full.filter("id <> 2"), "id").collect()
+
+
+def test_nist_against_counters(spark):
+    from collections import Counter
+
+    from parleyspark.functions import similarity as S
+
+    rng = random.Random(8)
+    rows = [(i, [rng.choice("abcde") for _ in range(rng.randint(3, 9))], [rng.choice("abcde") for _ in range(rng.randint(3, 9))]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, h array<string>, r array<string>")
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    freq = Counter(g for _, _, r in rows for n in range(1, 6) for g in grams(r, n))
+    words = sum(len(r) for _, _, r in rows)
+    total = 0.0
+    for n in range(1, 6):
+        num = den = 0.0
+        for _, h, r in rows:
+            ch, cr = Counter(grams(h, n)), Counter(grams(r, n))
+            den += sum(ch.values())
+            for g, c in (ch & cr).items():
+                num += c * math.log2((freq[g[:-1]] if n > 1 else words) / freq[g])
+        total += num / den if den else 0.0
+    ratio = sum(len(h) for _, h, _ in rows) / words
+    beta = math.log(0.5) / math.log(1.5) ** 2
+    penalty = math.exp(beta * math.log(min(ratio, 1.0)) ** 2)
+    assert S.corpus_nist(df, "id", "h", "r").first()["nist"] == pytest.approx(total * penalty)
+
+
+def test_batch_scorer_and_unique_scores(spark):
+    from parleyspark.operators import scoring as Sc
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([len(t) / 10 for t in texts], dtype="float64")
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "hello")], "id int, text string")
+    got = {r["id"]: r["score"] for r in Sc.score_unique(df, "text", Sc.batch_scorer(load)).collect()}
+    assert got == {1: pytest.approx(0.3), 2: pytest.approx(0.3), 3: pytest.approx(0.5)}
