@@ -534,6 +534,20 @@ def logistic_fit(spark, sf):
     return rows.select("doc_id", "y", A.logistic_score(F.col("x"), w, b).alias("score"))
 
 
+@query("attention_training")
+def attention_training(spark, sf):
+    """Split texts as four-slot examples: train the attention, then score them."""
+    from parleyspark.operators.training import train_attention
+
+    d = B.labelled(spark, sf).withColumn("toks", T.tokens(F.col("text"))).withColumn("parts", T.four_way_split(F.col("toks")))
+    pieces = d.filter("parts IS NOT NULL").select("doc_id", (1 - F.col("label")).alias("y"), F.posexplode("parts").alias("pos", "text"))
+    feats = A.with_features(pieces, "text", ABUSE_STEMS, BENIGN_STEMS)
+    slots = feats.groupBy("doc_id", "y").agg(F.sort_array(F.collect_list(F.struct("pos", "feats"))).alias("_s"))
+    rows = cut_lineage(slots.select("doc_id", "y", F.col("_s.feats").alias("slots")))
+    w, _ = train_attention(rows, "doc_id", "slots", "y", weights(), epochs=3, steps=2)
+    return rows.select("doc_id", "y", A.attention_udf(w)(F.col("slots"))["score"].alias("score"))
+
+
 # --- ledger ------------------------------------------------------------------------------------
 def calls(spark, sf):
     """Line items as metered calls: quantity and price stand for token counts."""
