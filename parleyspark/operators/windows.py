@@ -54,6 +54,21 @@ def block_summary(base: DataFrame, key: str, order: str, text: str, cols: Sequen
     return tails.select(key, "_block", "_before", _last(F.sort_array(earlier), n).alias("_carry"))
 
 
+def with_blocks(df: DataFrame, key: str, order: str, block_rows: int) -> DataFrame:
+    """Add ``_block``: NULL for ordinary keys, else a stretch of the order column.
+
+    Keys are counted on the map side. Only those with more than ``block_rows``
+    rows are cut, into stretches of about that many, so the lookup table has at
+    most rows / block_rows entries and quiet contacts cost nothing extra.
+    """
+    at = F.col(order).cast("double")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    busy = sizes.filter(F.col("_n") > block_rows)
+    width = (F.col("_hi") - F.col("_lo") + 1.0) / F.ceil(F.col("_n") / F.lit(block_rows))
+    joined = df.join(busy, key, "left")
+    return joined.withColumn("_block", F.floor((at - F.col("_lo")) / width)).drop("_n", "_lo", "_hi")
+
+
 def rolling_window(
     df: DataFrame,
     key: str,
@@ -63,6 +78,7 @@ def rolling_window(
     *,
     payload: Sequence[str] = (),
     block: Column | None = None,
+    block_rows: int = 65_536,
     max_slots: int = C.MAX_SLOTS,
     max_tokens: int = C.MAX_WINDOW_TOKENS,
     short_tokens: int = C.SHORT_TOKENS,
@@ -72,13 +88,14 @@ def rolling_window(
     A message equal to the one before it adds no slot. The kept slots are the
     longest suffix within both limits, never less than the newest slot.
     ``payload`` columns travel inside the slots; the order must be total per key.
+    Keys above ``block_rows`` rows are cut into blocks; ``block`` states the cut.
     """
     cols = [text, tokens, *payload]
-    base = df.withColumn("_block", block if block is not None else F.floor(F.col(order) / 4096))
+    base = with_blocks(df, key, order, block_rows) if block is None else df.withColumn("_block", block)
     in_block = W.partitionBy(key, "_block").orderBy(order)
 
-    summary = block_summary(base, key, order, text, cols, max_slots)
-    base = base.join(summary.select(key, "_block", "_before"), [key, "_block"])
+    summary = block_summary(base.filter("_block IS NOT NULL"), key, order, text, cols, max_slots)
+    base = base.join(summary.select(key, "_block", "_before"), [key, "_block"], "left")
     lagged = F.coalesce(F.lag(text).over(in_block), F.col("_before"))
     base = base.withColumn("_push", lagged.isNull() | (F.col(text) != lagged)).drop("_before")
 

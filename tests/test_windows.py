@@ -26,9 +26,9 @@ def replay_window(rows, max_slots, max_tokens):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 7, 1000])
+@pytest.mark.parametrize("block", [3, 7, 1000, None])
 def test_window_equals_replay_with_hot_contact_and_repeats(spark, block):
-    rng = random.Random(block)
+    rng = random.Random(block or 5)
     rows = []
     for seq in range(400):
         contact = "hot" if rng.random() < 0.5 else f"c{rng.randint(0, 5)}"
@@ -39,7 +39,7 @@ def test_window_equals_replay_with_hot_contact_and_repeats(spark, block):
     rows = [(c, s, t, fixed.setdefault((c, t), k)) for c, s, t, k in rows]
     want = replay_window(rows, 8, 96)
     df = spark.createDataFrame(rows, "contact string, seq bigint, text string, tokens bigint")
-    got = Wi.rolling_window(df, "contact", "seq", "text", "tokens", block=F.floor(F.col("seq") / block))
+    got = Wi.rolling_window(df, "contact", "seq", "text", "tokens", **({"block": F.floor(F.col("seq") / block)} if block else {"block_rows": 40}))
     got = {(r["contact"], r["seq"]): [s["text"] for s in r["slots"]] for r in got.collect()}
     assert got == want
 
