@@ -148,7 +148,7 @@ def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams) ->
     leave a row in one explode, so most counts combine before the shuffle.
     """
     sides = F.concat(F.array(F.struct(F.lit(-1).alias("k"), hyp.alias("w"))), F.transform(refs, lambda r, k: F.struct(k.alias("k"), r.alias("w"))))
-    rows = df.select(key, F.explode(sides).alias("s")).select(key, "s.k", "s.w").select(key, "k", F.explode(grams(F.col("w"))).alias("g"))
+    rows = df.select(key, F.explode_outer(sides).alias("s")).select(key, "s.k", "s.w").select(key, "k", F.explode_outer(grams(F.col("w"))).alias("g")).filter("g IS NOT NULL")
     counts = rows.groupBy(key, "g", "k").agg(F.count(F.lit(1)).alias("c"))
     per_gram = counts.groupBy(key, "g").agg(
         F.max(F.when(F.col("k") < 0, F.col("c"))).alias("ch"), F.max(F.when(F.col("k") >= 0, F.col("c"))).alias("cr")
@@ -198,7 +198,7 @@ def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) ->
         return F.transform(grams(c), lambda g: F.struct(g.alias("g"), F.lit(flag).alias("l")))
 
     sides = [side(hyp, 1), side(ref, 0)]
-    rows = df.select(key, F.explode(F.concat(*sides)).alias("x")).select(key, "x.g", "x.l")
+    rows = df.select(key, F.explode_outer(F.concat(*sides)).alias("x")).filter("x IS NOT NULL").select(key, "x.g", "x.l")
     counts = rows.groupBy(key, "g").agg(F.sum("l").alias("ch"), F.sum(1 - F.col("l")).alias("cr"))
     totals = counts.filter("cr > 0").groupBy("g").agg(F.sum("cr").alias("c"))
     words = df.agg(F.sum(F.size(ref))).scalar().cast("double")
@@ -225,7 +225,7 @@ def corpus_chrf(df: DataFrame, hyp: str, ref: str, order: int = 6, beta: float =
     Each row returns its counts per order; the sums are an ordinary aggregate.
     """
     squeeze = lambda c: F.regexp_replace(F.col(c), r"[\s\p{Z}]+", "")
-    rows = df.select(F.posexplode(overlap_udf(order)(squeeze(hyp), squeeze(ref))).alias("n", "c"))
+    rows = df.select(F.posexplode_outer(overlap_udf(order)(squeeze(hyp), squeeze(ref))).alias("n", "c"))
     at = lambda i: F.sum(F.get("c", F.lit(i))).cast("double")
     per_n = rows.groupBy("n").agg(at(0).alias("m"), at(1).alias("h"), at(2).alias("r")).filter("h > 0 and r > 0")
     means = per_n.agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))

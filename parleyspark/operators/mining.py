@@ -14,8 +14,9 @@ from parleyspark.session import cut_lineage
 def presence_counts(df: DataFrame, words: Column, in_first: Column) -> DataFrame:
     """Documents per word and side. Words are distinct per document and the
     counts combine on the map side, so a frequent word is never one big group."""
-    exploded = df.select(in_first.alias("_a"), F.explode(F.array_distinct(words)).alias("token"))
-    return exploded.groupBy("token").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
+    # the outer form keeps the optimiser from testing the word array a second time
+    exploded = df.select(in_first.alias("_a"), F.explode_outer(F.array_distinct(words)).alias("token"))
+    return exploded.filter("token IS NOT NULL").groupBy("token").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
 
 
 def _side_totals(df: DataFrame, *cols: Column) -> list[float]:
@@ -64,7 +65,7 @@ def align_terms(pairs: DataFrame, source: str, target: str, terms: list[str], to
     here = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col(source), t))
     blank = F.array(F.lit(""))
     rows = pairs.select(F.concat(blank, words).alias("words"), F.concat(blank, here).alias("terms"))
-    exploded = rows.select("words", F.explode("terms").alias("term")).select("term", F.explode("words").alias("word"))
+    exploded = rows.select("words", F.explode_outer("terms").alias("term")).select("term", F.explode_outer("words").alias("word"))
     counts = cut_lineage(exploded.groupBy("term", "word").agg(F.count(F.lit(1)).alias("k")))
     (n_docs,) = _side_totals(counts.filter("term = '' AND word = ''"), F.max("k"))
     docs = counts.filter("term <> '' AND word = ''").select("term", F.col("k").alias("docs")).filter(F.col("docs") >= min_docs)

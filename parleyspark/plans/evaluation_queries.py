@@ -154,9 +154,9 @@ def standardised_scores(spark, sf):
 )
 def vocabulary_difference(spark, sf):
     """Words of one corpus that another does not have."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(Q.C.LATIN_WORD), F.lit(0)))).alias("word")
+    words = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(Q.C.LATIN_WORD), F.lit(0)))).alias("word")
     w = B.documents(spark, sf).filter("lang IN ('en', 'fr')").select("lang", words)
-    flags = w.groupBy("word").agg(F.max(F.col("lang") == "en").alias("mine"), F.max(F.col("lang") == "fr").alias("theirs"))
+    flags = w.filter("word IS NOT NULL").groupBy("word").agg(F.max(F.col("lang") == "en").alias("mine"), F.max(F.col("lang") == "fr").alias("theirs"))
     only = flags.filter(F.col("mine") & ~F.col("theirs"))
     return only.groupBy(F.length("word").cast("bigint").alias("n_letters")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -12,7 +12,7 @@ from parleyspark.operators import metrics as M
 from parleyspark.operators import ranks as R
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
-from parleyspark.session import cut_lineage, table
+from parleyspark.session import computed_once, cut_lineage, table
 
 
 @query(
@@ -162,8 +162,8 @@ def s_positions(t: str, surfaces) -> str:
         (SELECT doc_id, {s_positions('text', C.MARKER_SURFACES)} AS hits FROM documents) WHERE len(hits) > 0""",
 )
 def marker_hits(spark, sf):
-    d = B.documents(spark, sf).filter(T.may_have_marker(F.col("text"), C.MARKER_SURFACES))
-    d = d.withColumn("hits", T.marker_positions(F.col("text"), C.MARKER_SURFACES))
+    d = computed_once(B.documents(spark, sf), may=T.may_have_marker(F.col("text"), C.MARKER_SURFACES)).filter("may")
+    d = computed_once(d.select("doc_id", "text"), hits=T.marker_positions(F.col("text"), C.MARKER_SURFACES))
     return d.filter(F.size("hits") > 0).select(
         "doc_id", F.size("hits").cast("bigint").alias("n_hits"), F.get("hits", F.lit(0)).cast("bigint").alias("first_hit")
     )
@@ -240,11 +240,15 @@ def corruption_variants_of(df, key: str, text: str, source: str):
     swap = F.get(F.array(*[F.lit(w) for w in C.BENIGN_SWAPS]), pick("swap", len(C.BENIGN_SWAPS)))
     injected = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in C.INJECTED_WORDS])
     first, second = (F.get(injected, pick(t, len(C.INJECTED_WORDS))) for t in ("inject1", "inject2"))
-    d = df.filter(T.may_have_marker(F.col(text), C.MARKER_SURFACES))
-    d = d.withColumn("_toks", F.filter(F.split(text, C.SPACE_RUN), lambda t: t != ""))
-    d = d.withColumn("_hits", T.marker_positions(F.col(text), C.MARKER_SURFACES)).filter(F.size("_hits") == 1)
+    d = computed_once(df, _may=T.may_have_marker(F.col(text), C.MARKER_SURFACES)).filter("_may")
+    d = computed_once(
+        d,
+        _toks=F.filter(F.split(text, C.SPACE_RUN), lambda t: t != ""),
+        _hits=T.marker_positions(F.col(text), C.MARKER_SURFACES),
+    ).filter(F.size("_hits") == 1)
     d = d.withColumn("_i", F.get("_hits", F.lit(0)))
-    token = F.get("_toks", F.col("_i"))
+    d = computed_once(d, _token=F.get("_toks", F.col("_i")))
+    token = F.col("_token")
     aligned = F.lit(False)
     for m in C.MARKERS:
         if m.tier == "hard":
@@ -263,7 +267,7 @@ def corruption_variants_of(df, key: str, text: str, source: str):
     }
     truth = lambda v: "preserved" if v in VARIANTS[:2] else "removed"
     arms = F.array(*[F.struct(F.lit(v).alias("variant"), made[v].alias("text"), F.lit(truth(v)).alias("truth")) for v in VARIANTS])
-    d = d.filter(n >= 3).withColumn("_arms", arms)
+    d = computed_once(d.filter(n >= 3), _arms=arms)
     # every variant is searched again: one marker where it must stay, none where it must be gone
     left = lambda a: F.size(T.marker_positions(a["text"], C.MARKER_SURFACES))
     d = d.filter(F.forall("_arms", lambda a: left(a) == F.when(a["truth"] == "preserved", 1).otherwise(0)))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "parleyspark", master: str | None = None, **conf) -> SparkSession:
@@ -67,3 +68,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def computed_once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that later filters and projections read but never recompute.
+
+    A filter on a plain computed column is pushed below its projection, which
+    evaluates the expression again for every use. Values that leave a generator
+    stay values. No shuffle and no extra row is involved.
+    """
+    held = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode_outer(held).alias("_held")).select(*df.columns, "_held.*")
