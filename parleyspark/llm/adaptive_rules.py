@@ -34,13 +34,15 @@ class Rules:
 
     A fence lies `reach` spreads beyond the `outer` quantile (and below the 1 - outer quantile where a rule
     has a lower side). The spread is the distance between the outer quantile and the median, at least the
-    rule's slack, so that a group of alike documents is not cut by noise.
+    rule's slack, so that a group of alike documents is not cut by noise. Rates of short texts scatter more:
+    a fence is `noise` slacks wider at one word, falling with the square root of the number of words.
     """
 
     error: float = 0.02
     least: int = 50
     outer: float = 0.75
     reach: float = 6.0
+    noise: float = 60.0
 
     @property
     def gamma(self) -> float:
@@ -145,14 +147,15 @@ def fences(counts: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("la
     return chosen.groupBy(*by).agg(*[of(r, side) for r in RATES for side in ("low", "high")])
 
 
-def judge(measured: DataFrame, limits: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """measured with base_failed and kept: not base_failed, and no rate outside its group's fences."""
     judged = join_small(measured, limits, list(by), "left")
     inside = F.lit(True)
-    for rule, (*_, lower) in RATES.items():
-        inside = inside & F.coalesce(_rate(rule) <= F.col(f"high_{rule}"), F.lit(True))
+    for rule, (*_, slack, lower) in RATES.items():
+        room = slack * rules.noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+        inside = inside & F.coalesce(_rate(rule) <= F.col(f"high_{rule}") + room, F.lit(True))
         if lower:
-            inside = inside & F.coalesce(_rate(rule) >= F.col(f"low_{rule}"), F.lit(True))
+            inside = inside & F.coalesce(_rate(rule) >= F.col(f"low_{rule}") - room, F.lit(True))
     names = [f"{side}_{r}" for r in RATES for side in ("low", "high")]
     return judged.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop(*names)
 
@@ -164,4 +167,4 @@ def adaptive_rules(docs: DataFrame, rules: Rules = Rules(), by: tuple[str, ...]
     """
     measured = measure(docs) if measured is None else measured
     limits = keep(fences(sketches(measured, rules, by), rules, by))
-    return judge(measured, limits, by)
+    return judge(measured, limits, rules, by)
