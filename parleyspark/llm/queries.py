@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, hash_tree
+from parleyspark.llm import adaptive_rules, balance, hash_tree
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -25,6 +25,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_entropy_balance")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = balance.mix(docs)
+    taken = (F.col("mix_size") * F.col("mix_copies")).cast("long")
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        taken.alias("taken"), "source", F.col("mix_copies").alias("copies"),
+    )
+
+
 @query("op4_adaptive_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of adaptive thresholds on every document."""
