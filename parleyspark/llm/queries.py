@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, hash_tree
+from parleyspark.llm import adaptive_rules, balance, hash_tree, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -37,6 +37,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_segment_simhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op4_adaptive_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of adaptive thresholds on every document."""
