@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, hash_tree, simhash
+from parleyspark.llm import adaptive_rules, balance, hash_tree, line_runs, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -59,3 +59,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = hash_tree.shard_documents(docs, hash_tree.tree(24), hash_tree.tree(25))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
+
+
+#: The twin reads the lines of all documents and finds shared keys by plain grouping.
+_LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), s AS (
+  SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), m AS (
+  SELECT k.doc_id, k.line, k.i, (s.owner IS NOT NULL AND s.owner <> k.doc_id) AS gone FROM k LEFT JOIN s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op8_line_runs", _LINES)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after dropping shared ones."""
+    out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("dropped_count").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
