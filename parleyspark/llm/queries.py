@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, hash_tree, line_runs, simhash
+from parleyspark.llm import adaptive_rules, balance, hash_tree, line_runs, packing, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
+#: The tokenizer whose ids are packed.
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
@@ -84,3 +86,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after dropping shared ones."""
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("dropped_count").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
