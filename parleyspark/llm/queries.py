@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, hash_tree, line_runs, packing, simhash
+from parleyspark.llm import adaptive_rules, balance, cover_tree, hash_tree, line_runs, packing, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -63,6 +63,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+_TOP = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+) WHERE rank <= 5
+"""
+
+
+@query("op7_cover_tree", _TOP)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best scores of every 50th vector."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 #: The twin reads the lines of all documents and finds shared keys by plain grouping.
 _LINES = r"""
 WITH l AS (
