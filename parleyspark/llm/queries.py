@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, cover_tree, hash_tree, line_runs, packing, simhash
+from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, packing, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -27,6 +27,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_class_bigrams")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of four fifths of them."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    return class_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), fold == 1)
+
+
 @query("op2_entropy_balance")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
