@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, packing, simhash
+from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, ordinal, packing, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -62,6 +62,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *adaptive_rules.MEASURES[:5], "base_failed", "kept")
 
 
+@query("op5_ordinal_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document by a model of a sample of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return ordinal.severity(docs, model)
+
+
 @query("op6_hash_tree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards in a tree of four regions and three racks each, and with one more shard."""
