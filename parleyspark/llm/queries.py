@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, ordinal, packing, simhash
+from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, ordinal, packing, semicrf, simhash
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -133,3 +133,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query("op10_semi_markov_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: pattern spans, and those that the field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = semicrf.find(docs, semicrf.train(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in semicrf.KINDS],
+        F.sha2(line(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
+    )
