@@ -4,8 +4,9 @@ Narrow entries (document, line hash) leave the texts once. They come in batches;
 merge-anti-joined with the live runs to tell fresh hashes from known ones, and added as a run of its own:
 fresh hashes with their counts, known ones as counts to add. When a level has `fanout` runs, they are merged
 into one run of the next level, so the number of live runs stays logarithmic in the number of batches. A run
-is a table of (hash, documents, owner), bucketed and sorted by hash: joining a batch with it moves and sorts
-the batch only.
+is a table of (hash, documents, owner), bucketed and sorted by hash: joining a batch with it moves the batch
+only. Merging reads the runs' files as plain ones, for a union of bucketed tables is grouped wrongly: each
+table's buckets count as dealt alike even where the scan is not by bucket.
 
 A line goes if its hash is in at least `least` documents and its document is not the owner, the largest
 doc_id that holds it. Only those lines travel back: each document gets the places of its dropped lines.
@@ -50,23 +51,30 @@ def text_hash(text: Column) -> Column:
 
 @dataclass
 class LineRuns:
-    """Live runs by level. Tables lie in the shared folder; `buckets` is fixed for the life of the runs."""
+    """Live runs by level. Tables lie in the shared folder; `buckets` is fixed for the life of the runs. owner: type of doc_id."""
 
     spark: SparkSession
     buckets: int
     fanout: int = 4
+    owner: str = "bigint"
     levels: list[list[str]] = field(default_factory=list)
 
+    def _path(self, name: str) -> str:
+        return f"{checkpoint_root(self.spark).rstrip('/')}/{name}"
+
     def _write(self, rows: DataFrame) -> str:
         name = f"llm_run_{uuid.uuid4().hex}"
-        path = f"{checkpoint_root(self.spark).rstrip('/')}/{name}"
         dealt = rows.select("h", "g", "n", "owner").repartition(self.buckets, "h", "g")
-        dealt.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", path).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").option("path", self._path(name)).saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        rows = self.spark.read.schema("h bigint, g bigint, n bigint, owner " + self.owner).parquet(*map(self._path, names))
+        return rows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+
     def add(self, entries: DataFrame) -> None:
         """entries: (doc_id, h, g), each hash once a document. Adds one run; compacts levels that are full."""
         batch = keep(entries.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")))
@@ -84,7 +92,7 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._place(self._write(merged([self.spark.table(n) for n in full])), level + 1)
+            self._place(self._write(self._merged(full)), level + 1)
             self._drop(full)
 
     def _drop(self, names: list[str]) -> None:
@@ -93,17 +101,13 @@ class LineRuns:
 
     def shared(self, least: int) -> DataFrame:
         """(h, g, owner) of hashes in at least `least` documents, over all runs."""
-        return merged(self.runs()).where(F.col("n") >= least).select("h", "g", "owner")
+        return self._merged([name for level in self.levels for name in level]).where(F.col("n") >= least).select("h", "g", "owner")
 
     def close(self) -> None:
         self._drop([name for level in self.levels for name in level])
         self.levels = []
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
-
-
 def _cut(whole: Column, places: Column) -> Column:
     """whole without the elements at the ascending places: the stretches between them, joined."""
     ends = F.concat(places, F.array(F.size(whole)))
@@ -119,7 +123,7 @@ def dropped_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches:
     marked = let(F.array_sort(places), lambda s: F.transform(s, lambda x, k: F.struct(x["key"]["h"].alias("h"), x["key"]["g"].alias("g"), x["place"].alias("place"), (~F.get(s, k - 1)["key"].eqNullSafe(x["key"])).alias("first"))))
     each = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.explode(marked).alias("e"))
     entries = keep(each.select("doc_id", "text_hash", "e.*", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).alias("batch")))
-    runs = LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), owner=entries.schema["doc_id"].dataType.simpleString())
     for k in range(batches):
         runs.add(entries.where(f"batch = {k} and first"))
     owners = keep(runs.shared(least))
