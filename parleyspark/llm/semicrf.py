@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 6
+LONGEST = 8
 #: Words on either side of a trigger that belong to its region.
 AROUND = 4
 SHAPES = 32
