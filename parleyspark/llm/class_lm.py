@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleyspark.llm.common import keep
@@ -95,6 +95,14 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(words: DataFrame, limit: int) -> DataFrame:
+    """At most `limit` words: all above the least count that at most so many reach. No task sends more than its share of them."""
+    kinds = words.groupBy("n").agg(F.count("*").alias("kinds"))
+    upto = F.sum("kinds").over(Window.orderBy(F.desc("n")))  # over the distinct counts
+    least = kinds.withColumn("upto", upto).where(F.col("upto") <= limit).agg(F.min("n")).first()[0]
+    return words.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 class Ids(dict):
     """Word to id; a word that is not there is noted and gets the id of its spelling class."""
 
@@ -291,7 +299,7 @@ def score_documents(docs: DataFrame, held_out: Column, s: Settings = Settings(),
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     words = keep(vocabulary(rows.where("not held_out")))
-    top = words.orderBy(F.desc("n"), "word").limit(s.hot).toPandas()
+    top = most_frequent(words, s.hot).toPandas().sort_values(["n", "word"], ascending=[False, True])
     listed, counts = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.float64)
     clustered = min(s.clustered, len(listed))
     shared = spark.sparkContext.broadcast(listed)

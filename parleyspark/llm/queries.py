@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,47 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op4_adaptive_rules")
+def _adaptive_sql() -> str:
+    """The rules over plain groupings: buckets, running counts and fences as in adaptive_rules, windows of words by unnesting."""
+    rules = adaptive_rules.Rules()
+    scale = repr(1 / math.log(rules.gamma))
+    rates = [
+        f"SELECT doc_id, lang, source, n_words, '{r}' AS rule, {a} / greatest({b}, 1) AS x, {slack}::DOUBLE AS slack, {str(low).lower()} AS low FROM b WHERE NOT base_failed"
+        for r, (a, b, slack, low) in adaptive_rules.RATES.items()
+    ]
+    return rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i : i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_full_lines
+      FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
+x AS ({" UNION ALL ".join(rates)}),
+k AS (SELECT *, CASE WHEN x > 0 THEN ceil(round(ln(x) * {scale}, 6))::INT ELSE {adaptive_rules.ZERO} END AS bucket FROM x),
+l AS (SELECT 0 AS level, lang, source, rule, slack, bucket FROM k UNION ALL SELECT 1, lang, NULL, rule, slack, bucket FROM k UNION ALL SELECT 2, NULL, NULL, rule, slack, bucket FROM k),
+h AS (SELECT level, lang, source, rule, slack, bucket, count(*) AS n FROM l GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (q ORDER BY bucket) AS upto, sum(n) OVER q AS total,
+             CASE WHEN bucket = {adaptive_rules.ZERO} THEN 0 ELSE 2 * pow({rules.gamma!r}, bucket) / ({rules.gamma!r} + 1) END AS v
+      FROM h WINDOW q AS (PARTITION BY level, lang, source, rule)),
+q AS (SELECT level, lang, source, rule, slack, max(total) AS total, min(v) FILTER (upto >= {1 - rules.outer} * total) AS lo,
+             min(v) FILTER (upto >= 0.5 * total) AS mid, min(v) FILTER (upto >= {rules.outer} * total) AS hi FROM u GROUP BY ALL),
+f AS (SELECT *, hi + {rules.reach} * greatest(abs(hi - mid), slack) AS high, lo - {rules.reach} * greatest(abs(mid - lo), slack) AS floor_ FROM q),
+o AS (SELECT g.lang, g.source, f.rule, arg_min(high, level) AS high, arg_min(floor_, level) AS floor_
+      FROM (SELECT DISTINCT lang, source FROM x) g JOIN f ON (f.total >= {rules.least} OR level = 2) AND (level > 1 OR f.lang IS NOT DISTINCT FROM g.lang) AND (level > 0 OR f.source IS NOT DISTINCT FROM g.source)
+      GROUP BY ALL),
+v AS (SELECT x.doc_id, bool_or(x > high + slack * {rules.noise} / sqrt(greatest(n_words, 1)) OR (low AND x < floor_ - slack * {rules.noise} / sqrt(greatest(n_words, 1)))) AS out
+      FROM x JOIN o ON x.rule = o.rule AND x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source GROUP BY x.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(out, false) AS kept
+FROM b LEFT JOIN v USING (doc_id)
+"""
+
+
+@query("op4_adaptive_rules", _adaptive_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of adaptive thresholds on every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
