@@ -12,8 +12,8 @@ from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
-#: The tokenizer whose ids are packed.
-TOKENIZER = "byte_bpe_50k.json"
+#: The ranks of the vocabulary of byte_bpe_50k.json, whose ids are packed.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
@@ -64,12 +64,15 @@ def _adaptive_sql() -> str:
     ]
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
-             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i : i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
-m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_full_lines
       FROM w LEFT JOIN c USING (doc_id)),
@@ -164,16 +167,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("line_count").alias("n_lines"), F.col("dropped_count").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def tokenizer(name: str = TOKENIZER) -> packing.Tokens:
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return packing.Tokens(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 ids."""
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
 
 
 @query("op10_semi_markov_pii")

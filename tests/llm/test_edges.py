@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, ordinal, packing, semicrf, simhash
-from parleyspark.llm.queries import tokenizer_path
+from parleyspark.llm.queries import tokenizer
 
 PLAIN = "The first line of a plain text that is long enough to pass the rules\nand a second line with some more words in it."
 ROWS = [
@@ -60,11 +60,11 @@ def test_empty_table(docs, labels, name):
 
 
 def test_packing(docs):
-    got = packing.pack(docs, tokenizer_path()).toPandas()
+    got = packing.pack(docs, tokenizer()).toPandas()
     assert set(got["doc_id"].dropna()) == {1, 2, 3, 4, 5, 6, 7, 8} and got["length"].max() <= 2048
     assert (got[got["doc_id"] == 2][["start", "length"]].to_numpy() == [[0, 1]]).all()  # the final id alone
     assert len(got[(got["doc_id"] == 1)]) == 2
-    assert packing.pack(docs.where("false"), tokenizer_path()).collect() == []
+    assert packing.pack(docs.where("false"), tokenizer()).collect() == []
 
 
 def test_scores_of_empty_texts(docs):

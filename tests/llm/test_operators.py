@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, graph, hash_tree, line_runs, ordinal, packing, queries, semicrf, simhash
-from parleyspark.llm.queries import tokenizer_path
+from parleyspark.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.001"
+JSON = "byte_bpe_50k.json"
 
 
 @pytest.fixture(scope="module")
@@ -313,12 +314,12 @@ def test_runs_compact_and_count(spark):
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path())
+    own = Tokenizer.from_file(tokenizer(JSON).path)
     got = run(spark, "op9_best_fit_packing")
     sequences = defaultdict(dict)
     for r in got.itertuples():
         sequences[r.sequence_id][r.offset] = r.length
-        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")[r.start : r.start + r.length]
+        ids = np.array([*own.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")[r.start : r.start + r.length]
         assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
     for places in sequences.values():
         at = 0
@@ -331,7 +332,7 @@ def test_packing_round_trip(spark, texts):
 
 def test_later_rounds(spark, docs):
     """Many small rounds give gapless sequences too."""
-    got = packing.pack(docs.repartition(6), tokenizer_path(), open_bins=3, per_task=5).toPandas().sort_values(["sequence_id", "offset"])
+    got = packing.pack(docs.repartition(6), tokenizer(), open_bins=3, per_task=5).toPandas().sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048 and len(got) >= docs.count()
 
@@ -345,12 +346,14 @@ def test_best_fit():
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut(2048, 2048) == [(0, 2048)]
 
 
-def test_encoder_is_the_tokenizer():
+def test_both_tokenizers_give_the_same_ids(texts):
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
-    cases = ["", " ", "a  b", "a b\n c \n\n d", "x y  z", " lead", "trail ", "it's we'll  12 345", "<|endoftext|> a <|endoftext|>", "é\t\tñ 你好 \n", "a \n b", "\n \n"]
-    assert own.encode(cases) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in cases]
+    plain, t = Tokenizer.from_file(tokenizer(JSON).path), tokenizer()
+    own = packing.encoder(t.path, t.pattern, t.special, t.special_id)
+    cases = ["", " ", "a  b", "a b\n c \n\n d", "x y  z", " lead", "trail ", "it's we'll  12 345", "<|endoftext|> a <|endoftext|>", "<|endoftext", "é\t\tñ 你好 \n", "a \n b", "\n \n", "A" * 30_000, "\u00a0\u2003x\u200b", "\U0001f600 \u0301 ٣ ⅷ"]
+    for text in [*cases, *texts.values()]:
+        assert own(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 # --- 10: personal data --------------------------------------------------------------------------
