@@ -15,9 +15,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,33 +23,45 @@ from pyspark.sql import functions as F
 from parleyspark.llm.common import keep
 
 LEAF = 24
+#: Points that are scored before the worst score is looked at again.
+BATCH = 256
 
 
 class Tree:
     """A cover tree, built from the top: a node's children are centres more than half its scale apart, each with
-    the points within half the scale that are nearest to it. `radius` is the exact distance to the farthest
-    point below. Points of a node are a stretch of `order`."""
+    the points within half the scale that are nearest to it. `radius` is the distance to the farthest point
+    below, rounded up. Points of a node are a stretch of `order`; nodes of at most LEAF points have no children."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
+        self.squares = np.einsum("ij,ij->i", points, points)
         self.order = np.arange(len(points))
-        self.centre, self.radius, self.span, self.children = [], [], [], []
-        root = self._node(0, 0, len(points))
-        todo = [(root, max(self.radius[root], 1.0))]
+        centre, radius, self.span, self.children = [], [], [], []
+
+        def node(c: int, lo: int, hi: int) -> int:
+            centre.append(c)
+            self.span.append((lo, hi))
+            radius.append(float(self._away(self.order[lo:hi], c).max()))
+            self.children.append(None)
+            return len(centre) - 1
+
+        root = node(0, 0, len(points))
+        todo = [(root, max(radius[root], 1.0))]
         while todo:
-            node, scale = todo.pop()
-            lo, hi = self.span[node]
-            if hi - lo <= LEAF or self.radius[node] == 0:
+            top, scale = todo.pop()
+            lo, hi = self.span[top]
+            if hi - lo <= LEAF or radius[top] == 0:
                 continue
-            scale = min(scale, self.radius[node]) / 2
+            scale = min(scale, radius[top]) / 2
             own = self.order[lo:hi]
             near = np.full(hi - lo, np.inf)
             owner = np.zeros(hi - lo, np.int64)
-            centres, at = [], int(np.flatnonzero(own == self.centre[node])[0])
+            centres, at = [], int(np.flatnonzero(own == centre[top])[0])
             while True:
                 away = self._away(own, own[at])
                 closer = away < near
                 owner[closer], near[closer] = len(centres), away[closer]
+                owner[at], near[at] = len(centres), 0.0
                 centres.append(own[at])
                 at = int(near.argmax())
                 if near[at] <= scale:
@@ -60,82 +69,88 @@ class Tree:
             ranked = np.argsort(owner, kind="stable")
             self.order[lo:hi] = own[ranked]
             ends = np.searchsorted(owner[ranked], np.arange(len(centres) + 1))
-            for centre, a, b in zip(centres, lo + ends[:-1], lo + ends[1:], strict=True):
-                child = self._node(int(centre), int(a), int(b))
-                self.children[node].append(child)
-                todo.append((child, scale))
+            below = [node(int(c), int(a), int(b)) for c, a, b in zip(centres, lo + ends[:-1], lo + ends[1:], strict=True) if b > a]
+            self.children[top] = np.array(below)
+            todo += [(child, scale) for child in below]
+        self.centre, self.radius = np.array(centre), np.array(radius)
+        self.inner = np.array([x is not None for x in self.children])
 
-    def _away(self, rows: np.ndarray, centre: int) -> np.ndarray:
-        gap = self.points[rows] - self.points[centre]
-        return np.sqrt(np.einsum("ij,ij->i", gap, gap))
-
-    def _node(self, centre: int, lo: int, hi: int) -> int:
-        self.centre.append(centre)
-        self.span.append((lo, hi))
-        self.radius.append(float(self._away(self.order[lo:hi], centre).max()))
-        self.children.append([])
-        return len(self.centre) - 1
+    def _away(self, rows: np.ndarray, c: int) -> np.ndarray:
+        """Distances, rounded up: the squares are whole and exact below 2**52, else off by a few parts in 10**15."""
+        total = self.squares[rows] + self.squares[c]
+        return np.sqrt(np.maximum(total - 2 * (self.points[rows] @ self.points[c]), 0) + 1e-14 * total) * (1 + 1e-12)
 
 
 class Best:
-    """The k best (score, id) of each query: highest score, then smallest id."""
+    """The k best scores and ids of each query: highest score, then smallest id. worst: the kth score, or less than any."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(queries)]
+        self.scores = [np.zeros(0, np.int64) for _ in range(queries)]
+        self.ids = [np.zeros(0, np.int64) for _ in range(queries)]
         self.worst = np.full(queries, -np.inf)
 
-    def offer(self, query: int, score: int, number: int) -> None:
-        heap, item = self.heaps[query], (score, -number)
-        if len(heap) < self.k:
-            heapq.heappush(heap, item)
-        elif item > heap[0]:
-            heapq.heapreplace(heap, item)
-        if len(heap) == self.k:
-            self.worst[query] = heap[0][0]
+    def offer(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        useful = scores >= self.worst[query]
+        if not useful.any():
+            return
+        scores, ids = np.concatenate([self.scores[query], scores[useful]]), np.concatenate([self.ids[query], ids[useful]])
+        first = np.lexsort((ids, -scores))[: self.k]
+        self.scores[query], self.ids[query] = scores[first], ids[first]
+        if len(first) == self.k:
+            self.worst[query] = scores[first[-1]]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of the k best points of each query, none with the query's own id. Whole-number vectors."""
+    """(query id, id, score) of the k best points of each query, none with the query's own id. Whole-number vectors.
+
+    A step takes a query node with all candidate nodes that it still may need. Those whose bound is below the
+    worst kth score of the query node go; then the larger side is split, and when both are leaves their points
+    are scored, the most promising nodes first.
+    """
     largest = max(np.abs(queries).max(initial=0.0), np.abs(points).max(initial=0.0))
     exact = queries.shape[1] * largest * largest < 2**52  # then sums of doubles are whole and exact
-    whole = (queries, points) if exact else (queries.astype(np.int64), points.astype(np.int64))
+    rows_of, cols_of = (queries, points) if exact else (queries.astype(np.int64), points.astype(np.int64))
     left, right = Tree(queries), Tree(points)
+    norm_q, norm_p = np.sqrt(left.squares), np.sqrt(right.squares)
     best = Best(len(queries), k)
-    norm_q, norm_p = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (queries, points))
-    slack = 1e-9
-
-    def bound(q: int, nodes: list[int]) -> np.ndarray:
-        c, p = left.centre[q], np.array([right.centre[n] for n in nodes])
-        a, b = left.radius[q], np.array([right.radius[n] for n in nodes])
-        top = points[p] @ queries[c] + a * norm_p[p] + b * norm_q[c] + a * b
-        return top + slack * (np.abs(top) + 1)
-
-    def worst(q: int) -> float:
-        lo, hi = left.span[q]
-        return float(best.worst[left.order[lo:hi]].min())
-
-    def leaves(q: int, p: int) -> None:
-        rows, cols = left.order[slice(*left.span[q])], right.order[slice(*right.span[p])]
-        scores = whole[0][rows] @ whole[1][cols].T
-        useful = (scores >= best.worst[rows][:, None]) & (ids[cols][None, :] != query_ids[rows][:, None])
-        for i, j in zip(*np.nonzero(useful), strict=True):
-            best.offer(int(rows[i]), int(scores[i, j]), int(ids[cols[j]]))
-
-    todo = [(0, 0, np.inf)]
+
+    def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
+        c, p, a, b = left.centre[q], right.centre[nodes], left.radius[q], right.radius[nodes]
+        spread = a * norm_p[p] + b * norm_q[c] + a * b
+        return points[p] @ queries[c] + spread + 1e-9 * (norm_p[p] * norm_q[c] + spread + 1)
+
+    def score(rows: np.ndarray, nodes: np.ndarray) -> None:
+        cols = np.concatenate([right.order[slice(*right.span[n])] for n in nodes])
+        found = (rows_of[rows] @ cols_of[cols].T).astype(np.int64)
+        for i, row in enumerate(rows):
+            own = ids[cols] != query_ids[row]
+            best.offer(row, found[i][own], ids[cols][own])
+
+    todo = [(0, np.array([0]))]
     while todo:
-        q, p, top = todo.pop()
-        if top < worst(q):
-            continue
-        down_q, down_p = left.children[q], right.children[p]
-        if not down_q and not down_p:
-            leaves(q, p)
-        elif down_q and (not down_p or left.radius[q] > right.radius[p]):
-            todo += [(c, p, float(bound(c, [p])[0])) for c in down_q]
+        q, nodes = todo.pop()
+        rows = left.order[slice(*left.span[q])]
+        tops = bounds(q, nodes)
+        kept = tops >= best.worst[rows].min()
+        nodes, tops = nodes[kept], tops[kept]
+        inner = right.inner[nodes]
+        reach = right.radius[nodes[inner]].max(initial=-1.0)
+        if inner.any() and (not left.inner[q] or reach >= left.radius[q]):
+            split = inner & (right.radius[nodes] >= reach / 2)
+            todo.append((q, np.concatenate([nodes[~split], *[right.children[n] for n in nodes[split]]])))
+        elif left.inner[q]:
+            todo += [(child, nodes) for child in left.children[q]]
         else:
-            tops = bound(q, down_p)
-            todo += [(q, down_p[i], float(tops[i])) for i in np.argsort(tops)]  # the most promising is next
-    return [(int(query_ids[i]), -number, score) for i, heap in enumerate(best.heaps) for score, number in heap]
+            ranked = np.argsort(-tops)
+            nodes, tops = nodes[ranked], tops[ranked]
+            sizes = np.cumsum([right.span[n][1] - right.span[n][0] for n in nodes])
+            at = 0
+            while at < len(nodes) and tops[at] >= best.worst[rows].min():
+                end = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH)), at + 1)
+                score(rows, nodes[at:end])
+                at = end
+    return [(int(query_ids[i]), int(n), int(x)) for i in range(len(queries)) for x, n in zip(best.scores[i], best.ids[i], strict=True)]
 
 
 def whole_vectors(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
