@@ -268,7 +268,7 @@ def test_tree_covers():
     for node, (lo, hi) in enumerate(tree.span):
         away = np.linalg.norm(points[tree.order[lo:hi]] - points[tree.centre[node]], axis=1)
         assert away.max() <= tree.radius[node] + 1e-9
-        if tree.children[node]:
+        if tree.children[node] is not None:
             assert sorted(tree.span[c] for c in tree.children[node])[0][0] == lo and sum(b - a for a, b in (tree.span[c] for c in tree.children[node])) == hi - lo
 
 
