@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -17,6 +18,19 @@ def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+def _outward(first: float, ratio, count: int) -> float:
+    """first * (1 + r(0) + r(0) r(1) + ...), at most count terms more, until terms no longer matter.
+
+    Ratios fall below one and keep falling, so the sum needs a few standard deviations of terms at most.
+    """
+    total, term, at = first, first, 0
+    while at < count and term > 1e-18 * total:
+        k = np.arange(at, min(at + 8192, count), dtype=float)
+        terms = term * np.cumprod(ratio(k))
+        total, term, at = total + float(terms.sum()), float(terms[-1]), at + len(k)
+    return total
+
+
 def binomial_two_sided(k: int, n: int) -> float:
     """Exact two-sided test of k successes in n fair trials."""
     if n == 0:
@@ -24,18 +38,44 @@ def binomial_two_sided(k: int, n: int) -> float:
     low = min(k, n - k)
     if 2 * low == n:
         return 1.0
-    tail = sum(math.exp(log_choose(n, i) - n * math.log(2)) for i in range(low + 1))
-    return min(1.0, 2 * tail)
+    first = math.exp(log_choose(n, low) - n * math.log(2))
+    return min(1.0, 2 * _outward(first, lambda i: (low - i) / (n - low + i + 1), low))
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of the tables no more likely than the observed one."""
+    """Sum of the tables no more likely than the observed one.
+
+    Probabilities rise to the mode and fall after it: one tail starts at the observed table, the other at the
+    first table beyond the mode that is no more likely, found by halving.
+    """
     r1, r2, c1 = a + b, c + d, a + c
     total = log_choose(r1 + r2, c1)
     lp = lambda x: log_choose(r1, x) + log_choose(r2, c1 - x) - total
-    observed = lp(a) + 1e-7
-    xs = range(max(0, c1 - r2), min(r1, c1) + 1)
-    return min(1.0, sum(math.exp(lp(x)) for x in xs if lp(x) <= observed))
+    least, most = max(0, c1 - r2), min(r1, c1)
+    observed, mode = lp(a) + 1e-7, (r1 + 1) * (c1 + 1) // (r1 + r2 + 2)
+
+    def edge(inner: int, outer: int) -> int | None:
+        """The table nearest to the mode between inner and outer that is no more likely than the observed one."""
+        if lp(outer) > observed:
+            return None
+        while inner != outer:
+            half = (inner + outer) // 2 if outer > inner else -(-(inner + outer) // 2)
+            if lp(half) <= observed:
+                outer = half
+            else:
+                inner = half + (1 if outer > inner else -1)
+        return outer
+
+    mode = min(max(mode, least), most)
+    low, high = edge(mode, least), edge(mode, most)
+    if low == high and low is not None:  # the mode itself: every table counts
+        return 1.0
+    tails = 0.0
+    if low is not None:
+        tails += _outward(math.exp(lp(low)), lambda i: (low - i) * (r2 - c1 + low - i) / ((r1 - low + i + 1) * (c1 - low + i + 1)), low - least)
+    if high is not None:
+        tails += _outward(math.exp(lp(high)), lambda i: (r1 - high - i) * (c1 - high - i) / ((high + i + 1) * (r2 - c1 + high + i + 1)), most - high)
+    return min(1.0, tails)
 
 
 def chi2_one_df(x: float) -> float:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parleyspark.functions import text as T
+from parleyspark.session import cut_lineage
 
 
 def last_wins(df: DataFrame, key: Sequence[str], ordinal: str) -> DataFrame:
@@ -42,8 +43,11 @@ def first_per_text(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def mark_holdout(train: DataFrame, holdout: DataFrame) -> DataFrame:
-    """Add ``in_holdout``: norm key shared with a holdout row, or blank text."""
-    keys = holdout.select("norm").distinct().withColumn("_held", F.lit(True))
+    """Add ``in_holdout``: norm key shared with a holdout row, or blank text.
+
+    The keys are written first, so that a join at a hot key can be split.
+    """
+    keys = cut_lineage(holdout.select("norm").distinct()).withColumn("_held", F.lit(True))
     joined = train.join(keys, "norm", "left")
     return joined.withColumn("in_holdout", F.coalesce(F.col("_held"), F.lit(False)) | F.col("blank")).drop("_held")
 
@@ -54,7 +58,7 @@ def pending(rows: DataFrame, *done: DataFrame, key: str) -> DataFrame:
     for d in done:
         part = d.select(key)
         ids = part if ids is None else ids.union(part)
-    return rows.join(ids.distinct(), key, "left_anti")
+    return rows.join(ids, key, "left_anti")
 
 
 def attach_all(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

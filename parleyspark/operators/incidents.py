@@ -79,19 +79,23 @@ def counters(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
-def running_spend(calls: DataFrame, blocks: Sequence[str], order: Sequence[str], usd: str, cap: float) -> DataFrame:
-    """Calls made before the running total reaches the cap.
+def running_spend(calls: DataFrame, day: str, stretch: Sequence[str], order: Sequence[str], usd: str, cap: float) -> DataFrame:
+    """Calls made before the running total reaches the cap, with ``spent_before``.
 
-    ``blocks`` are leading columns of the order that cut it into stretches of
-    bounded size. Totals per stretch carry the sum on, so no window covers more
-    than one stretch however many calls a day has.
+    Only the totals of days meet in one window. Days that start at or above the
+    cap drop out whole; in the others, ``stretch`` (leading columns of the order)
+    cuts a day into pieces whose totals carry the sum on.
     """
-    blocks = list(blocks)
-    totals = calls.groupBy(*blocks).agg(F.sum(usd).alias("_t"))
-    before = W.orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(*blocks, F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_base"))
-    inside = W.partitionBy(*blocks).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    spent = calls.join(base, blocks).withColumn(
-        "spent_before", F.col("_base") + F.coalesce(F.sum(usd).over(inside), F.lit(0.0))
+    stretch = list(stretch)
+    days = calls.groupBy(day).agg(F.sum(usd).alias("_t"))
+    before = W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    open_days = days.select(day, F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_day")).filter(F.col("_day") < F.lit(cap))
+    left = calls.join(open_days, day)
+    earlier = W.partitionBy(day).orderBy(*stretch).rowsBetween(W.unboundedPreceding, -1)
+    totals = left.groupBy(day, *stretch).agg(F.sum(usd).alias("_t"))
+    base = totals.select(day, *stretch, F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_base"))
+    inside = W.partitionBy(day, *stretch).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    spent = left.join(base, [day, *stretch]).withColumn(
+        "spent_before", F.col("_day") + F.col("_base") + F.coalesce(F.sum(usd).over(inside), F.lit(0.0))
     )
-    return spent.filter(F.col("spent_before") < F.lit(cap)).drop("_base")
+    return spent.filter(F.col("spent_before") < F.lit(cap)).drop("_base", "_day")

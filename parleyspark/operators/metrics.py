@@ -134,7 +134,7 @@ def first_max(df: DataFrame, keys: Sequence[str], objective: str, order: str) ->
     return df.orderBy(F.desc(objective), F.asc(order)).limit(1)
 
 
-def youden(df: DataFrame, removed: Column, scores: Sequence[str], width: float = 1 / 64) -> DataFrame:
+def youden(df: DataFrame, removed: Column, scores: Sequence[str]) -> DataFrame:
     """Best cut of each drop score: reject when score > cut, cuts rounded to 3 dp.
 
     All scores share one pass. A cut is decided by running counts over distinct
@@ -160,7 +160,7 @@ def youden(df: DataFrame, removed: Column, scores: Sequence[str], width: float =
         .groupBy("score", "v")
         .agg(F.sum("r").alias("r"), F.sum("k").alias("k"), F.max("is_cut").alias("is_cut"))
     )
-    upto = running_before(merged, ["score"], "v", width, ["r", "k"]).filter("is_cut")
+    upto = running_before(merged, ["score"], "v", ["r", "k"]).filter("is_cut")
     above = lambda c: F.col(f"{c}_total") - F.col(f"{c}_before") - F.col(c)
     j = ratio(above("r"), F.col("r_total")) - ratio(above("k"), F.col("k_total"))
     scored = upto.select("score", F.col("v").alias("threshold"), j.alias("j"))

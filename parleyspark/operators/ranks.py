@@ -1,8 +1,9 @@
 """Order statistics without a global sort in one task.
 
 Rows are first collapsed to one row per distinct value. Running totals are then
-built in two levels: totals per value bucket (a table of range / width rows)
-and a window inside each bucket. No window ever spans the whole data set.
+built in two levels: totals per value bucket and a window inside each bucket.
+Bucket edges are quantiles of the distinct values, so buckets are even however
+the values crowd, and only the bucket totals meet in one window.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_before(df: DataFrame, keys: Sequence[str], value: str, width: float, sums: Sequence[str]) -> DataFrame:
+def running_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int = 256) -> DataFrame:
     """Add ``<c>_before``, the total of c over strictly smaller values of the key,
     and ``<c>_total``, the total over the key.
 
-    ``df`` holds at most one row per (keys, value).
+    ``df`` holds at most one row per (keys, value). A bucket holds about a
+    ``buckets``-th of these rows, over all keys.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_b", F.floor(F.col(value) / F.lit(width)))
+    probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    edges = df.agg(F.sort_array(F.percentile_approx(value, probs, 20 * buckets)).alias("e")).scalar()
+    bucketed = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda x: x < F.col(value)))).drop("_e")
     totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     across = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(
@@ -39,13 +43,13 @@ def running_before(df: DataFrame, keys: Sequence[str], value: str, width: float,
     return joined.drop("_b", *[f"_base_{c}" for c in sums])
 
 
-def auc(df: DataFrame, keys: Sequence[str], positive: Column, score: str, width: float = 1 / 1024) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], positive: Column, score: str) -> DataFrame:
     """Midrank AUC per key; NULL with one class. NULL scores are ignored."""
     scored = df.filter(F.col(score).isNotNull()).withColumn("_pos", positive)
     values = scored.groupBy(*keys, score).agg(
         F.count_if("_pos").alias("pos"), F.count_if(~F.col("_pos")).alias("neg")
     )
-    ranked = running_before(values, keys, score, width, ["neg"])
+    ranked = running_before(values, keys, score, ["neg"])
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2))
     total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.groupBy(*keys).agg(
@@ -53,15 +57,15 @@ def auc(df: DataFrame, keys: Sequence[str], positive: Column, score: str, width:
     )
 
 
-def ecdf(df: DataFrame, value: str, width: float = 1 / 1024) -> DataFrame:
+def ecdf(df: DataFrame, value: str) -> DataFrame:
     """Share of rows at or below each distinct value."""
     values = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_before(values, [], value, width, ["n"])
+    ranked = running_before(values, [], value, ["n"])
     upto = (F.col("n_before") + F.col("n")).cast("double")
     return ranked.select(value, (upto / F.col("n_total").cast("double")).alias("ecdf"))
 
 
-def ecdf_at(sample: DataFrame, value: str, points: DataFrame, point: str, out: str, width: float = 1 / 1024) -> DataFrame:
+def ecdf_at(sample: DataFrame, value: str, points: DataFrame, point: str, out: str) -> DataFrame:
     """Evaluate the sample's step function at foreign points.
 
     Sample and point values share one ordered list of distinct values, so the
@@ -70,20 +74,20 @@ def ecdf_at(sample: DataFrame, value: str, points: DataFrame, point: str, out: s
     ours = sample.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.lit(1).alias("_n"))
     theirs = points.filter(F.col(point).isNotNull()).select(F.col(point).alias("_v"), F.lit(0).alias("_n"))
     values = ours.union(theirs).groupBy("_v").agg(F.sum("_n").alias("n"))
-    steps = running_before(values, [], "_v", width, ["n"]).select(
+    steps = running_before(values, [], "_v", ["n"]).select(
         "_v", ((F.col("n_before") + F.col("n")).cast("double") / F.col("n_total").cast("double")).alias(out)
     )
     return points.join(steps, points[point] == steps["_v"], "left").drop("_v")
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], width: float, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key; ``weight`` holds row counts."""
     keys = list(keys)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
-    ranked = running_before(values, keys, value, width, ["n"])
+    ranked = running_before(values, keys, value, ["n"])
     lo, hi = F.col("n_before"), F.col("n_before") + F.col("n")
     aggs = []
     for name, p in probs.items():
@@ -98,18 +102,18 @@ def quantiles(
     return out.select(*keys, *lerp)
 
 
-def midranks(values: DataFrame, value: str, n: str, out: str, width: float) -> DataFrame:
+def midranks(values: DataFrame, value: str, n: str, out: str) -> DataFrame:
     """Average rank of each distinct value given its multiplicity."""
-    ranked = running_before(values, [], value, width, [n])
+    ranked = running_before(values, [], value, [n])
     rank = F.col(f"{n}_before") + (F.col(n) + 1) / 2
     return ranked.select(value, rank.alias(out), F.col(f"{n}_total").alias("_total"))
 
 
-def spearman(df: DataFrame, x: str, y: str, width_x: float, width_y: float) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation from pair counts; hot values collapse before any join."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
-    rx = midranks(pairs.groupBy(x).agg(F.sum("n").alias("m")), x, "m", "rx", width_x)
-    ry = midranks(pairs.groupBy(y).agg(F.sum("n").alias("m")), y, "m", "ry", width_y).drop("_total")
+    rx = midranks(pairs.groupBy(x).agg(F.sum("n").alias("m")), x, "m", "rx")
+    ry = midranks(pairs.groupBy(y).agg(F.sum("n").alias("m")), y, "m", "ry").drop("_total")
     joined = pairs.join(rx, x).join(ry, y)
     mean = (F.col("_total").cast("double") + 1) / 2
     dx, dy, n = F.col("rx") - mean, F.col("ry") - mean, F.col("n").cast("double")
@@ -117,7 +121,7 @@ def spearman(df: DataFrame, x: str, y: str, width_x: float, width_y: float) -> D
     return joined.agg(F.sum("n").alias("n"), F.try_divide(sxy, F.sqrt(sxx * syy)).alias("rho"))
 
 
-def mann_whitney(df: DataFrame, in_first: Column, value: str, width: float) -> DataFrame:
+def mann_whitney(df: DataFrame, in_first: Column, value: str) -> DataFrame:
     """U of the first sample with the tie-corrected normal z (upper tail)."""
     values = (
         df.filter(F.col(value).isNotNull())
@@ -125,7 +129,7 @@ def mann_whitney(df: DataFrame, in_first: Column, value: str, width: float) -> D
         .groupBy(value)
         .agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
     )
-    ranked = running_before(values, [], value, width, ["b"])
+    ranked = running_before(values, [], value, ["b"])
     t = (F.col("a") + F.col("b")).cast("double")
     stats = ranked.agg(
         F.sum("a").alias("n_first"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from parleyspark.session import cut_lineage
+
 
 def batch_scorer(make_predict: Callable[[], Callable], batch_size: int = 64) -> Callable[[Column], Column]:
     """Column scorer from a function that loads a model on the executor.
@@ -23,10 +25,11 @@ def batch_scorer(make_predict: Callable[[], Callable], batch_size: int = 64) ->
 def score_unique(rows: DataFrame, text: str, scorer: Callable[[Column], Column], out: str = "score") -> DataFrame:
     """Score distinct texts once and map the scores back.
 
-    Joined on a fixed-width hash of the text. A text repeated very often is one
-    row on the scored side, so a skewed join only has to split the other side.
+    Joined on a fixed-width hash of the text. The scores are written before the
+    join: both sides are then plain inputs, and adaptive execution can split the
+    partition of a text that is repeated very often.
     """
     keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
     unique = keyed.groupBy("_key").agg(F.first(text).alias("_text"))
-    scored = unique.select("_key", scorer(F.col("_text")).alias(out))
+    scored = cut_lineage(unique.select("_key", scorer(F.col("_text")).alias(out)))
     return keyed.join(scored, "_key", "left").drop("_key")

@@ -12,15 +12,15 @@ from parleyspark.functions import text as T
 from parleyspark.session import cut_lineage
 
 
-def threads_from_turns(turns: DataFrame, key: str, order: str, text: str, max_turns: int = 10) -> DataFrame:
-    """Turns gathered into threads of at most ``max_turns``; longer ones continue
-    in further segments, so no group grows with the conversation."""
-    segment = F.floor(F.col(order) / max_turns)
+def threads_from_turns(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Whole conversations as threads: the turns of a key in order, and their number.
+
+    A thread is one value, so its size is that of the longest conversation.
+    """
     return (
-        turns.withColumn("segment", segment)
-        .groupBy(key, "segment")
+        turns.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_t"))
-        .select(key, "segment", F.col(f"_t.{text}").alias("turns"))
+        .select(key, F.col(f"_t.{text}").alias("turns"))
         .withColumn("length", F.size("turns").cast("bigint"))
     )
 

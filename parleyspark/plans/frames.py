@@ -74,8 +74,7 @@ def threads(spark: SparkSession, sf: str) -> DataFrame:
     from parleyspark.operators.threads import threads_from_turns
 
     base = threads_from_turns(turns(spark, sf), "conv_id", "turn", "text")
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("segment").cast("string"))
-    base = base.withColumn("thread_id", key)
+    base = base.withColumn("thread_id", F.col("conv_id").cast("string"))
     names = F.array(*[F.lit(c) for c in C.THREAD_CLASSES])
     scripts = F.array(F.lit("english"), F.lit("hinglish"), F.lit("hindi_devanagari"))
     label_id = stable_int(F.lit("label"), F.col("thread_id")) % 5
@@ -272,8 +271,7 @@ outcome AS (SELECT doc_id, split, label, h, CASE WHEN first_ok IS NOT NULL THEN
     coalesce(ok_g, last_g) AS g, h - coalesce(ok_g, last_g) AS score_delta FROM grouped)"""
 
 _CLASSES = words(C.THREAD_CLASSES)
-THREADS = f"""th0 AS (SELECT conv_id, turn // 10 AS segment, conv_id || ':' || (turn // 10) AS thread_id, list(text ORDER BY turn) AS turns
-    FROM conversations GROUP BY conv_id, turn // 10),
+THREADS = f"""th0 AS (SELECT conv_id, conv_id::VARCHAR AS thread_id, list(text ORDER BY turn) AS turns FROM conversations GROUP BY conv_id),
 th1 AS (SELECT *, len(turns) AS length, {s_int("'label|' || thread_id")} % 5 AS label_id,
     (['english', 'hinglish', 'hindi_devanagari'])[{s_int("'script|' || thread_id")} % 3 + 1] AS script,
     {s_int("'n|' || thread_id")} % 1000 AS n, 'sub' || ({s_int("'subtype|' || thread_id")} % 4) AS subtype FROM th0),

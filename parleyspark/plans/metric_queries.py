@@ -321,10 +321,10 @@ _AUC = """r AS (SELECT lang, y, g, rank() OVER (PARTITION BY lang ORDER BY g) +
       / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0)::DOUBLE), 9) END AS auc FROM r GROUP BY lang"""
 
 
-@query("auc_midrank", f"WITH {_SCORED}, s2 AS (SELECT lang, y, floor(g * 50) / 50 AS g FROM sc), {_AUC.format(cte='s2')}")
+@query("auc_midrank", f"WITH {_SCORED}, {_AUC.format(cte='sc')}")
 def auc_midrank(spark, sf):
-    """Scores are binned to make ties; ties take their average rank."""
-    d = scored(spark, sf).withColumn("g", F.floor(F.col("g") * 50) / 50)
+    """Ties take their average rank."""
+    d = scored(spark, sf)
     return R.auc(d, ["lang"], F.col("y") == 1, "g").withColumn("auc", F.round("auc", 9))
 
 
@@ -529,7 +529,7 @@ def mann_whitney_stats(spark, sf):
     """Mixing index of rows the score gate drops against rows it keeps."""
     d = cut_lineage(bucketed(spark, sf).select("cmi", "h", "g"))
     dropped = ~(F.col("g") >= F.col("h") - C.SCORE_DELTA)
-    return R.mann_whitney(d, dropped, "cmi", 0.25)
+    return R.mann_whitney(d, dropped, "cmi")
 
 
 @query(
@@ -546,7 +546,7 @@ def mann_whitney(spark, sf):
 
 
 def spearman_stats(spark, sf):
-    return R.spearman(cut_lineage(bucketed(spark, sf).select("cmi", "g")), "cmi", "g", 0.25, 1 / 256)
+    return R.spearman(cut_lineage(bucketed(spark, sf).select("cmi", "g")), "cmi", "g")
 
 
 @query(
@@ -566,7 +566,7 @@ def spearman(spark, sf):
 )
 def spearman_prices(spark, sf):
     d = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    return R.spearman(d, "l_quantity", "l_extendedprice", 1.0, 100.0).withColumn("rho", F.round("rho", 6))
+    return R.spearman(d, "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 6))
 
 
 @query(

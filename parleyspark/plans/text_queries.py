@@ -81,7 +81,7 @@ def mix_summary(df, keys):
         mean(F.col("en")).alias("mean_en_frac"),
         mean(F.col("sw")).alias("mean_switches"),
     )
-    q = R.quantiles(values, keys, "cmi", {"median_cmi": 0.5, "p90_cmi": 0.9}, width=0.25, weight="n")
+    q = R.quantiles(values, keys, "cmi", {"median_cmi": 0.5, "p90_cmi": 0.9}, weight="n")
     q = q.select(*keys, F.round("median_cmi", 6).alias("median_cmi"), F.round("p90_cmi", 6).alias("p90_cmi"))
     return sums.join(q, keys)
 

@@ -530,7 +530,7 @@ def logistic_fit(spark, sf):
     rows = d.select("doc_id", "label", F.col("feats"), mean.alias("_m"), std.alias("_s"))
     scaled = F.zip_with(F.zip_with("feats", "_m", lambda x, m: x - m), "_s", lambda x, s: x / F.greatest(s, F.lit(1e-6)))
     rows = rows.select("doc_id", (1 - F.col("label")).alias("y"), scaled.alias("x"))
-    w, b = A.fit_logistic(rows, "x", "y", n, epochs=10)
+    w, b = A.fit_logistic(rows, "x", "y", n, epochs=40)
     return rows.select("doc_id", "y", A.logistic_score(F.col("x"), w, b).alias("score"))
 
 
@@ -544,7 +544,7 @@ def attention_training(spark, sf):
     feats = A.with_features(pieces, "text", ABUSE_STEMS, BENIGN_STEMS)
     slots = feats.groupBy("doc_id", "y").agg(F.sort_array(F.collect_list(F.struct("pos", "feats"))).alias("_s"))
     rows = cut_lineage(slots.select("doc_id", "y", F.col("_s.feats").alias("slots")))
-    w, _ = train_attention(rows, "doc_id", "slots", "y", weights(), epochs=3, steps=2)
+    w, _ = train_attention(rows, "doc_id", "slots", "y", weights(), epochs=6, steps=2)
     return rows.select("doc_id", "y", A.attention_udf(w)(F.col("slots"))["score"].alias("score"))
 
 
@@ -588,7 +588,7 @@ def spend_cap(spark, sf):
         F.to_date("ts_utc").alias("day"), F.floor(F.col("call_id") / 65536).alias("stretch"), "call_id", "l_partkey",
         F.col("usd_estimated").alias("usd"),
     )
-    kept = I.running_spend(c, ["day", "stretch"], ["call_id", "l_partkey"], "usd", 40.0)
+    kept = I.running_spend(c, "day", ["stretch"], ["call_id", "l_partkey"], "usd", 40.0)
     return kept.groupBy("day").agg(F.count(F.lit(1)).alias("n_calls"), F.round(F.max("spent_before"), 4).alias("spent_before"))
 
 

@@ -36,9 +36,11 @@ def build_session(app: str = "parleyspark", master: str | None = None, **conf) -
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a fresh one only if unset."""
+    """Shared checkpoint folder named by the cluster. In local mode a fresh one if it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

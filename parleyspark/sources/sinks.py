@@ -112,7 +112,7 @@ def long_metrics(df: DataFrame, section: str, key: str) -> DataFrame:
 
 def dataset_card(marginals: DataFrame) -> str:
     """Short markdown summary from the marginal counts."""
-    rows = marginals.filter(F.col("grouping") != "length+script+label").orderBy("grouping", "value").limit(500).collect()
+    rows = marginals.filter(F.col("grouping") != "length+script+label").orderBy("grouping", "value").collect()
     lines = ["# Dataset", ""]
     for name in dict.fromkeys(r["grouping"] for r in rows):
         lines += [f"## {name}", "", "| value | rows |", "| --- | --- |"]

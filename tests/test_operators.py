@@ -91,8 +91,8 @@ def test_rank_statistics_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(rng.random() < 0.4, 0.5 if rng.random() < 0.34 else round(rng.random(), 2), round(rng.random(), 1)) for _ in range(300)]
     df = spark.createDataFrame(rows, "y boolean, s double, t double")
-    assert R.auc(df, [], F.col("y"), "s", 0.1).first()["auc"] == pytest.approx(brute_auc([(y, s) for y, s, _ in rows]))
-    q = R.quantiles(df, [], "s", {"a": 0.5, "b": 0.9}, 0.05).first()
+    assert R.auc(df, [], F.col("y"), "s").first()["auc"] == pytest.approx(brute_auc([(y, s) for y, s, _ in rows]))
+    q = R.quantiles(df, [], "s", {"a": 0.5, "b": 0.9}).first()
     xs = sorted(s for _, s, _ in rows)
     k = 299 * 0.9
     lo = int(k)
@@ -105,10 +105,10 @@ def test_rank_statistics_against_brute_force(spark):
     ra, rb = [midrank(a)[x] for x in a], [midrank(b)[x] for x in b]
     m = 150.5
     rho = sum((x - m) * (y - m) for x, y in zip(ra, rb)) / math.sqrt(sum((x - m) ** 2 for x in ra) * sum((y - m) ** 2 for y in rb))
-    assert R.spearman(df, "s", "t", 0.1, 0.1).first()["rho"] == pytest.approx(rho)
-    u = R.mann_whitney(df, F.col("y"), "s", 0.1).first()["u"]
+    assert R.spearman(df, "s", "t").first()["rho"] == pytest.approx(rho)
+    u = R.mann_whitney(df, F.col("y"), "s").first()["u"]
     assert u == pytest.approx(sum((p > n) + 0.5 * (p == n) for y, p, _ in rows if y for z, n, _ in rows if not z))
-    e = {r["s"]: r["ecdf"] for r in R.ecdf(df, "s", 0.1).collect()}
+    e = {r["s"]: r["ecdf"] for r in R.ecdf(df, "s").collect()}
     assert e[0.5] == pytest.approx(sum(x <= 0.5 for x in a) / 300)
 
 
