@@ -19,13 +19,18 @@ def _squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, C.SPACE_RUN, " "))
 
 
-def _json_items(obj: Column) -> Column:
-    """``turns`` or ``messages`` as strings; items may be objects with text or message."""
+def _json_items(obj: Column, strict: bool = False) -> Column:
+    """``turns`` or ``messages`` as strings; items may be objects with text or message.
+
+    ``turns`` that is there but no list gives NULL. Strict takes ``turns`` only.
+    """
     plain = F.from_json(obj, "struct<turns array<string>, messages array<string>>")
-    items = F.coalesce(F.when(F.size(plain["turns"]) > 0, plain["turns"]), plain["messages"])
+    listed = F.get_json_object(obj, "$.turns").isNull() | plain["turns"].isNotNull()
+    items = plain["turns"] if strict else F.when(listed, F.coalesce(F.when(F.size(plain["turns"]) > 0, plain["turns"]), plain["messages"]))
     inner = lambda t: F.from_json(t, "struct<text string, message string>")
     nested = lambda t: F.coalesce(F.nullif(inner(t)["text"], F.lit("")), inner(t)["message"], F.lit(""))
-    return F.transform(items, lambda t: F.when(F.startswith(F.ltrim(t), F.lit("{")), nested(t)).otherwise(t))
+    is_object = lambda t: F.startswith(F.ltrim(t), F.lit("{")) & F.get_json_object(t, "$").isNotNull()
+    return F.transform(items, lambda t: F.when(is_object(t), nested(t)).otherwise(t))
 
 
 def reply_turns(raw: Column, low: int = 3, high: int = 8) -> Column:
@@ -45,7 +50,7 @@ def strict_turns(raw: Column, k: Column, name_x: Column, name_y: Column) -> Colu
     """Exactly k turns of a thread reply; thinking, fences and speaker names removed."""
     body = T.strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
     body = T.strip(F.regexp_replace(body, r"(?m)^```(?:json)?|```$", ""))
-    items = _json_items(json_object(body))
+    items = _json_items(json_object(body), strict=True)
 
     def tidy(t):
         t = T.strip_role(_squeeze(t))
@@ -57,12 +62,6 @@ def strict_turns(raw: Column, k: Column, name_x: Column, name_y: Column) -> Colu
     return F.when(F.size(out) == k, out)
 
 
-def first_turns(raw: Column, n: int) -> Column:
-    """First n turns of a reply, NULL if it has fewer."""
-    listed = F.filter(F.transform(_json_items(json_object(raw)), _squeeze), lambda t: t != "")
-    return F.when(F.size(listed) >= n, F.slice(listed, 1, n))
-
-
 def judge(raw: Column) -> Column:
     """struct<label, confidence, reason> of a judge reply, NULL if unusable."""
     obj = F.from_json(json_object(T.clean_reply(raw)), "struct<label string, confidence string, reason string>")

@@ -46,33 +46,39 @@ def _safe_start(marked: list, cap: int):
     return None
 
 
-def incident_log(flagged: DataFrame, order: str, cap: int = C.INCIDENT_CAP, probe: int = 50) -> DataFrame:
-    """Final log after delivering the rows in order (``id`` and ``order`` columns).
+def incident_log(flagged: DataFrame, order: str | Sequence[str], cap: int = C.INCIDENT_CAP, probe: int = 50) -> DataFrame:
+    """Final log after delivering the rows in order (``id`` and the ``order`` columns).
 
     An id evicted from the log may enter again, so deliveries are replayed in
     order. Only the newest stretch matters: the newest ``probe * cap`` rows are
     searched for a run of first deliveries, which fixes the log on its own. If
     repeats are so dense that no run exists, the replay starts at the beginning
-    and streams through with bounded memory.
+    and streams through with bounded memory: what a delivery does depends on the
+    whole log before it, so this case cannot be cut into parts.
     """
-    flagged = cut_lineage(flagged)
-    ids = flagged.select("id", order)
-    tail = ids.orderBy(F.desc(order)).limit(probe * cap)
-    firsts = ids.join(tail.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(order).alias("_first"))
-    marked = tail.join(firsts, "id").select(order, (F.col(order) == F.col("_first")).alias("is_first"))
-    start = _safe_start(sorted(((r[0], r[1]) for r in marked.collect()), reverse=True), cap)
-    rows = ids if start is None else ids.filter(F.col(order) >= F.lit(start))
-    kept = rows.repartition(1).sortWithinPartitions(order).mapInPandas(_replay(cap), ids.schema)
-    return flagged.join(F.broadcast(kept), ["id", order])
+    order = [order] if isinstance(order, str) else list(order)
+    ids = cut_lineage(flagged.select("id", *order))
+    at = F.struct(*order)
+    tail = ids.orderBy(*[F.desc(c) for c in order]).limit(probe * cap)
+    firsts = ids.join(tail.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(at).alias("_first"))
+    marked = tail.join(firsts, "id").select(*order, (at == F.col("_first")).alias("is_first"))
+    start = _safe_start(sorted(((tuple(r)[:-1], r[-1]) for r in marked.collect()), reverse=True), cap)
+    since = None if start is None else F.struct(*[F.lit(v).cast(ids.schema[c].dataType) for c, v in zip(order, start, strict=True)])
+    rows = ids if since is None else ids.filter(at >= since)
+    kept = rows.repartition(1).sortWithinPartitions(*order).mapInPandas(_replay(cap), ids.schema)
+    return flagged.join(kept, ["id", *order])
 
 
 def merge_into_log(log: DataFrame, batch: DataFrame, order: str, cap: int = C.INCIDENT_CAP) -> DataFrame:
-    """Log after one more batch. Stored rows are delivered first, in log order."""
-    return incident_log(log.unionByName(batch, allowMissingColumns=True), order, cap)
+    """Log after one more batch, in order of processing.
 
-
-def newest_first(log: DataFrame, order: str) -> DataFrame:
-    return log.orderBy(F.desc(order))
+    Stored rows come first, whatever their ``order``: ``delivery`` numbers the
+    batches, and rows of a batch follow ``order``.
+    """
+    stored = log if "delivery" in log.columns else log.withColumn("delivery", F.lit(0).cast("bigint"))
+    number = stored.agg(F.coalesce(F.max("delivery"), F.lit(0)) + 1).first()[0]
+    both = stored.unionByName(batch.withColumn("delivery", F.lit(number).cast("bigint")), allowMissingColumns=True)
+    return incident_log(both, ["delivery", order], cap)
 
 
 def counters(log: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from parleyspark import config as C
 from parleyspark.functions import text as T
 from parleyspark.functions.hashing import contact_name, incident_id
+from parleyspark.operators import dedup as D
 from parleyspark.operators import gates as G
 from parleyspark.operators import incidents as I
 from parleyspark.operators.windows import fused_score
@@ -97,15 +98,28 @@ def admitted(messages: DataFrame, suppressed: DataFrame | None = None, watermark
     """Incoming, long enough, not suppressed, first delivery of (contact, text).
 
     Without a watermark the seen set lives forever, as in the original; with
-    one it is bounded.
+    one it is bounded. State holds a hash of contact and text. Rows that repeat
+    inside one micro-batch are equal but for their order, of which any may stay;
+    ``first_of_batch`` in a foreachBatch writer keeps the first by order.
     """
     rows = messages.filter(F.col("text").isNotNull()).filter(G.incoming(F.coalesce("is_outgoing", F.lit(False)), F.col("text")))
     rows = rows.withColumn("contact", contact_name(F.col("contact"), "unknown"))
     if suppressed is not None:
         rows = rows.join(suppressed.select("contact", "text"), ["contact", "text"], "left_anti")
     if watermark:
-        return rows.withWatermark(*watermark).dropDuplicatesWithinWatermark(["contact", "text"])
-    return rows.dropDuplicates(["contact", "text"])
+        keyed = rows.withWatermark(*watermark).withColumn("_seen", seen_key())
+        return keyed.dropDuplicatesWithinWatermark(["_seen"]).drop("_seen")
+    return rows.withColumn("_seen", seen_key()).dropDuplicates(["_seen"]).drop("_seen")
+
+
+def seen_key() -> Column:
+    """Fixed-width key of contact and text."""
+    return F.sha2(F.concat_ws("\n", F.length("contact"), "contact", "text"), 256)
+
+
+def first_of_batch(batch: DataFrame, order: str = "seq") -> DataFrame:
+    """First delivery of each (contact, text) of one micro-batch."""
+    return D.first_wins(batch.withColumn("_seen", seen_key()), ["_seen"], [order]).drop("_seen")
 
 
 def window_state(rows: DataFrame, feats: Column | None = None, **settings) -> DataFrame:
@@ -146,16 +160,18 @@ def incident_sink(path: str, cap: int = C.INCIDENT_CAP):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        latest = None
         try:
             versions = batch.sparkSession.read.parquet(path).filter(F.col("v") < batch_id)
             latest = versions.agg(F.max("v")).first()[0]
-        except AnalysisException:
-            latest = None
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise  # only a log that is not there yet is an empty one
         rows = incident_rows(batch)
         if latest is not None:
             merged = I.merge_into_log(versions.filter(F.col("v") == latest).drop("v"), rows, "seq", cap)
         else:
-            merged = I.incident_log(rows, "seq", cap)
+            merged = I.incident_log(rows.withColumn("delivery", F.lit(0).cast("bigint")), ["delivery", "seq"], cap)
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return write

@@ -229,3 +229,36 @@ def test_batch_scorer_and_unique_scores(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "hello")], "id int, text string")
     got = {r["id"]: r["score"] for r in Sc.score_unique(df, "text", Sc.batch_scorer(load)).collect()}
     assert got == {1: pytest.approx(0.3), 2: pytest.approx(0.3), 3: pytest.approx(0.5)}
+
+
+def test_ranks_of_values_that_crowd(spark):
+    """Nine tenths of the values lie in a thousandth of the range: buckets stay even."""
+    df = spark.range(20_000).select((F.when(F.col("id") % 10 < 9, 0.999 + F.col("id") / 2e7).otherwise(F.col("id") / 20_000)).alias("v"), F.lit(1).alias("n"))
+    df = df.groupBy("v").agg(F.sum("n").alias("n"))
+    ranked = R.running_before(df, [], "v", ["n"], buckets=64).collect()
+    before = 0
+    for r in sorted(ranked, key=lambda r: r["v"]):
+        assert (r["n_before"], r["n_total"]) == (before, 20_000)
+        before += r["n"]
+
+
+def test_exact_tests_of_large_counts_are_quick():
+    import time
+    from math import comb
+
+    from parleyspark.functions import stats
+
+    def fisher(a, b, c, d):
+        r1, r2, c1 = a + b, c + d, a + c
+        p = lambda x: comb(r1, x) * comb(r2, c1 - x) / comb(r1 + r2, c1)
+        return sum(p(x) for x in range(max(0, c1 - r2), min(r1, c1) + 1) if p(x) <= p(a) * (1 + 1e-7))
+
+    for a, b, c, d in [(3, 1, 1, 3), (0, 9, 8, 2), (12, 30, 41, 5), (5, 5, 5, 5), (0, 0, 4, 3), (60, 2, 1, 9)]:
+        assert stats.fisher_two_sided(a, b, c, d) == pytest.approx(min(1, fisher(a, b, c, d)), abs=1e-9)
+    for k, n in [(0, 5), (3, 10), (5, 10), (70, 90)]:
+        low = min(k, n - k)
+        assert stats.binomial_two_sided(k, n) == pytest.approx(1 if 2 * low == n else min(1, 2 * sum(comb(n, i) for i in range(low + 1)) / 2**n), abs=1e-9)
+    start = time.perf_counter()
+    stats.binomial_two_sided(499_990_000, 10**9)
+    stats.fisher_two_sided(10**9, 10**9 + 50_000, 10**9 - 20_000, 10**9)
+    assert time.perf_counter() - start < 0.5

@@ -106,6 +106,9 @@ def test_reply_parsing(spark):
     strict = P.strict_turns(F.col("r"), F.lit(2), F.lit("Asha"), F.lit("Ravi"))
     assert one(spark, strict, r='<think>{"turns": []}</think>```json\n{"turns": ["A: hi", "Ravi: yo"]}\n```') == ["hi", "yo"]
     assert one(spark, strict, r='{"turns": ["only"]}') is None
+    assert one(spark, strict, r='{"messages": ["a", "b"]}') is None  # the strict form takes turns only
+    assert one(spark, P.reply_turns(F.col("r")), r='{"turns": "no list", "messages": ["a", "b", "c"]}') is None
+    assert get('{"turns": ["{not json", "b", "c"]}') == ["{not json", "b", "c"]
 
 
 def test_judge_and_verdict(spark):

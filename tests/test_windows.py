@@ -99,7 +99,7 @@ def test_incident_log_in_batches(spark):
 def test_running_spend(spark):
     rows = [(s // 10, s, 0.25) for s in range(50)]
     df = spark.createDataFrame(rows, "day int, ord int, usd double")
-    assert I.running_spend(df, ["day"], ["ord"], "usd", 3.0).count() == 12
+    assert I.running_spend(df, "day", ["ord"], ["ord"], "usd", 3.0).count() == 12
 
 
 def test_attention_equals_loop(spark):
@@ -137,3 +137,45 @@ def test_logistic_equals_loop(spark):
     assert np.allclose(w, ww) and b == pytest.approx(bb)
     z = A.standardisation(df, "x", 3).first()
     assert np.allclose(z["mean"], x.mean(0)) and np.allclose(z["std"], x.std(0))
+
+
+def replay(rows, cap):
+    log = {}
+    for key, seq in rows:
+        if key not in log:
+            log[key] = seq
+            if len(log) > cap:
+                log.pop(next(iter(log)))
+    return log
+
+
+def test_late_rows_and_reentries_follow_processing_order(spark):
+    """Three batches: the log takes rows as they are processed, not by their number."""
+    schema = "id string, seq bigint"
+    batches = [[("a", 10), ("b", 11)], [("c", 5), ("a", 6)], [("a", 1), ("d", 2)]]
+    log = I.incident_log(spark.createDataFrame(batches[0], schema), "seq", cap=2)
+    for rows in batches[1:]:
+        log = I.merge_into_log(log, spark.createDataFrame(rows, schema), "seq", cap=2)
+    assert {r["id"]: r["seq"] for r in log.collect()} == replay([x for b in batches for x in sorted(b, key=lambda r: r[1])], 2)
+
+
+def test_spend_cap_has_one_window_over_day_totals(spark):
+    rows = [(d, c % 7, c, float(c % 5)) for d in range(6) for c in range(200)]
+    calls = spark.createDataFrame(rows, "day int, stretch int, call bigint, usd double")
+    kept = I.running_spend(calls, "day", ["stretch"], ["call"], "usd", 900.0)
+    total, want = 0.0, set()
+    for d, s, c, usd in sorted(rows):
+        if total < 900.0:
+            want.add((d, c, total))
+        total += usd
+    assert {(r["day"], r["call"], r["spent_before"]) for r in kept.collect()} == want
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SinglePartition") <= 2  # the totals of days, which calls and pieces both read
+
+
+def test_conversation_of_25_turns_is_one_thread(spark):
+    from parleyspark.operators.threads import threads_from_turns
+
+    turns = spark.createDataFrame([("k", n, f"t{n}") for n in reversed(range(25))], "conv string, turn int, text string")
+    got = threads_from_turns(turns, "conv", "turn", "text").collect()
+    assert len(got) == 1 and got[0]["length"] == 25 and got[0]["turns"] == [f"t{n}" for n in range(25)]
