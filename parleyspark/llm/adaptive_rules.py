@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parleyspark.llm.common import SPACE, join_small, keep, let, words
+from parleyspark.llm.common import SPACE, join_small, keep, let, unused, words
 
 WINDOW = 5
 #: Long counts that measure() adds.
@@ -57,6 +57,9 @@ RATES = {
     "word_length": ("word_chars", "n_words", 0.15, True),
 }
 
+#: Columns that adaptive_rules() adds, also for a while; a caller's own of these names are replaced.
+ADDED = [*MEASURES, "base_failed", "kept", *[f"{side}_{r}" for r in RATES for side in ("low", "high")]]
+
 
 def _covered(places: Column) -> Column:
     """Words that windows at these ascending places cover."""
@@ -95,8 +98,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     names = dict(zip(MEASURES, ("w.n", "c", "s", "l.d", "w.r", "l.n"), strict=True))
     rest = [c for c in docs.columns if c.lower() not in names]
     # out of a generator, the counts are values that later steps do not compute again
-    held = docs.select(*rest, F.explode(F.array(counted)).alias("_counted"))
-    return held.select(*rest, *[F.col(f"_counted.{path}").cast("long").alias(n) for n, path in names.items()])
+    (name,) = unused(docs, "_counted")
+    held = docs.select(*rest, F.explode(F.array(counted)).alias(name))
+    return held.select(*rest, *[F.col(f"{name}.{path}").cast("long").alias(n) for n, path in names.items()])
 
 
 def base_failed() -> Column:
