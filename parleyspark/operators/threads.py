@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parleyspark.functions import text as T
+from parleyspark.operators.ranks import running_before
+from parleyspark.operators.sampling import hash_order
 from parleyspark.session import cut_lineage
 
 
@@ -25,6 +27,32 @@ def threads_from_turns(turns: DataFrame, key: str, order: str, text: str) -> Dat
     )
 
 
+def hash_ranks(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """(key, rk): place of each row, from 0, in hash order of its key. Running counts by bucket; no global sort."""
+    placed = rows.select(F.col(key), hash_order(seed, F.col(key).cast("string")).alias("_h"))
+    before = running_before(placed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")), [], "_h", ["n"]).select("_h", "n_before")
+    tie = W.partitionBy("_h").orderBy(key)
+    return placed.join(before, "_h").select(key, (F.col("n_before") + F.row_number().over(tie) - 1).alias("rk"))
+
+
+def synthetic_windows(benign: DataFrame, abusive: DataFrame, key: str, seed: str) -> DataFrame:
+    """(kind, example, pos, key) of benign windows and camouflage windows.
+
+    Benign window e holds the benign rows 3e to 3e + 2 of a hash order, until fewer than three are left.
+    Camouflage window k has the benign rows 2k and 2k + 1, starting over at the end, before abusive row k.
+    """
+    calm, bad = hash_ranks(benign, key, seed), hash_ranks(abusive, key, seed)
+    n = benign.agg(F.count(F.lit(1)).alias("n")).scalar()
+    shape = lambda d, kind, example, pos: d.select(F.lit(kind).alias("kind"), example.cast("bigint").alias("example"), pos.cast("bigint").alias("pos"), key)
+    whole = calm.filter(F.col("rk") < F.floor(n / 3) * 3)
+    out = shape(whole, "benign_window", F.floor(F.col("rk") / 3), F.col("rk") % 3)
+    ends = bad.filter(n >= 2)
+    slots = ends.select(F.col("rk").alias("example"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    slots = slots.withColumn("rk", (2 * F.col("example") + F.col("pos")) % n).join(calm, "rk")
+    out = out.unionByName(shape(slots, "camouflage", F.col("example"), F.col("pos")))
+    return out.unionByName(shape(ends, "camouflage", F.col("rk"), F.lit(2)))
+
+
 def ancestor_chains(comments: DataFrame, max_hops: int) -> DataFrame:
     """Ids met when walking up from each comment, nearest first.
 

@@ -300,7 +300,7 @@ KINDS = ("paraphrase", "obfuscation", "contrastive")
 _SEEDS = f"""{B.LABELLED}, seeds AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY {B.s_int("'42|' || doc_id")}, doc_id) AS rn FROM lab WHERE split <> 'test'),
     jobs AS (SELECT doc_id, label, text AS seed_text, g, kind, 'synth-' || doc_id || '-' || kind AS vid,
         {B.s_int("'variant|' || doc_id || '|' || kind")} AS r, CASE WHEN kind = 'contrastive' THEN 1 - label ELSE label END AS want
-        FROM seeds, (SELECT unnest({B.words(KINDS)}) AS kind) WHERE rn <= 800),
+        FROM seeds, (SELECT unnest({B.words(KINDS)}) AS kind) WHERE rn <= {C.SEEDS_PER_SPLIT}),
     gen AS (SELECT *, CASE r % 5 WHEN 0 THEN seed_text WHEN 1 THEN left(seed_text, 16) WHEN 2 THEN reverse(seed_text) ELSE seed_text || ' ' || kind || ' ' || (r % 3) END AS text,
         ((r // 7) % 2)::BIGINT AS judge_label, ((r // 11) % 1000)::DOUBLE / 1000.0::DOUBLE AS judge_conf FROM jobs),
     ban AS (SELECT DISTINCT {B.s_norm('text')} AS norm FROM lab),
@@ -318,7 +318,7 @@ def variant_acceptance(spark, sf):
     global cap is a rank by key, not a race.
     """
     lab = B.labelled(spark, sf)
-    seeds = Sa.sample_per_group(lab.filter("split <> 'test'"), ["split"], "doc_id", 800, 42)
+    seeds = Sa.sample_per_group(lab.filter("split <> 'test'"), ["split"], "doc_id", C.SEEDS_PER_SPLIT, 42)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     key = F.col("doc_id").cast("string")
     jobs = seeds.select("doc_id", "label", F.col("text").alias("seed_text"), F.explode(kinds).alias("kind"))
@@ -369,7 +369,8 @@ def variant_acceptance(spark, sf):
     )
     survivors = cut_lineage(survivors.withColumn("late", late).drop("text", "seed_text"))
     passed = D.first_wins(survivors.filter("late IS NULL"), ["_norm"], ["vid"])
-    accepted = passed.orderBy("vid").limit(5000).select("vid", F.lit(True).alias("_in"))
+    capped = passed if C.ACCEPTED_VARIANTS is None else passed.orderBy("vid").limit(C.ACCEPTED_VARIANTS)
+    accepted = capped.select("vid", F.lit(True).alias("_in"))
     final = survivors.join(accepted, "vid", "left").withColumn(
         "fail_reason", F.coalesce("late", F.when(F.col("_in"), "accepted").otherwise("cap_or_race_dup"))
     )

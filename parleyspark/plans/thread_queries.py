@@ -111,24 +111,21 @@ def length_seeds(spark, sf):
     return Sa.sample_per_group(d.filter(F.col("n_chars").between(12, 1800)), ["label"], "doc_id", 40, 5)
 
 
+_RANKED = f"""{B.LABELLED}, k AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {order_hash('mix', 'doc_id')}, doc_id) - 1 AS rk FROM lab),
+    be AS (SELECT doc_id, rk FROM k WHERE label = 1), ab AS (SELECT doc_id, rk FROM k WHERE label = 0), nb AS (SELECT count(*) AS n FROM be)"""
+
+
 @query(
     "synthetic_windows",
-    f"""WITH {B.LABELLED}, b AS (SELECT doc_id, row_number() OVER (ORDER BY {order_hash('mix', 'doc_id')}, doc_id) - 1 AS rk FROM lab WHERE label = 1 QUALIFY rk < 300),
-        e AS (SELECT unnest(range(100)) AS ex), w AS (SELECT ex, unnest(range(3)) AS pos FROM e)
-        SELECT 'benign_window' AS kind, ex AS example, pos::BIGINT AS pos, doc_id FROM w JOIN b ON b.rk = (3 * ex + pos) % (SELECT count(*) FROM b)""",
+    f"""WITH {_RANKED}
+        SELECT 'benign_window' AS kind, rk // 3 AS example, (rk % 3)::BIGINT AS pos, doc_id FROM be, nb WHERE rk < n // 3 * 3
+        UNION ALL SELECT 'camouflage', ab.rk, p.pos::BIGINT, be.doc_id FROM ab, nb, (SELECT unnest([0, 1]) AS pos) p JOIN be ON be.rk = (2 * ab.rk + p.pos) % n WHERE n >= 2
+        UNION ALL SELECT 'camouflage', rk, 2, doc_id FROM ab, nb WHERE n >= 2""",
 )
 def synthetic_windows(spark, sf):
-    """Example e takes benign rows 3e .. 3e+2 of a hash order; the pool has fixed size."""
-    benign = Sa.sample(B.label_scores(spark, sf).filter("label = 1").select("doc_id"), "doc_id", 300, "mix")
-    order = W.orderBy(Sa.hash_order("mix", F.col("doc_id").cast("string")), "doc_id")
-    ranked = benign.withColumn("rk", F.row_number().over(order) - 1).withColumn("size", F.count(F.lit(1)).over(W.partitionBy()))
-    wanted = F.explode(F.sequence(F.lit(0), F.lit(299))).alias("slot")
-    size = ranked.agg(F.max("size")).scalar()
-    slots = spark.range(1).select(wanted).select("slot", (F.col("slot") % size).alias("rk"))
-    d = slots.join(F.broadcast(ranked), "rk")
-    return d.select(
-        F.lit("benign_window").alias("kind"), F.floor(F.col("slot") / 3).alias("example"), (F.col("slot") % 3).cast("bigint").alias("pos"), "doc_id"
-    )
+    """All benign rows in windows of three, and every abusive row behind two benign ones."""
+    rows = B.label_scores(spark, sf).select("doc_id", "label")
+    return Th.synthetic_windows(rows.filter("label = 1"), rows.filter("label = 0"), "doc_id", "mix")
 
 
 # --- threads --------------------------------------------------------------------------------
