@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "gate_queries", "metric_queries", "thread_queries", "evaluation_queries", "stream_queries")
+MODULES = ("text_queries", "gate_queries", "metric_queries", "thread_queries", "evaluation_queries", "stream_queries", "source_queries")
 
 
 def load_all():

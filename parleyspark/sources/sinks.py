@@ -12,7 +12,8 @@ from parleyspark.operators import gates as G
 
 
 def append_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    df.select(*fields).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    writer = df.select(*fields).write.mode("append").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
