@@ -140,8 +140,8 @@ def reference_streams(refs: Column, width: int) -> Column:
     return F.array(*[F.coalesce(F.get(refs, F.lit(k)), first) for k in range(width)])
 
 
-def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams) -> DataFrame:
-    """Matched and total hypothesis n-grams per order, clipped by the best reference.
+def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams, by: Sequence[str] = ()) -> DataFrame:
+    """Matched and total hypothesis n-grams per order (and ``by`` columns), clipped by the best reference.
 
     ``hyp`` is a word array, ``refs`` an array of them; ``grams`` maps a word
     array column to array<struct<n, gram>>. Hypothesis (k = -1) and references
@@ -154,7 +154,7 @@ def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams) ->
         F.max(F.when(F.col("k") < 0, F.col("c"))).alias("ch"), F.max(F.when(F.col("k") >= 0, F.col("c"))).alias("cr")
     )
     zero = F.lit(0)
-    return per_gram.groupBy(F.col("g.n").alias("n")).agg(
+    return per_gram.groupBy(*by, F.col("g.n").alias("n")).agg(
         F.sum(F.least(F.coalesce("ch", zero), F.coalesce("cr", zero))).alias("m"), F.sum(F.coalesce("ch", zero)).alias("t")
     )
 
@@ -183,6 +183,32 @@ def corpus_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) ->
     return wide.select(F.col("h").cast("bigint").alias("hyp_len"), F.col("r").cast("bigint").alias("ref_len"), score.alias("bleu"))
 
 
+def sentence_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) -> DataFrame:
+    """(key, bleu) of each row: BLEU in [0, 1] over the orders that the hypothesis is long enough for.
+
+    Exponential smoothing and the closest reference length; zero without any match. ``key`` is unique.
+    """
+    words = df.select(key, bleu_tokens(F.col(hyp)).alias("_h"), F.transform(refs, bleu_tokens).alias("_r"))
+    tagged = lambda w, n: F.transform(word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
+    per_n = clipped_counts(words, key, F.col("_h"), F.col("_r"), grams, [key])
+    pick = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}")
+    wide = per_n.groupBy(key).agg(*[pick(c, n) for n in range(1, max_n + 1) for c in "mt"])
+    sizes = words.select(key, F.size("_h").alias("h"), F.transform("_r", lambda r: F.size(r)).alias("r"))
+    closest = F.array_min(F.transform("r", lambda r: F.struct(F.abs(r - F.col("h")).alias("d"), r.alias("l"))))["l"]
+    d = sizes.select(key, F.col("h").cast("double").alias("h"), closest.cast("double").alias("r")).join(wide, key, "left")
+    smooth, log_sum, order = F.lit(1.0), F.lit(0.0), F.lit(0)
+    for n in range(1, max_n + 1):
+        m, t = F.col(f"m{n}"), F.col(f"t{n}")
+        smooth = F.when(m == 0, smooth * 2).otherwise(smooth)
+        p = F.when(m == 0, F.try_divide(F.lit(1.0), smooth * t)).otherwise(F.try_divide(m, t))
+        log_sum = log_sum + F.when(t > 0, F.log(p)).otherwise(0.0)
+        order = order + F.when(t > 0, 1).otherwise(0)
+    brevity = F.when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("r"), F.col("h"))))
+    score = F.when(F.coalesce(F.col("m1"), F.lit(0.0)) > 0, brevity * F.exp(log_sum / order)).otherwise(0.0)
+    return d.select(key, score.alias("bleu"))
+
+
 def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) -> DataFrame:
     """NIST score: information-weighted matches with the length penalty.
 

@@ -436,6 +436,23 @@ def bleu_halves(spark, sf):
     return S.corpus_bleu(h, "doc_id", "b", "refs").withColumn("bleu", F.round("bleu", 6))
 
 
+def _s_sentence_bleu() -> str:
+    base = _s_bleu().split("p AS (SELECT n,")[0]
+    zeros = lambda n: " + ".join(f"(m{k} = 0)::INT" for k in range(1, n + 1))
+    logs = " + ".join(f"CASE WHEN t{n} > 0 THEN ln(CASE WHEN m{n} > 0 THEN m{n} / t{n} ELSE 1.0 / (pow(2, {zeros(n)}) * t{n}) END) ELSE 0 END" for n in range(1, 5))
+    order = " + ".join(f"(t{n} > 0)::INT" for n in range(1, 5))
+    picks = ", ".join(f"coalesce(max(m) FILTER (n = {n}), 0)::DOUBLE AS m{n}, coalesce(max(t) FILTER (n = {n}), 0)::DOUBLE AS t{n}" for n in range(1, 5))
+    return f"""{base}p AS (SELECT doc_id, n, sum(least(ch, cr)) AS m, sum(ch) AS t FROM c GROUP BY doc_id, n), w AS (SELECT doc_id, {picks} FROM p GROUP BY doc_id)
+        SELECT t.doc_id, round(CASE WHEN coalesce(m1, 0) = 0 THEN 0.0 ELSE (CASE WHEN len(y) >= len(r) THEN 1.0 ELSE exp(1 - len(r)::DOUBLE / len(y)::DOUBLE) END) * exp(({logs}) / ({order})) END, 6) AS bleu
+        FROM t LEFT JOIN w USING (doc_id)"""
+
+
+@query("sentence_bleu_halves", _s_sentence_bleu())
+def sentence_bleu_halves(spark, sf):
+    h = halves(spark, sf).withColumn("refs", S.reference_streams(F.array("a"), 2))
+    return S.sentence_bleu(h, "doc_id", "b", "refs").withColumn("bleu", F.round("bleu", 6))
+
+
 @query("chrf_halves")
 def chrf_halves(spark, sf):
     """All character n-grams to order 6 of whole texts; too many rows for a SQL twin."""

@@ -1,3 +1,4 @@
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,12 @@ def test_bleu_and_chrf_of_equal_texts(spark):
 
     want = math.exp(1 - 6 / 5) * (1 * 0.75 * (2 / 3) * 0.5) ** 0.25
     assert S.corpus_bleu(other, "id", "h", "r").first()["bleu"] == pytest.approx(want)
+
+
+def test_sentence_bleu_by_hand(spark):
+    rows = [("full", "the cat sat on the mat", ["the cat sat on the mat"]), ("none", "x y", ["a b"]), ("short", "the cat", ["the cat sat"]), ("empty", "", ["a"]), ("two", "a b c d", ["q", "a b c d e"]), ("smooth", "a b c d e", ["a x c y e"])]
+    got = {r["doc"]: r["bleu"] for r in S.sentence_bleu(spark.createDataFrame(rows, "doc string, h string, r array<string>"), "doc", "h", "r").collect()}
+    assert got["full"] == pytest.approx(1) and got["none"] == got["empty"] == 0.0
+    assert got["short"] == pytest.approx(math.exp(1 - 3 / 2))  # two words: orders 1 and 2 only
+    assert got["two"] == pytest.approx(math.exp(1 - 5 / 4))  # the longer reference is the closest in length
+    assert got["smooth"] == pytest.approx((3 / 5 * 1 / (2 * 4) * 1 / (4 * 3) * 1 / (8 * 2)) ** 0.25)
