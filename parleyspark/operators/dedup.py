@@ -73,6 +73,19 @@ def attach_all(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     return joined.filter(checked).drop("_found")
 
 
+def attach_left(rows: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Lookup by a unique key; NULL where the key is absent. Columns that rows have already stay as they are."""
+    fresh = [c for c in columns if c not in rows.columns]
+    return rows.join(lookup.select(key, *fresh), key, "left")
+
+
+def attach_by_number(rows: DataFrame, text_id: str, lookup: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    """Inner join on the whole number that a text id holds after its prefix; ids without one match nothing."""
+    number = F.regexp_extract(text_id, f"^{prefix}([0-9]+)$", 1).try_cast("bigint")
+    numbered = rows.withColumn("_number", number)
+    return numbered.join(lookup, numbered["_number"] == lookup[key]).drop("_number")
+
+
 def seen_once(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """First delivery of each (contact, text)."""
     return first_wins(df, list(keys), [order])

@@ -144,3 +144,55 @@ def sink_append(spark, sf):
     for _ in range(2):
         K.append_csv(d, path, ["doc_id", "lang"])
     return R.read_csv(spark, path, "doc_id bigint, lang string").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "sink_split_errors",
+    f"""WITH {B.LABELLED}, p AS (SELECT doc_id, split, label, (CASE WHEN g >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS pred FROM lab)
+        SELECT 'scored' AS kind, split, count(*) AS n, sum(pred)::BIGINT AS predicted FROM p GROUP BY split UNION ALL SELECT 'errors', split, count(*), sum(pred)::BIGINT FROM p WHERE label <> pred GROUP BY split""",
+)
+def sink_split_errors(spark, sf):
+    """Scored and wrong rows of each split, read back from their folders."""
+    path = folder(spark)
+    rows = B.label_scores(spark, sf).select("doc_id", "split", "label", F.when(F.col("g") >= 0.5, 1).otherwise(0).cast("bigint").alias("pred"))
+    K.write_split_errors(rows, path, "label", "pred")
+    return spark.read.parquet(path).groupBy("kind", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("predicted"))
+
+
+@query("left_lookup", "SELECT d.lang, count(*) AS n, count(l.toxic) AS known, coalesce(sum(l.toxic), 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang")
+def left_lookup(spark, sf):
+    """Labels of documents, NULL for those without."""
+    from parleyspark.operators.dedup import attach_left
+
+    d = attach_left(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", ["toxic"])
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("toxic").alias("known"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("bigint").alias("toxic"))
+
+
+@query(
+    "numbered_key_join",
+    "SELECT n.n_name, count(*) AS n FROM documents d JOIN nation n ON n.n_nationkey = TRY_CAST(regexp_extract(d.source, '^src([0-9]+)$', 1) AS BIGINT) GROUP BY n.n_name",
+)
+def numbered_key_join(spark, sf):
+    """Join on the number inside a text id."""
+    from parleyspark.operators.dedup import attach_by_number
+
+    d = attach_by_number(table(spark, sf, "documents").select("source"), "source", table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", "src")
+    return d.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIVE = ", ".join(B.s_unit(f"'c{k}|' || text") for k in range(5))
+
+
+@query("cached_class_scores", f"WITH s AS (SELECT doc_id, [{_FIVE}] AS p FROM documents) SELECT doc_id, list_position(p, list_max(p)) - 1 AS best, list_max(p) AS top FROM s")
+def cached_class_scores(spark, sf):
+    """Five class scores for each distinct text; the second half of the table finds those of the first in the cache."""
+    from parleyspark.functions.hashing import hash_unit
+    from parleyspark.operators.scoring import cached_scores
+
+    path = folder(spark)
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    scorer = lambda t: F.array(*[hash_unit(F.lit(f"c{k}"), t) for k in range(5)])
+    cached_scores(d.filter("doc_id % 2 = 0"), "text", scorer, path)
+    scored = cached_scores(d, "text", scorer, path, "p")
+    top = F.array_max("p")
+    return scored.select("doc_id", (F.array_position("p", top) - 1).cast("int").alias("best"), top.alias("top"))

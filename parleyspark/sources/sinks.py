@@ -35,6 +35,12 @@ def release_from_quarantine(quarantine: DataFrame) -> tuple[DataFrame, DataFrame
     return quarantine.filter(~out), quarantine.filter(out)
 
 
+def write_split_errors(scored: DataFrame, path: str, label: str, pred: str) -> None:
+    """Scored rows and those predicted wrongly, a folder for each split, in one pass."""
+    kinds = F.when(F.col(label) != F.col(pred), F.array(F.lit("scored"), F.lit("errors"))).otherwise(F.array(F.lit("scored")))
+    scored.withColumn("kind", F.explode(kinds)).write.mode("overwrite").partitionBy("kind", "split").parquet(path)
+
+
 def check_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
