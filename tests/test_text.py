@@ -179,3 +179,21 @@ def test_sentence_bleu_by_hand(spark):
     assert got["short"] == pytest.approx(math.exp(1 - 3 / 2))  # two words: orders 1 and 2 only
     assert got["two"] == pytest.approx(math.exp(1 - 5 / 4))  # the longer reference is the closest in length
     assert got["smooth"] == pytest.approx((3 / 5 * 1 / (2 * 4) * 1 / (4 * 3) * 1 / (8 * 2)) ** 0.25)
+
+
+def test_edit_distance_equals_the_table():
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    draw = random.Random(4)
+    for _ in range(500):
+        a, b = ([draw.choice("abcde"[: draw.randrange(2, 6)]) for _ in range(draw.randrange(30))] for _ in range(2))
+        assert S.edit_distance(a, b) == table(a, b)
