@@ -96,9 +96,10 @@ def draw(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), 1)
 
 
-def _extra(prefix: str = "prefix", last: str = "last") -> Column:
-    head = F.shiftright("draw", 63 - BITS * PASSES)
-    return (head < F.col(prefix)) | ((head == F.col(prefix)) & F.col(last))
+def below(draw_: Column, prefix: Column, last: Column) -> Column:
+    """Whether a draw is below the threshold: by its first bits, and at the very prefix if `last` says so."""
+    head = F.shiftright(draw_, 63 - BITS * PASSES)
+    return (head < prefix) | ((head == prefix) & last)
 
 
 def thresholds(units: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def thresholds(units: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
 def switched(units: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
     """(by..., draw): at most SWITCHES units of a cell whose extra copy is turned over, to come nearer to its target."""
     flips = None
-    base = keep(join_small(units, cells, by, "inner").select(*by, "draw", "size", "whole", "target", _extra().alias("extra")))
+    base = keep(join_small(units, cells, by, "inner").select(*by, "draw", "size", "whole", "target", below(F.col("draw"), F.col("prefix"), F.col("last")).alias("extra")))
     for _ in range(SWITCHES):
         now = base
         if flips is not None:
@@ -162,8 +163,7 @@ def _with_copies(docs: DataFrame, known: DataFrame, flips: DataFrame, out: list[
     rows = docs.withColumns({held["source"]: F.col(source), held["draw"]: draw(doc_id, text), out[0]: n_words(F.col(text))})
     rows = join_small(rows, known.withColumnsRenamed(held), [held["source"]], "left")
     rows = join_small(rows, flips.withColumn("flip", F.lit(True)).withColumnsRenamed(held), [held["source"], held["draw"]], "left")
-    head = F.shiftright(held["draw"], 63 - BITS * PASSES)
-    extra = (head < F.col(held["prefix"])) | ((head == F.col(held["prefix"])) & F.col(held["last"]))
+    extra = below(*[F.col(held[c]) for c in ("draw", "prefix", "last")])
     extra = extra != F.coalesce(F.col(held["flip"]), F.lit(False))
     rows = rows.withColumns({out[1]: F.col(held["source_size"]), out[2]: F.col(held["target"]), out[3]: F.coalesce(F.col(held["whole"]) + extra.cast("int"), F.lit(0))})
     return rows.drop(*held.values())

@@ -85,15 +85,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-@dataclass
-class Region:
-    """Words of a region as (start, end) in the text."""
-
-    words: list[tuple[int, int]]
-
-
-def regions(text: str) -> Iterator[Region]:
-    """Words near triggers; regions that touch are one."""
+def regions(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Words near triggers, as (start, end) in the text; regions that touch are one."""
     if not ("@" in text or _DIGIT.search(text) or any(x in text.lower() for x in _SPELLED)):
         return
     recent: list[tuple[int, int]] = []  # the last words without a trigger
@@ -109,11 +102,11 @@ def regions(text: str) -> Iterator[Region]:
             quiet += 1
         else:
             if now:
-                yield Region(now)
+                yield now
                 now, quiet = [], 0
             recent = [*recent[1 - AROUND :], m.span()]
     if now:
-        yield Region(now)
+        yield now
 
 
 def trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -161,7 +154,7 @@ class Field:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """Best segmentation's entities of every region."""
-        return [x for region in regions(text) for x in self._best(text, region.words)]
+        return [x for region in regions(text) for x in self._best(text, region)]
 
     def _best(self, text: str, words: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         types = len(KINDS) + 1
@@ -222,7 +215,7 @@ def rewritten(kind: str, span: str, draw: int) -> str:
     return span
 
 
-def training_regions(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def training_regions(docs: DataFrame, s: Settings, text: str = "text") -> DataFrame:
     """(draw, words, spans): regions as words joined by spaces, with (kind, start, end) of base spans in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +225,9 @@ def training_regions(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text:
                 whole = value.as_py() or ""
                 base = base_spans(whole)
                 for region in regions(whole):
-                    if len(region.words) > s.longest_region:
+                    if len(region) > s.longest_region:
                         continue
-                    lo, hi = region.words[0][0], region.words[-1][1]
+                    lo, hi = region[0][0], region[-1][1]
                     if hi - lo > 2000:
                         continue
                     piece = whole[lo:hi]
@@ -345,8 +338,8 @@ def fit(examples: list[tuple[str, list[tuple[str, int, int]]]], s: Settings) ->
     return field
 
 
-def train(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> Field:
-    rows = training_regions(docs, s, doc_id, text).toPandas()
+def train(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Field:
+    rows = training_regions(docs, s, text).toPandas()
     split = lambda x: [(k, int(a), int(b)) for k, a, b in (y.split(":") for y in x.split(",") if y)]
     return fit([_example(r.words, split(r.spans), int(r.draw)) for r in rows.itertuples()], s)
 
