@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parleyspark.functions import text as T
 from parleyspark.operators import attention as A
 from parleyspark.operators import incidents as I
 from parleyspark.operators import windows as Wi
