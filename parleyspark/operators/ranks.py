@@ -15,14 +15,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int = 256) -> DataFrame:
+def running_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before``, the total of c over strictly smaller values of the key,
     and ``<c>_total``, the total over the key.
 
     ``df`` holds at most one row per (keys, value). A bucket holds about a
-    ``buckets``-th of these rows, over all keys.
+    ``buckets``-th of these rows, over all keys; by default there are as many as
+    shuffle partitions, between 32 and 256.
     """
     keys = list(keys)
+    if buckets is None:
+        buckets = min(256, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     edges = df.agg(F.sort_array(F.percentile_approx(value, probs, 20 * buckets)).alias("e")).scalar()
     bucketed = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda x: x < F.col(value)))).drop("_e")
