@@ -19,7 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parleyspark.llm.common import running
+from parleyspark.llm.common import running, unused
+
+#: Columns that shard_documents() adds.
+ADDED = ["size", "region", "rack", "shard", "slot", "grown_shard"]
 
 
 @dataclass(frozen=True)
@@ -64,18 +67,29 @@ def place(key: Column, leaves: Sequence[Leaf]) -> Column:
 
 
 def shard_documents(docs: DataFrame, leaves: Sequence[Leaf], grown: Sequence[Leaf] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, text_crc32, region, rack, shard, slot, grown_shard) of each row.
+    """docs with ADDED: size, region, rack, shard, slot and grown_shard; names are changed if taken.
 
     size: bytes of the text plus 8. slot: 0, 1, 2, ... inside the shard in order of key. grown_shard: the
     shard under the `grown` tree, null without one.
     """
-    whole = F.col(text).cast("binary")
+    out = unused(docs, *ADDED)
     spot = place(F.col(key).cast("string"), leaves)
     rows = docs.select(
+        F.struct("*").alias("row"),
         F.col(key).alias("key"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce(whole, F.lit("").cast("binary"))).alias("text_crc32"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"),
         spot.alias("place"),
         (place(F.col(key).cast("string"), grown)["shard"] if grown else F.lit(None).cast("int")).alias("grown_shard"),
-    ).select("key", "size", "text_crc32", "place.region", "place.rack", "place.shard", "grown_shard")
-    return running(rows, ["shard"], ["key", "text_crc32"]).withColumnsRenamed({"before": "slot", "key": key})
+    ).select("row", "key", "crc", "size", "place.region", "place.rack", "place.shard", "grown_shard")
+    done = running(rows, ["shard"], ["key", "crc"]).withColumnRenamed("before", "slot")
+    return done.select("row.*", *[F.col(c).alias(n) for c, n in zip(ADDED, out, strict=True)])
+
+
+def write_shards(sharded: DataFrame, path: str, region: str = "region", rack: str = "rack", shard: str = "shard", slot: str = "slot") -> None:
+    """Write a result of shard_documents() as Parquet, with a folder of its own for each region, rack and shard.
+
+    Rows lie by range of (shard, key) already, so a task writes to few shards; each file is in order of slot.
+    """
+    keys = [region, rack, shard]
+    sharded.sortWithinPartitions(*keys, slot).write.partitionBy(*keys).parquet(path)

@@ -9,6 +9,9 @@ open bins stay partly empty.
 
 Documents longer than a sequence are cut into full pieces, after a first piece with what is over.
 
+Pieces carry their ids; (sequence_id, offset) tells pieces apart, also those of repeated rows. `sequences` joins
+the ids of each sequence, and `write_sequences` writes them.
+
 Defined results: a null or empty text is the final id alone; repeated rows are packed one by one; an empty
 table gives no rows.
 """
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -127,22 +129,21 @@ def _pieces(rows: DataFrame, tokenizer: Tokens, room: int, open_bins: int, final
                 for k, text in enumerate(batch.column(1).slice(at, 64)):
                     data = encode(text.as_py() or "") + end
                     for piece, (start, length) in enumerate(cut(len(data) // 4, room)):
-                        crc = zlib.crc32(memoryview(data)[4 * start : 4 * (start + length)])
-                        out.append((at + k, piece, start, length, crc, *bins.add(length)))
+                        out.append((at + k, piece, start, length, data[4 * start : 4 * (start + length)], *bins.add(length)))
                 cols = list(zip(*out, strict=True))
-                made = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:5]]]
+                made = [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:4]], pa.array(cols[4], pa.binary())]
                 made += [pa.array(np.array(cols[5], np.int64) + (task << 40)), pa.array(cols[6], pa.int64()), pa.nulls(len(out), pa.int64())]
-                yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "held"])
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids", "bin", "offset", "held"])
         left = bins.left()
         n = len(left)
-        ends = [pa.nulls(n, ids_type), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3, pa.array([(task << 40) + b for b in left], pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(left.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(ends, ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "held"])
+        ends = [pa.nulls(n, ids_type), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.binary()), pa.array([(task << 40) + b for b in left], pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(left.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(ends, ["doc_id", "piece", "start", "length", "ids", "bin", "offset", "held"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = rows.schema["doc_id"].dataType
     ids_type = to_arrow_type(kind)
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, held bigint")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start bigint, length bigint, ids binary, bin bigint, offset bigint, held bigint")
 
 
 def _merge(open_rows: DataFrame, room: int, open_bins: int, tasks: int, level: int) -> DataFrame:
@@ -163,7 +164,7 @@ def _merge(open_rows: DataFrame, room: int, open_bins: int, tasks: int, level: i
 
 
 def pack(docs: DataFrame, tokenizer: Tokens, room: int = 2048, open_bins: int = 256, final: int = 0, per_task: int = 16_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of each piece; ids are little-endian 32-bit numbers.
 
     final: the id after each document. per_task: open bins that one task of a later round packs.
     """
@@ -185,4 +186,41 @@ def pack(docs: DataFrame, tokenizer: Tokens, room: int = 2048, open_bins: int =
         left = found.where("held is not null").select(F.col("into").alias("bin"), "held")
     if moves is not None:
         pieces = pieces.drop("shift").join(moves, "bin", "left").withColumns({"sequence_id": F.coalesce("into", "bin"), "shift": F.coalesce("shift", F.lit(0))})
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("offset") + F.col("shift")).alias("offset"))
+    return pieces.select("doc_id", "piece", "start", "length", "ids", "sequence_id", (F.col("offset") + F.col("shift")).alias("offset"))
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, ids, pieces) of each sequence: all its ids, and what they are of by offset.
+
+    pieces: a result of pack(), which is written first, as its sequences are dealt anew.
+    """
+    kind = pieces.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+
+        def made() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(x.pop("ids") for x in parts), "<u4").astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([parts], pa.list_(inner))], ["sequence_id", "ids", "pieces"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if parts and row["sequence_id"] != held:
+                    yield made()
+                    parts = []
+                held = row.pop("sequence_id")
+                parts.append(row)
+        if parts:
+            yield made()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    inner = pa.struct([("doc_id", to_arrow_type(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())])
+    dealt = pieces.select("sequence_id", "doc_id", "piece", "start", "length", "offset", "ids")
+    dealt = dealt.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return dealt.mapInArrow(run, f"sequence_id bigint, ids array<int>, pieces array<struct<doc_id: {kind.simpleString()}, piece: int, start: bigint, length: bigint, offset: bigint>>")
+
+
+def write_sequences(pieces: DataFrame, path: str) -> None:
+    """Write sequences(pieces) as Parquet."""
+    sequences(pieces).write.parquet(path)

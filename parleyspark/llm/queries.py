@@ -119,7 +119,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards in a tree of four regions and three racks each, and with one more shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = hash_tree.shard_documents(docs, hash_tree.tree(24), hash_tree.tree(25))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return out.select("doc_id", "size", crc, F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
 _TOP = """
@@ -176,7 +177,8 @@ def tokenizer(name: str = TOKENIZER) -> packing.Tokens:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 ids."""
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query("op10_semi_markov_pii")
