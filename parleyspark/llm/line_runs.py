@@ -12,8 +12,9 @@ A line goes if its hash is in at least `least` documents and its document is not
 doc_id that holds it. Only those lines travel back: each document gets the places of its dropped lines.
 
 Defined results: a null or empty text is one empty line; lines repeated inside a document count once, and all
-go or stay together; a hash is 128 bits of two hash functions; each row counts as a document, and rows with
-the same doc_id are owners together; a null doc_id is below every other; an empty table gives no rows.
+go or stay together; a hash is 128 bits of two hash functions; rows with the same doc_id are one document and
+owners together; a null doc_id is below every other, and rows without one are told apart by text; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -122,10 +123,12 @@ def dropped_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches:
     # sorted by key, so that the first place of a key, which stands for its document, is known by its neighbour
     marked = let(F.array_sort(places), lambda s: F.transform(s, lambda x, k: F.struct(x["key"]["h"].alias("h"), x["key"]["g"].alias("g"), x["place"].alias("place"), (~F.get(s, k - 1)["key"].eqNullSafe(x["key"])).alias("first"))))
     each = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.explode(marked).alias("e"))
-    entries = keep(each.select("doc_id", "text_hash", "e.*", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).alias("batch")))
+    # what tells documents apart: the id, or else the text; rows of one document share a batch
+    own = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    entries = keep(each.select("doc_id", "text_hash", "e.*", own.alias("own"), F.pmod(F.xxhash64("doc_id", own), F.lit(batches)).alias("batch")))
     runs = LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), owner=entries.schema["doc_id"].dataType.simpleString())
     for k in range(batches):
-        runs.add(entries.where(f"batch = {k} and first"))
+        runs.add(entries.where(f"batch = {k} and first").select("doc_id", "own", "h", "g").distinct())
     owners = keep(runs.shared(least))
     runs.close()
     gone = entries.join(owners, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
