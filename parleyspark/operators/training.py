@@ -5,6 +5,11 @@ gradient of its own mean loss from the executor that holds it; Spark averages
 the block gradients and the driver, which only ever holds the weights, takes one
 Adam step. Blocks, not partitions, define the loss, so the result does not depend
 on how the data is spread.
+
+Without a number of steps, every block of rows is an update, as in sequential
+training: groups of hashed examples each take Adam steps through their own blocks, in
+a new order each epoch, and weights and moments are averaged over groups after each
+epoch. One group, which small tables are, is the sequential schedule itself.
 """
 
 from __future__ import annotations
@@ -115,11 +120,81 @@ def _block_gradients(w: Weights, lam: float):
     return run
 
 
+def _pack(w: Weights) -> np.ndarray:
+    return np.concatenate([np.ravel(getattr(w, m)) for m in NAMES]).astype(float)
+
+
+def _unpack(flat: np.ndarray, like: Weights) -> Weights:
+    sizes = [np.ravel(getattr(like, m)).size for m in NAMES]
+    pieces = np.split(flat, np.cumsum(sizes)[:-1])
+    new = {m: p.reshape(np.shape(getattr(like, m))) for m, p in zip(NAMES, pieces)}
+    return replace(like, **{**new, "bias": float(new["bias"])})
+
+
+def _adam(flat, first, second, g, t: int, lr: float, l2: float):
+    g = g.copy()
+    g[:-1] += l2 * flat[:-1]
+    first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+    return flat - lr * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8), first, second
+
+
+def _group_epoch(w: Weights, first: np.ndarray, second: np.ndarray, t: int, epoch: int, block_rows: int, lr: float, lam: float, l2: float):
+    """One epoch of a group: an update for each block of rows; blocks of under four are left, as in the reference."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k").reset_index(drop=True)
+        order = np.random.default_rng([epoch, int(pdf["part"].iloc[0])]).permutation(len(pdf))
+        x, live = pad_slots(pdf["slots"].to_list(), len(w.mean), w)
+        y = pdf["y"].to_numpy(dtype=float)
+        flat, m, v, n, loss, steps = _pack(w), first, second, 0, 0.0, 0
+        for at in range(0, len(order), block_rows):
+            rows = order[at : at + block_rows]
+            if len(rows) < 4:
+                continue
+            steps += 1
+            one, g = batch_gradient(x[rows], live[rows], y[rows], _unpack(flat, w), lam)
+            flat, m, v = _adam(flat, m, v, np.concatenate([np.ravel(g[k]) for k in NAMES]), t + steps, lr, l2)
+            n, loss = n + len(rows), loss + len(rows) * one
+        return pd.DataFrame({"n": [n], "steps": [steps], "loss": [loss], "state": [n * np.concatenate([flat, m, v])]})
+
+    return run
+
+
+def _train_groups(examples: DataFrame, key: str, slots: str, y: str, w: Weights, epochs: int, block_rows: int, group_blocks: int, lr: float, lam: float, l2: float):
+    total = examples.count()
+    groups = max(1, total // (block_rows * group_blocks))
+    part = (stable_int(F.lit("part"), F.col(key).cast("string")) % groups).cast("bigint")
+    data = examples.select(part.alias("part"), F.col(key).alias("k"), F.col(slots).alias("slots"), F.col(y).cast("double").alias("y"))
+    data = cut_lineage(data.repartition("part"))
+    size = len(_pack(w))
+    first, second, t, losses = np.zeros(size), np.zeros(size), 0, []
+    for epoch in range(epochs):
+        run = _group_epoch(w, first, second, t, epoch, block_rows, lr, lam, l2)
+        made = data.groupBy("part").applyInPandas(run, "n bigint, steps bigint, loss double, state array<double>").where("n > 0")
+        rows = made.select("n", "steps", "loss", F.posexplode("state").alias("i", "v")).groupBy("i").agg(
+            F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.max("steps").alias("steps")
+        ).collect()  # three rows per weight
+        if not rows:
+            break
+        state = np.zeros(3 * size)
+        for r in rows:
+            state[r["i"]] = r["v"] / r["n"]
+        flat, first, second = np.split(state, 3)
+        w, t = _unpack(flat, w), t + rows[0]["steps"]
+        losses.append(rows[0]["loss"] / rows[0]["n"])
+    return w, losses
+
+
 def train_attention(
     examples: DataFrame, key: str, slots: str, y: str, start: Weights, *,
-    epochs: int = 6, steps: int = 4, block_rows: int = 32, lr: float = 0.025, lam: float = 0.45, l2: float = 1e-4,
+    epochs: int = 6, steps: int | None = None, block_rows: int = 32, group_blocks: int = 64, lr: float = 0.025, lam: float = 0.45, l2: float = 1e-4,
 ):
-    """(trained weights, mean loss per step). ``slots`` is array<array<double>>."""
+    """(trained weights, mean loss per step, or per epoch without steps). ``slots`` is array<array<double>>.
+
+    steps: averaged updates per epoch; None: one update for each block of rows, group_blocks of them in a group.
+    """
+    if steps is None:
+        return _train_groups(examples, key, slots, y, start, epochs, block_rows, group_blocks, lr, lam, l2)
     total = examples.count()
     n_blocks = max(1, total // block_rows)
     block = stable_int(F.lit("block"), F.col(key).cast("string")) % n_blocks
@@ -144,11 +219,6 @@ def train_attention(
             for r in rows:
                 g[r["i"]] = r["v"] / r["n"]
             losses.append(rows[0]["loss"] / rows[0]["n"])
-            flat = np.concatenate([np.ravel(getattr(w, m)) for m in NAMES])
-            g[:-1] += l2 * flat[:-1]
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            flat = flat - lr * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-            pieces = np.split(flat, np.cumsum(sizes)[:-1])
-            new = {m: p.reshape(np.shape(getattr(w, m))) for m, p in zip(NAMES, pieces)}
-            w = replace(w, **{**new, "bias": float(new["bias"])})
+            flat, first, second = _adam(_pack(w), first, second, g, t, lr, l2)
+            w = _unpack(flat, w)
     return w, losses

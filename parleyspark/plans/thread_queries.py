@@ -541,7 +541,7 @@ def attention_training(spark, sf):
     feats = A.with_features(pieces, "text", ABUSE_STEMS, BENIGN_STEMS)
     slots = feats.groupBy("doc_id", "y").agg(F.sort_array(F.collect_list(F.struct("pos", "feats"))).alias("_s"))
     rows = cut_lineage(slots.select("doc_id", "y", F.col("_s.feats").alias("slots")))
-    w, _ = train_attention(rows, "doc_id", "slots", "y", weights(), epochs=6, steps=2)
+    w, _ = train_attention(rows, "doc_id", "slots", "y", weights(), epochs=6)
     return rows.select("doc_id", "y", A.attention_udf(w)(F.col("slots"))["score"].alias("score"))
 
 
