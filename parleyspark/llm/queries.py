@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, hash_tree, line_runs, ordinal, packing, semicrf, simhash
+from parleyspark.llm import adaptive_rules, balance, class_lm, cover_tree, filter_audit, hash_tree, line_runs, order_minhash, ordinal, packing, semicrf, simhash, turn_repair
 from parleyspark.llm.common import keep
 from parleyspark.session import table
 
@@ -193,3 +193,120 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(line(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"),
     )
+
+
+@query("op11_order_minhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the next one's beginning at its end."""
+    made = order_minhash.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+#: The twin takes CRC-32 over the digits of the key by a table it makes, and finds the least (cost, audit) of each state row by row.
+_REPAIR = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, (SELECT unnest([1, 2]) AS copy) WHERE fault <> 0 AND (copy = 1 OR fault = 3)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS i FROM d
+), f AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS c FROM n
+), o AS (
+  SELECT *, blank OR again AS doomed, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM f
+), ins(state, k, mid, lines) AS (
+  VALUES ('0', 0, '0', []::VARCHAR[]), ('0', 1, 'u', ['user:']), ('0', 2, 'a', ['user:', 'assistant:']), ('s', 0, 's', []), ('s', 1, 'u', ['user:']), ('s', 2, 'a', ['user:', 'assistant:']),
+    ('u', 0, 'u', []), ('u', 1, 'a', ['assistant:']), ('u', 2, 'u', ['assistant:', 'user:']), ('a', 0, 'a', []), ('a', 1, 'u', ['user:']), ('a', 2, 'a', ['user:', 'assistant:'])
+), p(conv_id, i, state, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '0', {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} FROM o
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT p.conv_id, o.i, CASE act WHEN 'D' THEN mid WHEN 'K' THEN c WHEN 'R' THEN CASE mid WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+      {'cost': best.cost + 3 * k + CASE act WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN act <> 'D' AND cut THEN 3 ELSE 0 END, 'audit': best.audit || repeat('I', k) || act,
+       'lines': best.lines || ins.lines || CASE act WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [CASE mid WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text] END} AS best
+    FROM p JOIN o ON p.conv_id IS NOT DISTINCT FROM o.conv_id AND o.i = p.i + 1 JOIN ins ON ins.state = p.state, (SELECT unnest(['D', 'K', 'R']) AS act)
+    WHERE act = 'D' OR NOT doomed AND (act = 'R' OR mid || c IN ('0s', '0u', 'su', 'au', 'ua'))
+  ) GROUP BY conv_id, i, state
+), z AS (
+  SELECT p.conv_id, min({'cost': best.cost + 3 * k, 'audit': best.audit || repeat('I', k), 'lines': best.lines || ins.lines}) AS best
+  FROM p JOIN ins ON ins.state = p.state AND mid IN ('0', 'a') JOIN (SELECT conv_id, max(i) AS i FROM o GROUP BY conv_id) e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND p.i = e.i
+  GROUP BY p.conv_id
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT doomed) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """One in twenty rows each dropped, emptied, without sentence ends, repeated, and given the role user, by the CRC-32 of their key."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    text = F.coalesce("text", space)
+    rows = turns.withColumn("_fault", F.crc32(key.cast("binary")) % 20).where("_fault <> 0")
+    changed = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(F.col("_fault") == 4, "user").otherwise(F.coalesce("role", space))
+    copies = F.explode(F.when(F.col("_fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), changed.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+@query("op12_turn_repair", _REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest edits that mend its turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows, counts = turn_repair.repair(damaged(turns))
+    counted = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = turns.select("conv_id", *[F.lit(0).cast("long").alias(c) for c in counted]).distinct()
+    some = every.unionByName(counts).unionByName(turn_repair.digests(rows), allowMissingColumns=True)
+    some = some.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in [*counted, "audit", "repaired_sha256"]])
+    return some.withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
+#: The twin unrolls all orders over counts by part and failed filters; a step removes what fails its letter and no earlier one.
+_AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), h AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), c AS (SELECT unnest(string_split('ABCDE', '')) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM c a, c b, c c, c d, c e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), r AS (
+  SELECT part, filter_order, fails, n, good, bad, list_min(list_transform(string_split(fails, ''), lambda x: strpos(filter_order, x))) AS gone FROM h, o WHERE fails <> ''
+  UNION ALL SELECT part, filter_order, fails, n, good, bad, 99 FROM h, o WHERE fails = ''
+), s AS (
+  SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter,
+    coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone < step AND contains(fails, substr(filter_order, step, 1))), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = substr(filter_order, step, 1)), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM r, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s
+"""
+
+
+@query("op13_filter_audit", _AUDIT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove by language, order and step."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.audit(filter_audit.failures(docs), labels)
