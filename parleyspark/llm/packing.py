@@ -35,12 +35,16 @@ from parleyspark.llm.common import keep
 
 @dataclass(frozen=True)
 class Tokens:
-    """A tokenizer file with the pattern that splits texts and the special string (both for .tiktoken files)."""
+    """A tokenizer file with the pattern that splits texts and the special string (both for .tiktoken files).
+
+    whole: the .json file of the same vocabulary, for texts that the pattern cannot take.
+    """
 
     path: str
     pattern: str = ""
     special: str = "<|endoftext|>"
     special_id: int = 50256
+    whole: str = ""
 
 
 class Bins:
@@ -92,19 +96,23 @@ def cut(length: int, room: int) -> list[tuple[int, int]]:
     return [(a, (first if a == 0 and first else room)) for a in starts]
 
 
+#: White space in a row beyond which the pattern of a .tiktoken file, which steps back through it, may end the process.
+LONG_SPACE = 100_000
+
+
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, pattern: str, special: str, special_id: int) -> Callable[[str], bytes]:
+def encoder(path: str, pattern: str, special: str, special_id: int, whole: str = "") -> Callable[[str], bytes]:
     """Little-endian 32-bit ids of a whole text, by a tokenizer file.
 
     A .json file is read by tokenizers. A .tiktoken file holds the ranks of the same kind of vocabulary; with
     the pattern that splits its texts, tiktoken gives the same ids in a third of the time. The special string
-    is one id in either.
+    is one id in either. Texts with LONG_SPACE white space in a row are left to tokenizers.
     """
     if not path.endswith(".tiktoken"):
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        all_of = Tokenizer.from_file(path)
+        return lambda text: np.array(all_of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     import tiktoken
 
     with open(path, "rb") as file:
@@ -112,7 +120,17 @@ def encoder(path: str, pattern: str, special: str, special_id: int) -> Callable[
     plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     between = np.array([special_id], "<u4").tobytes()
     ids = lambda text: np.array(plain.encode_ordinary(text), "<u4").tobytes()
-    return lambda text: between.join(map(ids, text.split(special))) if special in text else ids(text)
+    quick = lambda text: between.join(map(ids, text.split(special))) if special in text else ids(text)
+    return lambda text: encoder(whole, "", "", 0)(text) if len(text) > LONG_SPACE and long_space(text) else quick(text)
+
+
+def long_space(text: str) -> bool:
+    """Whether white space of any kind stands more than LONG_SPACE in a row; such a row covers a multiple of LONG_SPACE."""
+    for at in range(0, len(text), LONG_SPACE):
+        before, after = text[max(at - LONG_SPACE, 0) : at], text[at : at + LONG_SPACE]
+        if len(before) - len(before.rstrip()) + len(after) - len(after.lstrip()) > LONG_SPACE:
+            return True
+    return len(text) > LONG_SPACE and text[:LONG_SPACE].isspace()
 
 
 def _pieces(rows: DataFrame, tokenizer: Tokens, room: int, open_bins: int, final: int) -> DataFrame:
@@ -120,7 +138,7 @@ def _pieces(rows: DataFrame, tokenizer: Tokens, room: int, open_bins: int, final
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, bins = TaskContext.get().partitionId(), Bins(room, open_bins)
-        encode = encoder(tokenizer.path, tokenizer.pattern, tokenizer.special, tokenizer.special_id)
+        encode = encoder(tokenizer.path, tokenizer.pattern, tokenizer.special, tokenizer.special_id, tokenizer.whole)
         end = np.array([final], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)

@@ -14,6 +14,8 @@ from parleyspark.session import table
 
 #: The ranks of the vocabulary of byte_bpe_50k.json, whose ids are packed.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: The vocabulary itself, for texts that the quick form cannot take.
+WHOLE = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
@@ -171,7 +173,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenizer(name: str = TOKENIZER) -> packing.Tokens:
     import public_tokenizers
 
-    return packing.Tokens(public_tokenizers.path(name), public_tokenizers.PATTERN)
+    return packing.Tokens(public_tokenizers.path(name), public_tokenizers.PATTERN, whole=public_tokenizers.path(WHOLE))
 
 
 @query("op9_best_fit_packing")

@@ -4,10 +4,8 @@ import math
 from collections import Counter, defaultdict
 
 import duckdb
-import numpy as np
 import pytest
-import xxhash
-from test_llm_operators import brute_components, brute_lines, brute_targets, words
+from test_llm_operators import brute_lines, brute_targets, words
 
 import corpus_pipeline
 from parleyspark.llm.common import keep
@@ -45,20 +43,27 @@ def test_line_dedup(results):
     assert (after["text"].map(len) == after["n_chars"]).all()
 
 
-def fingerprint(text):
+def shingles(text):
     found = words(text)
-    if not found:
-        return 0
-    hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found[k : k + 3]), 42) for k in range(max(len(found) - 2, 1))], np.uint64)
-    ones = ((hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(0)
-    return sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(hashes))
+    return {tuple(found[k : k + 5]) for k in range(max(len(found) - 4, 1))} if found else set()
 
 
 def test_near_dedup(results):
-    texts = results[2].set_index("doc_id")["text"]
-    fps = {i: int(np.array(fingerprint(t), np.uint64).view(np.int64)) for i, t in texts.items()}
-    names = set(brute_components(fps).values())
-    assert sorted(results[3]["doc_id"]) == sorted(names)
+    """Brute-force Jaccard similarity of all pairs; the least doc_id of each component stays."""
+    sets = {i: shingles(t) for i, t in results[2].set_index("doc_id")["text"].items()}
+    name = {i: i for i in sets}
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                low, high = sorted((root(a), root(b)))
+                name[high] = low
+    assert sorted(results[3]["doc_id"]) == [i for i in sorted(sets) if root(i) == i]
 
 
 def test_source_mix(results):
