@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parleyspark.functions import edit_rate as E
 from parleyspark.functions import similarity as S
 from parleyspark.functions import text as T
 from parleyspark.functions.hashing import hash_unit
@@ -13,7 +14,7 @@ from parleyspark.plans import frames as B
 from parleyspark.plans import text_queries as Q
 from parleyspark.plans import thread_queries as Th
 from parleyspark.plans.registry import query
-from parleyspark.session import table
+from parleyspark.session import spread, table
 
 
 @query("generation_eval")
@@ -44,6 +45,22 @@ def nist_halves(spark, sf):
     return S.corpus_nist(h, "doc_id", "y", "r").withColumn("nist", F.round("nist", 6))
 
 
+@query("ter_halves")
+def ter_halves(spark, sf):
+    """Translation edit rate of second halves against the first, with references padded to two; whole texts, so no SQL twin."""
+    h = spread(Q.halves(spark, sf)).withColumn("refs", S.reference_streams(F.array("a"), 2))
+    return E.corpus_ter(h, "b", "refs").withColumn("ter", F.round("ter", 9))
+
+
+@query("ter_by_row")
+def ter_by_row(spark, sf):
+    """Edits of each middle third to the nearer of the thirds around it, and their rate."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = lambda k: F.substr("text", third * k + 1, third)
+    d = spread(B.documents(spark, sf)).select("doc_id", E.edit_counts(part(1), F.array(part(0), part(2))).alias("c"))
+    return d.select("doc_id", "c.edits", F.round("c.length", 9).alias("ref_length"), F.round(E.edit_rate(F.col("c.edits"), F.col("c.length")), 9).alias("ter"))
+
+
 @query("rating_correlation")
 def rating_correlation(spark, sf):
     """Best-of-references error rate per row against a stand-in rating."""
