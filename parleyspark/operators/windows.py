@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parleyspark import config as C
+from parleyspark.operators.recency import remembered
 
 
 def _last(array: Column, n: int) -> Column:
@@ -133,71 +133,6 @@ def fused_score(current: Column, window: Column, use_window: Column, fallback: C
 
 
 # --- recency eviction ------------------------------------------------------------
-def _fold_recent(capacity: int):
-    """Carry the most recent distinct contacts from block to block."""
-
-    def fold(batches):
-        recent: dict = {}
-        state = {"block": None, "rows": []}
-
-        def flush():
-            for contact, seq in state["rows"]:
-                recent.pop(contact, None)
-                recent[contact] = seq
-            while len(recent) > capacity:
-                recent.pop(next(iter(recent)))
-
-        for pdf in batches:
-            out = []
-            for block, contact, seq in zip(pdf["_block"], pdf["_contact"], pdf["_seq"]):
-                if block != state["block"]:
-                    flush()
-                    state.update(block=block, rows=[])
-                    out += [(block, c, s) for c, s in recent.items()]
-                state["rows"].append((contact, seq))
-            yield pd.DataFrame(out, columns=["_block", "_contact", "_seq"])
-
-    return fold
-
-
-def _replay_recent(capacity: int):
-    def replay(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        live = dict.fromkeys(carry.sort_values("_seq")["_contact"])
-        rows = rows.sort_values("_seq")
-        status = []
-        for contact in rows["_contact"]:
-            known = contact in live
-            live.pop(contact, None)
-            live[contact] = None
-            if len(live) > capacity:
-                live.pop(next(iter(live)))
-            status.append(known)
-        return rows.assign(kept_history=status)[["_contact", "_seq", "kept_history"]]
-
-    return replay
-
-
 def contact_history(df: DataFrame, contact: str, seq: str, capacity: int = C.MAX_CONTACTS, block_rows: int = 500_000) -> DataFrame:
-    """Whether each message still finds its contact's history under LRU eviction.
-
-    The order is global, so the sequence is cut into blocks. A block is fully
-    described to later ones by its ``capacity`` most recent contacts; only those
-    summaries (rows / block_rows * capacity) pass through one ordered fold, and
-    the blocks themselves are replayed in parallel.
-    """
-    rows = df.select(F.col(contact).alias("_contact"), F.col(seq).alias("_seq")).withColumn(
-        "_block", F.floor(F.col("_seq") / block_rows)
-    )
-    latest = rows.groupBy("_block", "_contact").agg(F.max("_seq").alias("_seq"))
-    newest = W.partitionBy("_block").orderBy(F.desc("_seq"))
-    summary = latest.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= capacity)
-    schema = rows.select("_block", "_contact", "_seq").schema
-    carry = (
-        summary.select("_block", "_contact", "_seq")
-        .repartition(1)
-        .sortWithinPartitions("_block", "_seq")
-        .mapInPandas(_fold_recent(capacity), schema)
-    )
-    out = rows.select("_contact", "_seq").schema.add("kept_history", "boolean")
-    replayed = rows.groupBy("_block").cogroup(carry.groupBy("_block")).applyInPandas(_replay_recent(capacity), out)
-    return replayed.select(F.col("_contact").alias(contact), F.col("_seq").alias(seq), "kept_history")
+    """Whether each message still finds its contact's history under LRU eviction; ``seq`` is the order of all messages."""
+    return remembered(df, contact, [seq], capacity, block_rows).select(contact, seq, "kept_history")
