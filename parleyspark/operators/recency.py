@@ -121,7 +121,8 @@ def remembered(df: DataFrame, contact: str, order: Sequence[str], capacity: int
         summary = summary.unionByName(early)
     entering = _carries(_numbered(summary), capacity, math.ceil(blocks / FAN))
     every = dealt.withColumns({"_carried": F.lit(False), "_at": F.lit(None).cast("long")}).unionByName(entering.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
-    every = every.repartition("_block").sortWithinPartitions("_block", F.desc("_carried"), "_at", *order)
+    # a key of its own: a union of inputs dealt by _block is not dealt by it
+    every = every.repartition(F.xxhash64("_block")).sortWithinPartitions("_block", F.desc("_carried"), "_at", *order)
     columns = ["_block", "_contact", *order, "kept_history"]
     schema = dealt.select("_block", "_contact", *order).schema.add("kept_history", "boolean")
     replayed = cut_lineage(every.mapInPandas(_replay(capacity, columns), schema))

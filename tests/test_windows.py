@@ -68,6 +68,30 @@ def test_contact_history_equals_lru_replay(spark, capacity, block):
     assert got == want
 
 
+def test_recency_in_stretches_of_blocks(spark, monkeypatch):
+    """Many blocks, folded in stretches of two, after contacts that were recent before; names of generations."""
+    from parleyspark.operators import recency as R
+
+    monkeypatch.setattr(R, "FAN", 2)
+    rng = random.Random(2)
+    live, rows, want = OrderedDict((c, f"old:{c}") for c in ("c3", "hot", "gone")), [], {}
+    before = spark.createDataFrame([(c, k, g) for k, (c, g) in enumerate(live.items())], "contact string, place bigint, generation string")
+    for seq in range(0, 3000, 10):
+        c = "hot" if rng.random() < 0.3 else f"c{rng.randint(0, 12)}"
+        known = c in live
+        name = live.pop(c, None) or f"1:{seq}"
+        live[c] = name
+        if len(live) > 5:
+            live.popitem(last=False)
+        want[seq] = (known, name)
+        rows.append((c, 1, seq))
+    df = spark.createDataFrame(rows, "contact string, delivery bigint, seq bigint").repartition(3)
+    got = R.remembered(df, "contact", ["delivery", "seq"], 5, 40, before)
+    assert {r["seq"]: (r["kept_history"], r["generation"]) for r in got.collect()} == want
+    after = R.most_recent(got, "contact", ["delivery", "seq"], capacity=5, carried=before)
+    assert [(r["contact"], r["generation"]) for r in after.orderBy("place").collect()] == list(live.items())
+
+
 def replay_log(rows, cap):
     log = []
     for id_, seq in rows:
@@ -85,6 +109,16 @@ def test_incident_log_equals_replay_with_reentry(spark, n_ids, probe):
     assert got == replay_log(rows, 10)
 
 
+@pytest.mark.parametrize("n_ids,cap,block", [(3, 5, 40), (7, 5, 40), (9, 6, 25), (14, 13, 60), (6, 5, 7), (200, 5, 40)])
+def test_dense_repeats_in_blocks_equal_one_pass(spark, n_ids, cap, block):
+    """Ids a little more than the log holds, in random order, in turn, and in runs of one id."""
+    rng = random.Random(n_ids * cap)
+    rows = [(f"id{rng.randint(0, n_ids)}", s) for s in range(200)] + [(f"id{s % n_ids}", s) for s in range(200, 300)]
+    rows += [(f"id{rng.choice([0, 0, 0, 1, s // 9 % n_ids])}", s) for s in range(300, 400)]
+    df = spark.createDataFrame(rows, "id string, seq bigint").repartition(4)
+    assert {tuple(r) for r in I.replayed(df, ["seq"], cap, block).collect()} == replay_log(rows, cap)
+
+
 def test_incident_log_in_batches(spark):
     rng = random.Random(9)
     rows = [(f"id{rng.randint(0, 25)}", s) for s in range(120)]
