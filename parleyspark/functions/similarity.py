@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from parleyspark.functions import text as T
+from parleyspark.session import cut_lineage
 
 
 # --- character n-grams --------------------------------------------------------------
@@ -266,6 +267,80 @@ def corpus_chrf(df: DataFrame, hyp: str, ref: str, order: int = 6, beta: float =
     return means.select((F.coalesce(score, F.lit(0.0)) * 100).alias("chrf"))
 
 
+def corpus_nist_refs(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 5) -> DataFrame:
+    """NIST score against several references per row: for each order the reference with the highest gain counts.
+
+    ``hyp`` is a word array, ``refs`` an array of them; ``key`` is unique. Of equal gains the longest reference
+    counts, and the length of the one that counts enters the penalty, once for each order.
+    """
+    tagged = lambda w, n: F.transform(word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
+    listed = F.when(F.size(refs) > 0, F.col(refs)).otherwise(F.array(F.array().cast("array<string>")))
+    rows = df.select(F.col(key).alias("_key"), F.col(hyp).alias("h"), listed.alias("r"))
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.col("h").alias("w"))), F.transform("r", lambda w, k: F.struct(k.alias("k"), w.alias("w"))))
+    each = rows.select("_key", F.explode(sides).alias("s")).select("_key", "s.k", F.explode(grams(F.col("s.w"))).alias("g"))
+    counts = cut_lineage(each.groupBy("_key", "g", "k").agg(F.count(F.lit(1)).alias("c")))
+    totals = counts.filter("k >= 0").groupBy("g").agg(F.sum("c").alias("c"))
+    all_words = rows.agg(F.sum(F.aggregate("r", F.lit(0).cast("bigint"), lambda a, w: a + F.size(w)))).scalar().cast("double")
+    parent = totals.select(F.col("g").alias("_p"), F.col("c").alias("_pc"))
+    keyed = totals.withColumn("_p", F.struct((F.col("g.n") - 1).alias("n"), F.regexp_replace("g.gram", " [^ ]*$", "").alias("gram")))
+    upper = F.when(F.col("g.n") == 1, all_words).otherwise(F.col("_pc").cast("double"))
+    info = cut_lineage(keyed.join(parent, "_p", "left").select("g", F.log2(upper / F.col("c").cast("double")).alias("info")))
+    met = counts.filter("k >= 0").join(counts.filter("k < 0").select("_key", "g", F.col("c").alias("ch")), ["_key", "g"]).join(info, "g")
+    gained = met.groupBy("_key", F.col("g.n").alias("n"), "k").agg(F.sum(F.least("c", "ch") * F.col("info")).alias("gain"))
+    base = rows.select("_key", F.size("h").alias("hl"), F.posexplode(F.transform("r", lambda w: F.size(w))).alias("k", "rl"))
+    base = base.select("*", F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"))
+    base = base.join(gained, ["_key", "n", "k"], "left").withColumns({"gain": F.coalesce("gain", F.lit(0.0)), "den": F.greatest(F.col("hl") - F.col("n") + 1, F.lit(0))})
+    # gains that differ by rounding alone are equal
+    best = base.groupBy("_key", "n").agg(F.max(F.struct(F.round(F.coalesce(F.try_divide("gain", F.col("den").cast("double")), F.lit(0.0)), 12), "gain", "den", "rl")).alias("b"), F.max("hl").alias("hl"))
+    per_n = best.groupBy("n").agg(F.sum("b.gain").alias("gain"), F.sum("b.den").cast("double").alias("den"), F.sum("b.rl").alias("rl"), F.sum("hl").alias("hl"))
+    whole = per_n.agg(F.coalesce(F.sum(F.try_divide("gain", "den")), F.lit(0.0)).alias("s"), F.sum("rl").cast("double").alias("rl"), F.sum("hl").cast("double").alias("hl"))
+    ratio, beta = F.try_divide("hl", "rl"), math.log(0.5) / math.log(1.5) ** 2
+    penalty = F.when(ratio > 0, F.exp(F.lit(beta) * F.pow(F.log(F.least(ratio, F.lit(1.0))), F.lit(2.0)))).otherwise(0.0)
+    return whole.select(F.coalesce(F.col("s") * penalty, F.lit(0.0)).alias("nist"))
+
+
+def best_overlap_udf(orders: int, beta: float):
+    """Arrow UDF: per order [matches, grams of the text, grams of the reference] against the reference with the best F-score."""
+
+    def counts(text: str, ref: str) -> list[list[int]]:
+        return [[m, h if r else 0, r] for m, h, r, *_ in gram_overlap(text, ref, orders)]
+
+    @F.pandas_udf(OVERLAP)
+    def run(text: pd.Series, refs: pd.Series) -> pd.Series:
+        out = []
+        for t, others in zip(text, refs, strict=True):
+            made = [counts(t or "", r or "") for r in others] if others is not None and len(others) else [counts(t or "", "")]
+            out.append(max(made, key=lambda c: f_score(c, beta)))  # of equal ones the first
+        return pd.Series(out)
+
+    return run
+
+
+def f_score(counts: Sequence[Sequence[float]], beta: float) -> float:
+    """F-score of mean precision and recall over the orders that both sides have."""
+    both = [(m / h, m / r) for m, h, r in counts if h and r]
+    if not both:
+        return 0.0
+    p, q = (sum(x) / len(both) for x in zip(*both, strict=True))
+    return (1 + beta * beta) * p * q / (beta * beta * p + q) if p + q else 0.0
+
+
+def corpus_chrf_refs(df: DataFrame, hyp: str, refs: str, order: int = 6, beta: float = 2.0) -> DataFrame:
+    """Character F-score in [0, 100] against an array of references per row, of which the best one counts.
+
+    Null texts are empty; a row without references counts for nothing but its own letters' orders.
+    """
+    squeeze = lambda c: F.regexp_replace(c, r"[\s\p{Z}]+", "")
+    rows = df.select(F.posexplode(best_overlap_udf(order, beta)(squeeze(F.col(hyp)), F.transform(refs, squeeze))).alias("n", "c"))
+    at = lambda i: F.sum(F.get("c", F.lit(i))).cast("double")
+    per_n = rows.groupBy("n").agg(at(0).alias("m"), at(1).alias("h"), at(2).alias("r")).filter("h > 0 and r > 0")
+    means = per_n.agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
+    f = beta * beta
+    score = F.try_divide(F.lit(1 + f) * F.col("p") * F.col("q"), F.lit(f) * F.col("p") + F.col("q"))
+    return means.select((F.coalesce(score, F.lit(0.0)) * 100).alias("chrf"))
+
+
 def parse_references(raw: Column) -> Column:
     """List literal in a text cell, else the cell as one reference."""
     body = T.strip(F.coalesce(raw, F.lit("")))

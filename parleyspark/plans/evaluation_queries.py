@@ -45,6 +45,26 @@ def nist_halves(spark, sf):
     return S.corpus_nist(h, "doc_id", "y", "r").withColumn("nist", F.round("nist", 6))
 
 
+def thirds(spark, sf):
+    """Each text in three parts: the middle one is held against the two around it."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = lambda k: F.substr("text", third * k + 1, third)
+    return spread(B.documents(spark, sf)).select("doc_id", part(1).alias("hyp"), F.array(part(0), part(2)).alias("refs"))
+
+
+@query("chrf_thirds")
+def chrf_thirds(spark, sf):
+    """Character F-score against the better of two references; all n-grams of whole texts, so no SQL twin."""
+    return S.corpus_chrf_refs(thirds(spark, sf), "hyp", "refs").withColumn("chrf", F.round("chrf", 6))
+
+
+@query("nist_thirds")
+def nist_thirds(spark, sf):
+    """NIST against two references."""
+    t = thirds(spark, sf).select("doc_id", T.word_list(F.col("hyp")).alias("h"), F.transform("refs", T.word_list).alias("r"))
+    return S.corpus_nist_refs(t, "doc_id", "h", "r").withColumn("nist", F.round("nist", 6))
+
+
 @query("ter_halves")
 def ter_halves(spark, sf):
     """Translation edit rate of second halves against the first, with references padded to two; whole texts, so no SQL twin."""
@@ -55,9 +75,7 @@ def ter_halves(spark, sf):
 @query("ter_by_row")
 def ter_by_row(spark, sf):
     """Edits of each middle third to the nearer of the thirds around it, and their rate."""
-    third = F.floor(F.length("text") / 3).cast("int")
-    part = lambda k: F.substr("text", third * k + 1, third)
-    d = spread(B.documents(spark, sf)).select("doc_id", E.edit_counts(part(1), F.array(part(0), part(2))).alias("c"))
+    d = thirds(spark, sf).select("doc_id", E.edit_counts(F.col("hyp"), F.col("refs")).alias("c"))
     return d.select("doc_id", "c.edits", F.round("c.length", 9).alias("ref_length"), F.round(E.edit_rate(F.col("c.edits"), F.col("c.length")), 9).alias("ter"))
 
 

@@ -8,11 +8,12 @@ from parleyspark import config as C
 from parleyspark.functions import similarity as S
 from parleyspark.functions import text as T
 from parleyspark.functions.hashing import stable_int
+from parleyspark.operators import lexicon as X
 from parleyspark.operators import metrics as M
 from parleyspark.operators import ranks as R
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
-from parleyspark.session import computed_once, cut_lineage, table
+from parleyspark.session import computed_once, cut_lineage, spread, table
 
 
 @query(
@@ -186,6 +187,22 @@ def stem_hits(spark, sf):
     return d.select("doc_id", *[T.stem_hit(F.col("pad"), s).alias(f"hit_{s}") for s in STEMS])
 
 
+@query(
+    "lexicon_stems",
+    f"""WITH s AS (SELECT DISTINCT unnest({B.s_content('text')}) AS stem FROM benchmark),
+        t AS (SELECT doc_id, unnest(list_distinct({B.s_content('text')})) AS token FROM documents),
+        k AS (SELECT doc_id, token AS entry FROM t UNION ALL SELECT doc_id, substr(token, 1, length(token) - 1) FROM t WHERE length(token) >= 5
+              UNION ALL SELECT doc_id, substr(token, 1, length(token) - 2) FROM t WHERE length(token) >= 6)
+        SELECT doc_id, count(DISTINCT stem) AS n_stems, sum(length(stem))::BIGINT AS letters FROM (SELECT DISTINCT doc_id, stem FROM k JOIN s ON entry = stem) GROUP BY doc_id""",
+)
+def lexicon_stems(spark, sf):
+    """Stems of a large lexicon, all content tokens of the benchmark, that each document holds."""
+    content = T.content_tokens(T.tokens(F.col("text")))
+    stems = spread(table(spark, sf, "benchmark")).select(F.explode(content).alias("stem")).distinct()
+    found = X.stem_matches(spread(B.documents(spark, sf)), "doc_id", "text", stems)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_stems"), F.sum(F.length("stem")).alias("letters"))
+
+
 @query(
     "english_heavy",
     f"""WITH w AS (SELECT doc_id, lang, text, regexp_extract_all(text, {B.lit(C.LATIN_WORD)}) AS ws FROM documents),
