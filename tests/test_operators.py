@@ -262,3 +262,13 @@ def test_exact_tests_of_large_counts_are_quick():
     stats.binomial_two_sided(499_990_000, 10**9)
     stats.fisher_two_sided(10**9, 10**9 + 50_000, 10**9 - 20_000, 10**9)
     assert time.perf_counter() - start < 0.5
+
+
+def test_metrics_of_a_group_without_negatives(spark):
+    """Both rates of false positives: none at all, and one minus the specificity of no rows."""
+    from parleyspark.operators import metrics as M
+
+    d = spark.createDataFrame([("a", 1, 1), ("a", 1, 0), ("b", 1, 1), ("b", 0, 1), ("b", 0, 0)], "g string, y int, p int")
+    plain = {r["g"]: r["fpr"] for r in M.binary_metrics(M.confusion(d, ["g"], F.col("y"), F.col("p")), ["g"]).collect()}
+    spec = {r["g"]: r["fpr"] for r in M.binary_metrics(M.confusion(d, ["g"], F.col("y"), F.col("p")), ["g"], 1.0).collect()}
+    assert plain == {"a": None, "b": 0.5} and spec == {"a": 1.0, "b": 0.5}
