@@ -547,25 +547,33 @@ def chat_validate(spark, sf):
 
 
 # --- replies -------------------------------------------------------------------------------
-_TURN_REPLY = """CASE conv_id % 4 WHEN 0 THEN 'Sure: ' || to_json({'turns': turns}) || ' done' WHEN 1 THEN to_json({'messages': turns})
-    WHEN 2 THEN '- first line' || chr(10) || '2) "second  line"' || chr(10) || chr(10) || 'A: third' ELSE '{broken' END"""
+_LINE = "CASE i % 3 WHEN 1 THEN '- ' || turns[i] WHEN 2 THEN i || ') \"' || turns[i] || '\"' ELSE chr(10) || 'A: ' || turns[i] END"
+_BULLET = r"^\s*(?:[-*]|\d+[.)]|[AB]:)\s*"
+
+
+def _s_squeeze(t: str) -> str:
+    return f"trim(regexp_replace({t}, {B.lit(C.SPACE_RUN)}, ' ', 'g'), ' ')"
 
 
 @query(
     "json_extract_turns",
-    f"""WITH {B.THREADS}, r AS (SELECT thread_id, conv_id % 4 AS k, turns, length FROM th),
-        q AS (SELECT thread_id, CASE WHEN k < 2 THEN list_filter(list_transform(turns, lambda t: trim(regexp_replace(t, {B.lit(C.SPACE_RUN)}, ' ', 'g'), ' ')), lambda t: t <> '')
-            WHEN k = 2 THEN ['first line', 'second line', 'third'] END AS got FROM r)
+    f"""WITH {B.THREADS}, r AS (SELECT thread_id, conv_id % 4 AS k, turns,
+            CASE conv_id % 4 WHEN 2 THEN array_to_string(list_transform(range(1, len(turns) + 1), lambda i: {_LINE}), chr(10)) ELSE '{{broken ' || array_to_string(turns, chr(10)) END AS raw FROM th),
+        q AS (SELECT thread_id, list_filter(CASE WHEN k < 2 THEN list_transform(turns, lambda t: {_s_squeeze("t")})
+            ELSE list_transform(regexp_split_to_array({B.s_strip("raw")}, '\r\n|\n|\r'), lambda t: {_s_squeeze(f"""trim({B.s_strip(f"regexp_replace(t, {B.lit(_BULLET)}, '')")}, '"')""")}) END, lambda t: t <> '') AS got FROM r)
         SELECT thread_id, CASE WHEN len(got) BETWEEN 3 AND 8 THEN len(got)::BIGINT END AS n_turns,
         CASE WHEN len(got) BETWEEN 3 AND 8 THEN md5(array_to_string(got, chr(10))) END AS turns_hash FROM q""",
 )
 def json_extract_turns(spark, sf):
+    """Replies made of each thread's own turns: JSON in a sentence, messages, bullet lines, broken JSON over plain lines."""
     k = F.col("conv_id") % 4
+    quoted = lambda t, i: F.concat((i + 1).cast("string"), F.lit(') "'), t, F.lit('"'))
+    bullet = lambda t, i: F.when(i % 3 == 0, F.concat(F.lit("- "), t)).when(i % 3 == 1, quoted(t, i)).otherwise(F.concat(F.lit("\nA: "), t))
     raw = (
         F.when(k == 0, F.concat(F.lit("Sure: "), F.to_json(F.struct("turns")), F.lit(" done")))
         .when(k == 1, F.to_json(F.struct(F.col("turns").alias("messages"))))
-        .when(k == 2, F.lit('- first line\n2) "second  line"\n\nA: third'))
-        .otherwise(F.lit("{broken"))
+        .when(k == 2, F.array_join(F.transform("turns", bullet), "\n"))
+        .otherwise(F.concat(F.lit("{broken "), F.array_join("turns", "\n")))
     )
     d = B.threads(spark, sf).select("thread_id", raw.alias("raw")).withColumn("got", P.reply_turns(F.col("raw")))
     return d.select("thread_id", F.nullif(F.size("got"), F.lit(-1)).cast("bigint").alias("n_turns"), F.md5(F.array_join("got", "\n")).alias("turns_hash"))
@@ -573,22 +581,33 @@ def json_extract_turns(spark, sf):
 
 @query(
     "verdict_parse",
-    """WITH e AS (SELECT event_id, event_id % 6 AS k FROM events)
-       SELECT event_id, CASE k WHEN 0 THEN 'PRESERVED' WHEN 1 THEN 'SOFTENED' WHEN 2 THEN 'UNRELATED' WHEN 3 THEN 'SOFTENED' WHEN 4 THEN NULL ELSE NULL END AS verdict,
-       CASE k WHEN 0 THEN (event_id % 97)::DOUBLE / 100.0::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 WHEN 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
-       CASE k WHEN 5 THEN 1 END::BIGINT AS judge_label FROM e""",
+    f"""WITH d AS (SELECT doc_id, doc_id % 6 AS k, length(text)::BIGINT AS n, coalesce(text, '') AS t FROM documents),
+        a AS (SELECT doc_id, t, k, n, ['PRESERVED', 'softened', ' Unrelated ', 'maybe'][1 + coalesce(n, 0) % 4] AS w FROM d),
+        r AS (SELECT doc_id, CASE k WHEN 0 THEN 'x ' || to_json({{'verdict': w, 'confidence': (n % 97)::VARCHAR || 'e-2', 'reason': t}})::VARCHAR || ' y'
+            WHEN 1 THEN to_json({{'verdict': w, 'reason': t}})::VARCHAR WHEN 2 THEN '{{"verdict": ' || w || ' ' || t WHEN 3 THEN t || ' I think ' || w || '.'
+            WHEN 4 THEN t ELSE to_json({{'label': n % 3, 'confidence': 0.9::DOUBLE, 'reason': t}})::VARCHAR END AS raw FROM a),
+        o AS (SELECT doc_id, upper(raw) AS up, regexp_extract(raw, '(?s)\\{{.*\\}}') AS obj FROM r),
+        j AS (SELECT doc_id, up, CASE WHEN json_valid(obj) THEN obj::JSON END AS js FROM o),
+        v AS (SELECT doc_id, js, upper({B.s_strip("js->>'verdict'")}) AS named, CASE WHEN js->>'confidence' IS NULL THEN 0.5 ELSE TRY_CAST(js->>'confidence' AS DOUBLE) END AS conf,
+            CASE WHEN up LIKE '%PRESERVED%' THEN 'PRESERVED' WHEN up LIKE '%SOFTENED%' THEN 'SOFTENED' WHEN up LIKE '%UNRELATED%' THEN 'UNRELATED' END AS word FROM j),
+        f AS (SELECT *, coalesce(named IN ('PRESERVED', 'SOFTENED', 'UNRELATED') AND conf IS NOT NULL, false) AS ok, TRY_CAST(js->>'label' AS BIGINT) AS label FROM v)
+       SELECT doc_id, CASE WHEN ok THEN named ELSE word END AS verdict, (CASE WHEN ok THEN conf WHEN word IS NOT NULL THEN 0.5 ELSE 0 END)::DOUBLE AS confidence,
+       CASE WHEN label IN (0, 1) THEN label END AS judge_label, CASE WHEN label IN (0, 1) THEN md5(left(js->>'reason', 200)) END AS reason_hash FROM f""",
 )
 def verdict_parse(spark, sf):
-    """Six reply shapes: clean JSON, default confidence, bad JSON, plain text, nothing, label JSON."""
+    """Replies around each document's own text: JSON, no confidence, broken JSON, a sentence, no verdict, a label."""
     from parleyspark.session import table
 
-    e = table(spark, sf, "events").select("event_id")
-    k = F.col("event_id") % 6
-    conf = ((F.col("event_id") % 97).cast("double") / 100.0).cast("string")
+    n, t, k = F.length("text").cast("bigint"), F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    word = F.get(F.array(*map(F.lit, ("PRESERVED", "softened", " Unrelated ", "maybe"))), (F.coalesce(n, F.lit(0)) % 4).cast("int"))
+    share = F.concat((n % 97).cast("string"), F.lit("e-2"))
     raw = (
-        F.when(k == 0, F.concat(F.lit('x {"verdict": " preserved", "confidence": '), conf, F.lit("} y")))
-        .when(k == 1, '{"verdict": "SOFTENED"}').when(k == 2, '{"verdict": unrelated').when(k == 3, "I think softened.")
-        .when(k == 4, "none").otherwise('{"label": 1, "confidence": 0.9, "reason": "r"}')
+        F.when(k == 0, F.concat(F.lit("x "), F.to_json(F.struct(word.alias("verdict"), share.alias("confidence"), t.alias("reason"))), F.lit(" y")))
+        .when(k == 1, F.to_json(F.struct(word.alias("verdict"), t.alias("reason"))))
+        .when(k == 2, F.concat(F.lit('{"verdict": '), word, F.lit(" "), t))
+        .when(k == 3, F.concat(t, F.lit(" I think "), word, F.lit(".")))
+        .when(k == 4, t)
+        .otherwise(F.to_json(F.struct((n % 3).alias("label"), F.lit(0.9).alias("confidence"), t.alias("reason"))))
     )
-    d = e.withColumn("raw", raw).withColumns({"v": P.verdict(F.col("raw")), "j": P.judge(F.col("raw"))})
-    return d.select("event_id", "v.verdict", "v.confidence", F.col("j.label").cast("bigint").alias("judge_label"))
+    d = table(spark, sf, "documents").select("doc_id", raw.alias("raw")).withColumns({"v": P.verdict(F.col("raw")), "j": P.judge(F.col("raw"))})
+    return d.select("doc_id", "v.verdict", "v.confidence", F.col("j.label").cast("bigint").alias("judge_label"), F.md5("j.reason").alias("reason_hash"))

@@ -12,8 +12,10 @@ from parleyspark.plans import text_queries as Q
 from parleyspark.plans import thread_queries as Th
 from parleyspark.plans.registry import query
 from parleyspark.session import checkpoint_root, table
+from parleyspark.sources import frozen as Z
 from parleyspark.sources import readers as R
 from parleyspark.sources import sinks as K
+from parleyspark.sources.chunks import ChunkedJob
 
 
 def folder(spark) -> str:
@@ -196,3 +198,49 @@ def cached_class_scores(spark, sf):
     scored = cached_scores(d, "text", scorer, path, "p")
     top = F.array_max("p")
     return scored.select("doc_id", (F.array_position("p", top) - 1).cast("int").alias("best"), top.alias("top"))
+
+
+_CELLS = "length::INTEGER AS length, script, label, split"
+
+
+@query(
+    "frozen_check",
+    f"""WITH {B.THREADS}, c AS (SELECT {_CELLS}, count(*) AS n FROM th GROUP BY ALL), f AS (SELECT length, script, label, split FROM c ORDER BY ALL LIMIT 1),
+        l AS (SELECT unnest(['all', 'cells']) AS layout)
+        SELECT layout, length, script, label, split, n AS rows, n AS found, NOT (layout = 'cells' AND (length, script, label, split) IN (SELECT (length, script, label, split) FROM f)) AS intact FROM c CROSS JOIN l""",
+)
+def frozen_check(spark, sf):
+    """Threads frozen in both layouts; one word is then added to the threads of the tree's first cell, which the check sees."""
+    path = folder(spark)
+    rows = B.threads(spark, sf).select("thread_id", F.col("length").cast("int").alias("length"), "script", "label", "split", "turns")
+    Z.freeze(rows, path)
+    first = F.struct(*Z.CELL)
+    at = Z.manifest(spark, path).agg(F.min(first).alias("c")).first()["c"]
+    schema = spark.createDataFrame([], rows.schema).schema
+    flat = spark.read.schema(schema).json(f"{path}/{Z.FLAT}").select(*schema.names)
+    if at is not None:
+        hit = flat.filter(first == F.struct(*[F.lit(at[c]).cast(flat.schema[c].dataType).alias(c) for c in Z.CELL]))
+        changed = hit.withColumn("turns", F.concat("turns", F.array(F.lit("later"))))
+        changed.write.mode("overwrite").json("/".join([f"{path}/{Z.TREE}", *[f"_{c}={at[c]}" for c in Z.CELL]]))
+    return Z.check(spark, path, schema)
+
+
+@query("frozen_split", f"WITH {B.THREADS} SELECT thread_id, length::INTEGER AS length, label, md5(array_to_string(turns, chr(10))) AS turns_hash FROM th WHERE split = 'test'")
+def frozen_split(spark, sf):
+    """The test split of a frozen set, read after the check of its manifest."""
+    path = folder(spark)
+    rows = B.threads(spark, sf).select("thread_id", F.col("length").cast("int").alias("length"), "script", "label", "split", "turns")
+    Z.freeze(rows, path)
+    d = Z.read_frozen(spark, path, rows.schema, "test")
+    return d.select("thread_id", "length", "label", F.md5(F.array_join("turns", "\n")).alias("turns_hash"))
+
+
+@query("resumed_chunks", "SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_hash FROM documents")
+def resumed_chunks(spark, sf):
+    """A job over documents in five chunks that stops after the second and is run again."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    work = lambda rows: rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_hash"))
+    path = folder(spark)
+    for stop in (2, None):
+        ChunkedJob(spark, path, "doc_id", chunks=5).run(d, work, stop)
+    return ChunkedJob(spark, path, "doc_id").result().drop("chunk")

@@ -61,25 +61,12 @@ def write_thread_tree(threads: DataFrame, path: str) -> None:
     clustered.write.mode("overwrite").partitionBy(*keys).json(path)
 
 
-def write_manifest(cube: DataFrame, path: str) -> None:
-    keys = ["length", "script", "label", "split"]
-    cube.select(*keys, "count").orderBy(*keys).write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_splits(threads: DataFrame, path: str) -> None:
     """Threads sorted by id within range-partitioned files per split."""
     ranged = threads.repartitionByRange("split", "thread_id").sortWithinPartitions("split", "thread_id")
     ranged.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_frozen(train: DataFrame, val: DataFrame, test: DataFrame, path: str, keep: Sequence[str]) -> None:
-    """Cleaned train in a fixed column order; val and test as they are."""
-    cols = [c for c in keep if c in train.columns]
-    train.select(*cols).write.mode("overwrite").parquet(f"{path}/train")
-    for name, df in (("val", val), ("test", test)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """Daily rows sorted by key with six decimals; the grand total is left out."""
     keys = ["date_utc", "job", "service", "model"]
