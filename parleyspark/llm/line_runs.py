@@ -1,12 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Narrow entries (document, line hash) leave the texts once. They come in batches; a batch is summed per hash,
-merge-anti-joined with the live runs to tell fresh hashes from known ones, and added as a run of its own:
-fresh hashes with their counts, known ones as counts to add. When a level has `fanout` runs, they are merged
-into one run of the next level, so the number of live runs stays logarithmic in the number of batches. A run
-is a table of (hash, documents, owner), bucketed and sorted by hash: joining a batch with it moves the batch
-only. Merging reads the runs' files as plain ones, for a union of bucketed tables is grouped wrongly: each
-table's buckets count as dealt alike even where the scan is not by bucket.
+Narrow entries (document, line hash) leave the texts once. They come in batches, by descending ranges of doc_id. A
+batch is summed per hash and merge-anti-joined with the live runs: a hash is settled in a run that counts enough
+documents for it and holds an owner no smaller than the batch's, and nothing more can change for it, so the
+batch drops it. What is left, fresh or unsettled, becomes a run of its own. As the largest documents come first, a
+line that many share is settled within the first batches and stored in few runs, however often it occurs later. When a
+level has `fanout` runs, they are merged into one run of the next level, so the number of live runs stays
+logarithmic in the number of batches; counts stop at the number that settles a hash. A run is a table of (hash,
+documents, owner), bucketed and sorted by hash: joining a batch with it moves the batch only. Merging reads the runs'
+files as plain ones, for a union of bucketed tables is grouped wrongly: each table's buckets count as dealt alike
+even where the scan is not by bucket. Batches in another order give the same result, but store more; ids that are no
+numbers come by hash.
 
 A line goes if its hash is in at least `least` documents and its document is not the owner, the largest
 doc_id that holds it. Only those lines travel back: each document gets the places of its dropped lines.
@@ -25,9 +29,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from parleyspark.llm.common import ascii_lower, keep, let, unused
 from parleyspark.session import checkpoint_root
+from parleyspark.sources.files import remove
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -52,10 +58,12 @@ def text_hash(text: Column) -> Column:
 
 @dataclass
 class LineRuns:
-    """Live runs by level. Tables lie in the shared folder; `buckets` is fixed for the life of the runs. owner: type of doc_id."""
+    """Live runs by level. Tables lie in the shared folder; `buckets` is fixed for the life of the runs. least: documents that
+    settle a hash. owner: type of doc_id."""
 
     spark: SparkSession
     buckets: int
+    least: int = 3
     fanout: int = 4
     owner: str = "bigint"
     levels: list[list[str]] = field(default_factory=list)
@@ -72,20 +80,24 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def _summed(self, rows: DataFrame, n: Column, owner: str) -> DataFrame:
+        return rows.groupBy("h", "g").agg(F.least(n, F.lit(self.least).cast("long")).alias("n"), F.max(owner).alias("owner"))
+
     def _merged(self, names: list[str]) -> DataFrame:
         rows = self.spark.read.schema("h bigint, g bigint, n bigint, owner " + self.owner).parquet(*map(self._path, names))
-        return rows.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+        return self._summed(rows, F.sum("n"), "owner")
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The rows (h, g, n, owner) of a batch that no run settles."""
+        for run in self.runs():
+            done = run.where(F.col("n") >= self.least).select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("owner").alias("_owner"))
+            same = (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
+            batch = batch.join(done, same & (F.col("owner").isNull() | (F.col("owner") <= F.col("_owner"))), "left_anti")
+        return batch
 
     def add(self, entries: DataFrame) -> None:
         """entries: (doc_id, h, g), each hash once a document. Adds one run; compacts levels that are full."""
-        batch = keep(entries.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("owner")))
-        known = self.runs()
-        fresh = reduce(lambda left, run: left.join(run.select("h", "g"), ["h", "g"], "left_anti"), known, batch)
-        seen = []
-        if known:
-            fresh = keep(fresh)
-            seen = [batch.join(fresh.select("h", "g"), ["h", "g"], "left_anti")]
-        self._place(self._write(reduce(DataFrame.unionByName, seen, fresh)), 0)
+        self._place(self._write(self.unsettled(self._summed(entries, F.count("*"), "doc_id"))), 0)
 
     def _place(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
@@ -99,16 +111,28 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self._path(name))
 
-    def shared(self, least: int) -> DataFrame:
-        """(h, g, owner) of hashes in at least `least` documents, over all runs."""
-        return self._merged([name for level in self.levels for name in level]).where(F.col("n") >= least).select("h", "g", "owner")
+    def shared(self) -> DataFrame:
+        """(h, g, owner) of settled hashes, over all runs."""
+        names = [name for level in self.levels for name in level]
+        return self._merged(names).where(F.col("n") >= self.least).select("h", "g", "owner")
 
     def close(self) -> None:
         self._drop([name for level in self.levels for name in level])
         self.levels = []
 
 
+def _descending(docs: DataFrame, doc_id: str, batches: int) -> Column:
+    """Batch of a doc_id, from 0 for the largest; null comes last."""
+    if not isinstance(docs.schema[doc_id].dataType, NumericType):
+        return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"), F.lit(batches - 1))
+    shares = F.array(*[F.lit(k / batches) for k in range(1, batches)])
+    bounds = docs.agg(F.percentile_approx(doc_id, shares, 10_000)).first()[0] if batches > 1 else None
+    after = [(F.col("doc_id") <= F.lit(b)).cast("int") for b in bounds or []]
+    return F.coalesce(reduce(Column.__add__, after, F.when(F.col("doc_id").isNotNull(), 0)), F.lit(batches - 1))
+
+
 def _cut(whole: Column, places: Column) -> Column:
     """whole without the elements at the ascending places: the stretches between them, joined."""
     ends = F.concat(places, F.array(F.size(whole)))
@@ -125,12 +149,15 @@ def dropped_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches:
     each = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.explode(marked).alias("e"))
     # what tells documents apart: the id, or else the text; rows of one document share a batch
     own = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
-    entries = keep(each.select("doc_id", "text_hash", "e.*", own.alias("own"), F.pmod(F.xxhash64("doc_id", own), F.lit(batches)).alias("batch")))
-    runs = LineRuns(spark, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), owner=entries.schema["doc_id"].dataType.simpleString())
-    for k in range(batches):
-        runs.add(entries.where(f"batch = {k} and first").select("doc_id", "own", "h", "g").distinct())
-    owners = keep(runs.shared(least))
-    runs.close()
+    entries = keep(each.select("doc_id", "text_hash", "e.*", own.alias("own"), _descending(docs, doc_id, batches).alias("batch")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(spark, buckets, least, owner=entries.schema["doc_id"].dataType.simpleString())
+    try:
+        for k in range(batches):
+            runs.add(entries.where(f"batch = {k} and first").select("doc_id", "own", "h", "g").distinct())
+        owners = keep(runs.shared())
+    finally:
+        runs.close()
     gone = entries.join(owners, ["h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("places"))
 

@@ -301,15 +301,47 @@ def test_lines_against_brute_force(spark, batches):
 
 
 def test_runs_compact_and_count(spark):
-    runs = line_runs.LineRuns(spark, buckets=2, fanout=2)
-    batches = [[(1, 5, 5), (1, 6, 6)], [(2, 5, 5)], [(3, 5, 5), (3, 7, 7)], [(4, 7, 7)], [(0, 5, 5)]]
-    for rows in batches:
-        runs.add(spark.createDataFrame(rows, "doc_id bigint, h bigint, g bigint"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted(map(tuple, runs.shared(3).collect())) == [(5, 5, 3)] and sorted(map(tuple, runs.shared(2).collect())) == [(5, 5, 3), (7, 7, 4)]
+    batches = [[(4, 7, 7)], [(3, 5, 5), (3, 7, 7)], [(2, 5, 5)], [(1, 5, 5), (1, 6, 6)], [(0, 5, 5)]]
+    for least, want in ((3, [(5, 5, 3)]), (2, [(5, 5, 3), (7, 7, 4)])):
+        runs = line_runs.LineRuns(spark, buckets=2, least=least, fanout=2)
+        for rows in batches:
+            runs.add(spark.createDataFrame(rows, "doc_id bigint, h bigint, g bigint"))
+        assert [len(x) for x in runs.levels] == [1, 0, 1]
+        assert sorted(map(tuple, runs.shared().collect())) == want
+        runs.close()
+
+
+def test_settled_hashes_leave_a_batch(spark):
+    """A run takes no hash that an earlier one settles with an owner as large; a larger owner is still taken."""
+    runs = line_runs.LineRuns(spark, buckets=2, fanout=9)
+    entries = lambda rows: spark.createDataFrame(rows, "doc_id bigint, h bigint, g bigint")
+    runs.add(entries([(d, 1, 1) for d in (90, 91, 92)] + [(90, 2, 2), (90, 3, 3), (91, 3, 3)]))
+    runs.add(entries([(50, 1, 1), (51, 1, 1), (50, 2, 2), (50, 3, 3), (50, 4, 4)]))
+    runs.add(entries([(95, 1, 1), (20, 2, 2), (None, 1, 1)]))
+    runs.add(entries([(94, 1, 1), (None, 1, 1), (10, 2, 2)]))
+    stored = [sorted((r["h"], r["n"], r["owner"]) for r in run.collect()) for run in runs.runs()]
+    assert stored == [[(1, 3, 92), (2, 1, 90), (3, 2, 91)], [(2, 1, 50), (3, 1, 50), (4, 1, 50)], [(1, 2, 95), (2, 1, 20)], [(1, 2, 94), (2, 1, 10)]]
+    assert sorted(map(tuple, runs.shared().collect())) == [(1, 1, 95), (2, 2, 90), (3, 3, 91)]
     runs.close()
 
 
+def test_shared_lines_are_stored_in_few_runs(spark, monkeypatch):
+    """Of a line that all documents share, only the first run keeps a row; ids are taken from the largest on."""
+    sizes = []
+    monkeypatch.setattr(line_runs.LineRuns, "_place", lambda self, name, level: (sizes.append(self.spark.table(name).count()), self.levels.append([name])))
+    docs = spark.range(80).selectExpr("id AS doc_id", "'a line that every document holds' AS text")
+    got = line_runs.dedup_lines(docs, batches=8)
+    assert sizes == [1, 0, 0, 0, 0, 0, 0, 0] and [r["doc_id"] for r in got.where("dropped_count = 0").collect()] == [79]
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_lines_of_other_ids(spark, kind):
+    texts = {i: f"shared line over all of the rows\nown line of the row number {i}" for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    left = line_runs.dedup_lines(docs).where("dropped_count = 0").select(F.col("doc_id").cast("string")).collect()
+    assert [r[0] for r in left] == [max(str(i) for i in texts) if kind == "string" else "29.0"]
+
+
 # --- 9: packing ---------------------------------------------------------------------------------
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
