@@ -1,9 +1,10 @@
 """Order statistics without a global sort in one task.
 
-Rows are first collapsed to one row per distinct value. Running totals are then
-built in two levels: totals per value bucket and a window inside each bucket.
-Bucket edges are quantiles of the distinct values, so buckets are even however
-the values crowd, and only the bucket totals meet in one window.
+Rows are first collapsed to one row per distinct value. These are dealt by range
+of value into blocks, as many as shuffle partitions, and written once with their
+block. Running totals are then built in two levels: totals of the blocks, which
+alone meet in one window, and a window inside each block. Blocks are even however
+the values crowd, as they split the distinct values.
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parleyspark.session import written
+
 
 def running_before(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before``, the total of c over strictly smaller values of the key,
     and ``<c>_total``, the total over the key.
 
-    ``df`` holds at most one row per (keys, value). A bucket holds about a
-    ``buckets``-th of these rows, over all keys; by default there are as many as
-    shuffle partitions, between 32 and 256.
+    ``df`` holds at most one row per (keys, value). A block is a range of (keys,
+    value), so a key with most of the values lies in many of them; by default
+    there are as many as shuffle partitions, fewer if they would be small.
     """
     keys = list(keys)
-    if buckets is None:
-        buckets = min(256, max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    edges = df.agg(F.sort_array(F.percentile_approx(value, probs, 20 * buckets)).alias("e")).scalar()
-    bucketed = df.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda x: x < F.col(value)))).drop("_e")
+    number = [] if buckets is None else [buckets]
+    ranged = df.repartitionByRange(*number, *keys, value).withColumn("_b", F.spark_partition_id())
+    bucketed = written(ranged)
     totals = bucketed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     across = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(

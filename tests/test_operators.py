@@ -242,6 +242,17 @@ def test_ranks_of_values_that_crowd(spark):
         before += r["n"]
 
 
+def test_ranks_by_key_over_many_blocks(spark):
+    """One key with most of the values, small ones beside it, one of them with NaN; as many blocks as asked for, beyond 256 too."""
+    rows = [("hot", float(v), 1) for v in range(3000)] + [("b", 5.0, 2), ("b", 7.0, 3), ("b", float("nan"), 4), ("c", -1.0, 5)]
+    df = spark.createDataFrame(rows, "k string, v double, n bigint")
+    got = {(r["k"], str(r["v"])): (r["n_before"], r["n_total"]) for r in R.running_before(df, ["k"], "v", ["n"], buckets=300).collect()}
+    want = {("hot", str(float(v))): (v, 3000) for v in range(3000)}
+    want |= {("b", "5.0"): (0, 9), ("b", "7.0"): (2, 9), ("b", "nan"): (5, 9), ("c", "-1.0"): (0, 5)}
+    assert got == want
+    assert R.running_before(df.limit(0), ["k"], "v", ["n"]).collect() == []
+
+
 def test_exact_tests_of_large_counts_are_quick():
     import time
     from math import comb
