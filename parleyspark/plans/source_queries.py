@@ -244,3 +244,116 @@ def resumed_chunks(spark, sf):
     for stop in (2, None):
         ChunkedJob(spark, path, "doc_id", chunks=5).run(d, work, stop)
     return ChunkedJob(spark, path, "doc_id").result().drop("chunk")
+
+
+@query("source_pairs", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY ALL")
+def source_pairs(spark, sf):
+    """Accepted pairs of two splits, a folder each, read together."""
+    d = table(spark, sf, "documents").withColumn("split", F.when(F.col("doc_id") % 3 == 0, "val").otherwise("train"))
+    row = {"row_id": F.col("doc_id").cast("string"), "split": F.col("split"), "label": F.lit(1), "text": F.col("text"), "hindi_text": F.col("lang")}
+    empty = {c: F.lit(None).cast("string") for c in ("hindi_abuse", "hinglish_abuse", "score_delta", "attempts")}
+    rows = d.select(*[c.alias(n) for n, c in (row | empty).items()])
+    paths = [f"{folder(spark)}/{split}" for split in ("train", "val")]
+    for split, path in zip(("train", "val"), paths, strict=True):
+        K.append_csv(rows.filter(F.col("split") == split), path, rows.columns)
+    return R.load_pairs(spark, paths).groupBy("split", F.col("hindi_text").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+@query(
+    "source_attempts",
+    """SELECT CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'ok' END AS outcome, count(*) AS n, sum(2)::BIGINT AS attempts, count(*) FILTER (event_id % 5 <> 0) AS scored FROM events GROUP BY ALL
+        UNION ALL SELECT 'corrupt', count(*), 0, 0 FROM events WHERE event_id % 7 = 0 HAVING count(*) > 0""",
+)
+def source_attempts(spark, sf):
+    """Log with two attempts a row, of which the later counts, scores that are no numbers, and broken lines between."""
+    e = table(spark, sf, "events").select("event_id")
+    k = F.col("event_id")
+    score = F.when(k % 5 == 0, "n/a").otherwise("0.5")
+    attempt = lambda n, ok: F.to_json(F.struct(k.cast("string").alias("row_id"), F.lit(n).alias("attempts"), ok.alias("ok"), score.alias("hindi_abuse")))
+    broken = F.when(k % 7 == 0, F.concat(F.lit('{"row_id": "'), k.cast("string"), F.lit('", bad')))
+    path = folder(spark)
+    e.select(F.explode(F.array_compact(F.array(attempt(1, F.lit(False)), broken, F.lit("  "), attempt(2, k % 4 != 0)))).alias("value")).write.text(path)
+    rows, bad = R.read_attempts(spark, path)
+    good = rows.groupBy(F.when(F.col("ok"), "ok").otherwise("failed").alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("attempts").cast("bigint").alias("attempts"), F.count("hindi_abuse").alias("scored")
+    )
+    zero = F.lit(0).cast("bigint")
+    return good.unionByName(bad.filter("corrupt_lines > 0").select(F.lit("corrupt").alias("outcome"), F.col("corrupt_lines").alias("n"), zero.alias("attempts"), zero.alias("scored")))
+
+
+@query(
+    "source_comment_tree",
+    f"""WITH c AS (SELECT conv_id, turn, {Q._SCRUB.replace("html", "coalesce(text, '')")} AS text FROM conversations), m AS (SELECT conv_id, min(turn) AS first FROM c GROUP BY conv_id)
+        SELECT 'kept' AS kind, CASE WHEN conv_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(length(text))::BIGINT AS chars
+        FROM c JOIN m USING (conv_id) WHERE turn > first AND conv_id % 5 <> 0 AND text NOT IN ('', '[deleted]', '[removed]') GROUP BY ALL
+        UNION ALL SELECT 'all', 'all', count(*), sum(length(text))::BIGINT FROM c JOIN m USING (conv_id) WHERE turn > first HAVING count(*) > 0""",
+)
+def source_comment_tree(spark, sf):
+    """Conversations as a forum's table: the first turn is the post, each later turn answers the one before."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c = c.join(c.groupBy("conv_id").agg(F.min("turn").alias("first")), "conv_id")
+    post = F.concat(F.lit("p"), F.col("conv_id").cast("string"))
+    name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), t.cast("string"))
+    is_post, place = F.col("turn") == F.col("first"), F.col("turn") - F.col("first")
+    split = F.when(F.col("conv_id") % 5 == 0, "exclude_lang").when(F.col("conv_id") % 4 == 0, "test").otherwise("train")
+    rows = c.select(
+        F.when(is_post, F.concat(post, F.lit("-post"))).otherwise(name(F.col("turn"))).alias("info_id"),
+        F.when(is_post, "NA").when(place == 1, post).otherwise(name(F.col("turn") - 1)).alias("info_id.parent"), F.col("text").alias("meta_text"),
+        split.alias("split"), F.lit("Neutral").alias("annotation_Primary"), F.lit("NA").alias("annotation_Context"),
+    )
+    path = folder(spark)
+    rows.write.option("header", True).option("sep", "\t").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    keep, comments, _ = R.load_comment_tree(spark, path)
+    facts = (F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    kept = keep.groupBy("split").agg(*facts).select(F.lit("kept").alias("kind"), "split", "n", "chars")
+    return kept.unionByName(comments.agg(*facts).filter("n > 0").select(F.lit("all").alias("kind"), F.lit("all").alias("split"), "n", "chars"))
+
+
+_SIGN = "(conv_id + turn + k) % 4"
+
+
+@query(
+    "source_annotators",
+    f"""WITH v AS (SELECT conv_id, coalesce(text, '') AS text, {_SIGN} AS s, k FROM conversations, (SELECT unnest([0, 1, 2]) AS k)),
+        a AS (SELECT conv_id, text, avg((s < 2)::INTEGER) AS ab, avg((s = 3)::INTEGER) AS no, avg((s = 1)::INTEGER) AS sex FROM v GROUP BY ALL),
+        u AS (SELECT *, {Q._SCRUB.replace("html", "text")} AS said FROM a WHERE NOT ((ab > 0.25 AND ab < 0.5) OR (ab < 0.5 AND no < 0.5)))
+        SELECT conv_id, md5(said) AS said_hash, (ab >= 0.5)::INTEGER AS y, (sex >= 0.5)::INTEGER AS y_sex FROM u WHERE said <> ''""",
+)
+def source_annotators(spark, sf):
+    """Three annotators' flags for each turn, as vote shares; unclear turns go."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    sign = (F.col("conv_id") + F.col("turn") + F.col("k")) % 4
+    flag = lambda cond: F.when(cond, 1).otherwise(0)
+    rows = c.select(
+        "conv_id", F.lit("_").alias("prev_agent"), F.lit("_").alias("prev_user"), F.lit("hey").alias("agent"), F.col("text").alias("user"), F.lit("b").alias("bot"),
+        flag(sign == 3).alias("is_abuse.1"), flag(sign == 0).alias("is_abuse.-1"), flag(sign == 1).alias("is_abuse.-2"), F.lit(0).alias("is_abuse.-3"),
+        flag(sign == 1).alias("type.sex_harassment"),
+    )
+    path = folder(spark)
+    K.append_csv(rows.select(*[F.col(f"`{n}`") for n in rows.columns]), path, [f"`{n}`" for n in rows.columns])
+    d = R.load_annotator_votes(spark, path)
+    return d.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.md5(F.element_at("turns", -1)).alias("said_hash"), "y", "y_sex")
+
+
+@query("lookup_all", "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def lookup_all(spark, sf):
+    """Orders by their customer's segment; an order without a customer would fail the query."""
+    from parleyspark.operators.dedup import attach_all
+
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
+    d = attach_all(o, table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey")
+    return d.groupBy("segment").agg(F.sum("orders").cast("bigint").alias("n"))
+
+
+@query("retry_delays", "SELECT event_id, least(8000.0::DOUBLE, 500.0::DOUBLE * pow(2.0::DOUBLE, event_id % 8)) AS wait_ms FROM events")
+def retry_delays(spark, sf):
+    """Wait before each event's retry, its number being taken from the id."""
+    return table(spark, sf, "events").select("event_id", L.retry_delay(F.col("event_id") % 8 + 1).alias("wait_ms"))
+
+
+@query("end_times", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN epoch(o_orderdate::TIMESTAMP)::BIGINT END AS ended FROM orders")
+def end_times(spark, sf):
+    """Times inside a status text; a text without one has none."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("t"))
+    text = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("User initiated ("), "t", F.lit(" GMT)"))).otherwise(F.concat(F.lit("running since "), "t"))
+    return o.select("o_orderkey", F.unix_timestamp(L.parse_end_time(text)).alias("ended"))
