@@ -158,9 +158,10 @@ def marginals(df: DataFrame, fields: Sequence[str], cell: Sequence[str]) -> Data
     return agg.select(grouping.alias("grouping"), F.concat_ws("|", *cols).alias("value"), "n")
 
 
-def page(df: DataFrame, predicate: Column, order: str, page_no: int = 1, size: int = 50) -> DataFrame:
-    """One page of the hits in order; at most 100 rows."""
-    size = min(size, 100)
+def page(df: DataFrame, predicate: Column, order: str, page_no: int = 1, size: int = 50, most: int = 100) -> DataFrame:
+    """One page of the hits in order. A size beyond ``most`` is an error."""
+    if not 0 < size <= most:
+        raise ValueError(f"a page has 1 to {most} rows, not {size}")
     offset = (max(page_no, 1) - 1) * size
     return df.filter(predicate).orderBy(order).offset(offset).limit(size)
 

@@ -357,3 +357,28 @@ def end_times(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("t"))
     text = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("User initiated ("), "t", F.lit(" GMT)"))).otherwise(F.concat(F.lit("running since "), "t"))
     return o.select("o_orderkey", F.unix_timestamp(L.parse_end_time(text)).alias("ended"))
+
+
+@query(
+    "metric_report",
+    """WITH m AS (SELECT lang, count(*) AS n, avg(length(text))::DOUBLE AS mean_chars FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+        SELECT 'corpus' AS section, lang AS key, 'n' AS metric, n::DOUBLE AS value FROM m UNION ALL SELECT 'corpus', lang, 'mean_chars', round(mean_chars, 6) FROM m""",
+)
+def metric_report(spark, sf):
+    """Metrics by language in long form, written as one report and read back."""
+    d = table(spark, sf, "documents").filter("lang IS NOT NULL")
+    wide = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+    path = folder(spark)
+    K.write_report(K.long_metrics(wide, "corpus", "lang"), path)
+    return R.read_report(spark, path)
+
+
+@query("incident_export", f"{Th._LOG} SELECT id, score, severity, seq, row_number() OVER (ORDER BY seq DESC) AS place FROM kept_log")
+def incident_export(spark, sf):
+    """The capped log as one JSON document, read back with the place of each incident."""
+    path = folder(spark)
+    doc = K.export_incidents(Th.incident_log(spark, sf), "seq")
+    spark.createDataFrame([(doc,)], "value string").write.text(path)
+    schema = "incidents array<struct<id string, score double, severity string, seq bigint>>"
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("d")).select(F.posexplode("d.incidents").alias("at", "i"))
+    return rows.select("i.*", (F.col("at") + 1).cast("bigint").alias("place"))

@@ -168,7 +168,9 @@ def parse_csv_lines(lines: DataFrame, schema: str, column: str = "value") -> Dat
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """Metric rows (section, key, metric, value) of a report, which is one JSON document."""
+    schema = "metrics array<struct<section string, key string, metric string, value double>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("metrics"))
 
 
 def read_message_stream(spark: SparkSession, path: str, schema: str = MESSAGE, files_per_trigger: int = 100) -> DataFrame:

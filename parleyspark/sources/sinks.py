@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parleyspark.operators import gates as G
+from parleyspark.session import written
 
 
 def append_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
@@ -84,17 +84,27 @@ def prediction_dump(df: DataFrame, turns: str, probs: Sequence[str]) -> DataFram
     return df.select(*rest, tail.alias(turns), *rounded)
 
 
-def export_incidents(log: DataFrame, order: str) -> str:
-    """The capped log as one JSON document, newest first."""
+def _bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """rows, for a document that one task writes; a table that is too large for one is an error, not a cut."""
+    held = written(rows.limit(most + 1))
+    if held.count() > most:
+        raise ValueError(f"{what} takes at most {most} rows; write the table itself instead")
+    return held
+
+
+def export_incidents(log: DataFrame, order: str, most: int = 10_000) -> str:
+    """The capped log as one JSON document, newest first. More than ``most`` rows are an error."""
     ordered = F.transform(
         F.reverse(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct("*").alias("row"))))), lambda s: s["row"]
     )
+    log = _bounded(log, most, "an export")
     return log.agg(F.to_json(F.struct(F.current_timestamp().alias("exportedAt"), ordered.alias("incidents"))).alias("j")).first()["j"]
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Long-format metric rows as JSON."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+def write_report(metrics: DataFrame, path: str, most: int = 100_000) -> None:
+    """Metric rows (section, key, metric, value) as one JSON document, in order. More than ``most`` rows are an error."""
+    rows = F.sort_array(F.collect_list(F.struct("section", "key", "metric", "value")))
+    _bounded(metrics, most, "a report").agg(F.to_json(F.struct(rows.alias("metrics"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def long_metrics(df: DataFrame, section: str, key: str) -> DataFrame:
@@ -105,15 +115,11 @@ def long_metrics(df: DataFrame, section: str, key: str) -> DataFrame:
 
 
 def dataset_card(marginals: DataFrame) -> str:
-    """Short markdown summary from the marginal counts."""
-    rows = marginals.filter(F.col("grouping") != "length+script+label").orderBy("grouping", "value").collect()
+    """Short markdown summary from the marginal counts, 10,000 at most."""
+    shown = _bounded(marginals.filter(F.col("grouping") != "length+script+label"), 10_000, "a card")
+    rows = shown.orderBy("grouping", "value").collect()
     lines = ["# Dataset", ""]
     for name in dict.fromkeys(r["grouping"] for r in rows):
         lines += [f"## {name}", "", "| value | rows |", "| --- | --- |"]
         lines += [f"| {r['value'] or 'all'} | {r['n']} |" for r in rows if r["grouping"] == name] + [""]
     return "\n".join(lines)
-
-
-def write_weights(weights: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(weights, f)

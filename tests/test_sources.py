@@ -119,3 +119,17 @@ def test_lexicon_bound(spark, tmp_path):
     assert len(Rd.load_lexicon(spark, str(p), "marker")) == 5
     with pytest.raises(ValueError):
         Rd.load_lexicon(spark, str(p), "marker", max_rows=4)
+
+
+def test_documents_of_one_task_are_bounded(spark, tmp_path):
+    rows = spark.range(5).selectExpr("'s' AS section", "cast(id AS string) AS key", "'m' AS metric", "cast(id AS double) AS value")
+    path = str(tmp_path / "report")
+    Sk.write_report(rows, path)
+    assert sorted(map(tuple, Rd.read_report(spark, path).collect())) == sorted(map(tuple, rows.collect()))
+    for write in (lambda: Sk.write_report(rows, path, most=4), lambda: Sk.export_incidents(rows, "key", most=4)):
+        with pytest.raises(ValueError, match="at most 4 rows"):
+            write()
+    Sk.write_report(rows.limit(0), path)
+    assert Rd.read_report(spark, path).collect() == []
+    with pytest.raises(ValueError, match="1 to 100"):
+        Th.page(rows, F.lit(True), "key", size=101)
