@@ -34,14 +34,24 @@ class Rules:
 
     A fence lies `reach` spreads beyond the `outer` quantile (and below the 1 - outer quantile where a rule
     has a lower side). The spread is the distance between the outer quantile and the median, at least the
-    rule's slack, so that a group of alike documents is not cut by noise. Rates of short texts scatter more:
-    a fence is `noise` slacks wider at one word, falling with the square root of the number of words.
+    rule's slack, so that a group of alike documents is not cut by noise.
+
+    Rates that are zero in most documents have no spread there. Where it is below the slack, the fence starts
+    from the group's own `tail` quantile instead, taken over the values inside the first fence, so that junk
+    beyond it does not make itself ordinary.
+
+    A share of few words or lines scatters more than one of many: a fence is `errors` standard errors wider for a
+    text of n of them, sqrt(rate * clump / n), where the rate is the mean of the group's values inside
+    the first fence, at least the slack, and clump the number of units that occur together. A mean of n words
+    has no such error by its own; its room is `noise` slacks / sqrt(n).
     """
 
     error: float = 0.02
     least: int = 50
     outer: float = 0.75
     reach: float = 6.0
+    tail: float = 0.98
+    errors: float = 4.0
     noise: float = 60.0
 
     @property
@@ -49,17 +59,19 @@ class Rules:
         return (1 + self.error) / (1 - self.error)
 
 
-#: Rule: dividend, divisor, slack, whether it has a lower fence too. One repeated line moves the rates of a clean text
-#: of n words by some 26 / n and one line in so many; the slacks leave room for it where base rules do, and no more.
+#: Rule: dividend, divisor, slack, clump (None for a mean), whether it has a lower fence too. A repeat is at least one
+#: window of words. One repeated line moves the rates of a clean text of n words by some 26 / n and one line in so
+#: many; the slacks leave room for it where base rules do, and no more.
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", 0.01, False),
-    "dup_line_rate": ("n_dup_lines", "n_full_lines", 0.036, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.018, False),
-    "word_length": ("word_chars", "n_words", 0.15, True),
+    "symbol_rate": ("n_symbols", "n_words", 0.01, 2, False),
+    "dup_line_rate": ("n_dup_lines", "n_full_lines", 0.036, 1, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.018, WINDOW, False),
+    "word_length": ("word_chars", "n_words", 0.15, None, True),
 }
+SIDES = ("low", "high", "room")
 
 #: Columns that adaptive_rules() adds, also for a while; a caller's own of these names are replaced.
-ADDED = [*MEASURES, "base_failed", "kept", *[f"{side}_{r}" for r in RATES for side in ("low", "high")]]
+ADDED = [*MEASURES, "base_failed", "kept", *[f"{side}_{r}" for r in RATES for side in SIDES]]
 
 
 def _covered(places: Column) -> Column:
@@ -123,7 +135,9 @@ def sketches(measured: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] =
 
 
 def fences(counts: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(by..., low_<rule>, high_<rule>): thresholds of each group, from the narrowest sketch with enough documents.
+    """(by..., low_<rule>, high_<rule>, room_<rule>): thresholds of each group, from the narrowest sketch with enough documents.
+
+    room: how much wider a fence is for a text of one unit of the rule's divisor; it falls with the square root.
 
     Sketches of wider groups are sums of the narrow ones: first all, then those before the last column, then all documents.
     """
@@ -136,32 +150,44 @@ def fences(counts: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("la
     upto = F.sum("n").over(over.orderBy("bucket"))
     ranked = wide.withColumns({"_upto": upto, "_all": F.sum("n").over(over)})
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(rules.gamma), F.col("bucket")) / (rules.gamma + 1))
-    quantile = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), value))
-    spread = ranked.groupBy(*keys).agg(
-        quantile(1 - rules.outer).alias("lo"), quantile(0.5).alias("mid"), quantile(rules.outer).alias("hi"), F.max("_all").alias("total")
+    of_rule = lambda at: reduce(lambda a, r: F.when(F.col("rule") == r, RATES[r][at]).otherwise(a), RATES, F.lit(None).cast("double"))
+    ranked = ranked.withColumns({"_value": value, "_slack": of_rule(2), "_clump": of_rule(3)})
+    # every window has the key of the first, so the sketches move once
+    quantile = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("_value"))).over(over)
+    ranked = ranked.withColumns({"_lo": quantile(1 - rules.outer), "_mid": quantile(0.5), "_hi": quantile(rules.outer)})
+    out = lambda edge, inner: rules.reach * F.greatest(F.abs(F.col(edge) - F.col(inner)), F.col("_slack"))
+    ranked = ranked.withColumns({"_low": F.col("_lo") - out("_mid", "_lo"), "_high": F.col("_hi") + out("_hi", "_mid")})
+    inside = F.col("_value") <= F.col("_high")
+    ranked = ranked.withColumn("_in", F.max(F.when(inside, F.col("_upto"))).over(over))
+    spread = ranked.groupBy(*keys, "_low", "_high", "_slack", "_clump", (F.col("_hi") - F.col("_mid")).alias("_spread")).agg(
+        F.max("_all").alias("total"),
+        F.min(F.when(F.col("_upto") >= rules.tail * F.col("_in"), F.col("_value"))).alias("_tail"),
+        F.round(F.sum(F.when(inside, F.col("_value") * F.col("n"))) / F.max("_in"), 9).alias("_mean"),
     )
-    slack = reduce(lambda a, r: F.when(F.col("rule") == r, RATES[r][2]).otherwise(a), RATES, F.lit(0.0))
-    out = lambda edge, inner: rules.reach * F.greatest(F.abs(F.col(edge) - F.col(inner)), slack)
-    spread = spread.select(*keys, "total", (F.col("hi") + out("hi", "mid")).alias("high"), (F.col("lo") - out("mid", "lo")).alias("low"))
+    flat = F.col("_clump").isNotNull() & (F.col("_spread") < F.col("_slack"))
+    high = F.when(flat, F.greatest("_high", F.col("_tail") + rules.reach * F.col("_slack"))).otherwise(F.col("_high"))
+    error = rules.errors * F.sqrt(F.greatest("_mean", "_slack") * F.col("_clump"))
+    room = F.coalesce(error, rules.noise * F.col("_slack"))
+    spread = spread.select(*keys, "total", F.col("_low").alias("low"), high.alias("high"), room.alias("room"))
     groups = counts.select(*by).distinct().withColumn("_at", F.explode(F.array(*[at(k) for k in range(len(levels))])))
     groups = groups.select(*by, *[F.col(f"_at.{k}").alias(f"g{k}") for k in keys[:-1]])
     met = reduce(lambda a, k: a & F.col(f"g{k}").eqNullSafe(F.col(k)), keys[:-1], F.lit(True))
     usable = F.when((F.col("total") >= rules.least) | (F.col("level") == len(by)), F.col("level"))
-    chosen = groups.join(spread, met).groupBy(*by, "rule").agg(F.min_by(F.struct("low", "high"), usable).alias("f"))
+    chosen = groups.join(spread, met).groupBy(*by, "rule").agg(F.min_by(F.struct(*SIDES), usable).alias("f"))
     of = lambda r, side: F.max(F.when(F.col("rule") == r, F.col(f"f.{side}"))).alias(f"{side}_{r}")
-    return chosen.groupBy(*by).agg(*[of(r, side) for r in RATES for side in ("low", "high")])
+    return chosen.groupBy(*by).agg(*[of(r, side) for r in RATES for side in SIDES])
 
 
 def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules(), by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """measured with base_failed and kept: not base_failed, and no rate outside its group's fences."""
     judged = join_small(measured, limits, list(by), "left")
     inside = F.lit(True)
-    for rule, (*_, slack, lower) in RATES.items():
-        room = slack * rules.noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    for rule, (_, units, *_, lower) in RATES.items():
+        room = F.col(f"room_{rule}") / F.sqrt(F.greatest(F.col(units), F.lit(1)))
         inside = inside & F.coalesce(_rate(rule) <= F.col(f"high_{rule}") + room, F.lit(True))
         if lower:
             inside = inside & F.coalesce(_rate(rule) >= F.col(f"low_{rule}") - room, F.lit(True))
-    names = [f"{side}_{r}" for r in RATES for side in ("low", "high")]
+    names = [f"{side}_{r}" for r in RATES for side in SIDES]
     return judged.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside}).drop(*names)
 
 

@@ -61,8 +61,9 @@ def _adaptive_sql() -> str:
     rules = adaptive_rules.Rules()
     scale = repr(1 / math.log(rules.gamma))
     rates = [
-        f"SELECT doc_id, lang, source, n_words, '{r}' AS rule, {a} / greatest({b}, 1) AS x, {slack}::DOUBLE AS slack, {str(low).lower()} AS low FROM b WHERE NOT base_failed"
-        for r, (a, b, slack, low) in adaptive_rules.RATES.items()
+        f"SELECT doc_id, lang, source, greatest({b}, 1) AS units, '{r}' AS rule, {a} / greatest({b}, 1) AS x, {slack}::DOUBLE AS slack,"
+        f" {clump or 'NULL'}::DOUBLE AS clump, {str(low).lower()} AS low FROM b WHERE NOT base_failed"
+        for r, (a, b, slack, clump, low) in adaptive_rules.RATES.items()
     ]
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -81,18 +82,24 @@ m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_r
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
 x AS ({" UNION ALL ".join(rates)}),
 k AS (SELECT *, CASE WHEN x > 0 THEN ceil(round(ln(x) * {scale}, 6))::INT ELSE {adaptive_rules.ZERO} END AS bucket FROM x),
-l AS (SELECT 0 AS level, lang, source, rule, slack, bucket FROM k UNION ALL SELECT 1, lang, NULL, rule, slack, bucket FROM k UNION ALL SELECT 2, NULL, NULL, rule, slack, bucket FROM k),
-h AS (SELECT level, lang, source, rule, slack, bucket, count(*) AS n FROM l GROUP BY ALL),
+l AS (SELECT 0 AS level, lang, source, rule, slack, clump, bucket FROM k UNION ALL SELECT 1, lang, NULL, rule, slack, clump, bucket FROM k UNION ALL SELECT 2, NULL, NULL, rule, slack, clump, bucket FROM k),
+h AS (SELECT level, lang, source, rule, slack, clump, bucket, count(*) AS n FROM l GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (q ORDER BY bucket) AS upto, sum(n) OVER q AS total,
              CASE WHEN bucket = {adaptive_rules.ZERO} THEN 0 ELSE 2 * pow({rules.gamma!r}, bucket) / ({rules.gamma!r} + 1) END AS v
       FROM h WINDOW q AS (PARTITION BY level, lang, source, rule)),
-q AS (SELECT level, lang, source, rule, slack, max(total) AS total, min(v) FILTER (upto >= {1 - rules.outer} * total) AS lo,
+q AS (SELECT level, lang, source, rule, max(total) AS total, min(v) FILTER (upto >= {1 - rules.outer} * total) AS lo,
              min(v) FILTER (upto >= 0.5 * total) AS mid, min(v) FILTER (upto >= {rules.outer} * total) AS hi FROM u GROUP BY ALL),
-f AS (SELECT *, hi + {rules.reach} * greatest(abs(hi - mid), slack) AS high, lo - {rules.reach} * greatest(abs(mid - lo), slack) AS floor_ FROM q),
-o AS (SELECT g.lang, g.source, f.rule, arg_min(high, level) AS high, arg_min(floor_, level) AS floor_
+e AS (SELECT u.*, lo, mid, hi, hi + {rules.reach} * greatest(abs(hi - mid), slack) AS first_, lo - {rules.reach} * greatest(abs(mid - lo), slack) AS floor_
+      FROM u JOIN q ON u.level = q.level AND u.rule = q.rule AND u.lang IS NOT DISTINCT FROM q.lang AND u.source IS NOT DISTINCT FROM q.source),
+i AS (SELECT *, max(upto) FILTER (v <= first_) OVER (PARTITION BY level, lang, source, rule) AS inside FROM e),
+t AS (SELECT level, lang, source, rule, slack, clump, total, mid, hi, first_, floor_, min(v) FILTER (upto >= {rules.tail} * inside) AS tail,
+             round(sum(v * n) FILTER (v <= first_) / max(inside), 9) AS mean FROM i GROUP BY ALL),
+f AS (SELECT *, CASE WHEN clump IS NOT NULL AND hi - mid < slack THEN greatest(first_, tail + {rules.reach} * slack) ELSE first_ END AS high,
+             coalesce({rules.errors} * sqrt(greatest(mean, slack) * clump), {rules.noise} * slack) AS room FROM t),
+o AS (SELECT g.lang, g.source, f.rule, arg_min(high, level) AS high, arg_min(floor_, level) AS floor_, arg_min(room, level) AS room
       FROM (SELECT DISTINCT lang, source FROM x) g JOIN f ON (f.total >= {rules.least} OR level = 2) AND (level > 1 OR f.lang IS NOT DISTINCT FROM g.lang) AND (level > 0 OR f.source IS NOT DISTINCT FROM g.source)
       GROUP BY ALL),
-v AS (SELECT x.doc_id, bool_or(x > high + slack * {rules.noise} / sqrt(greatest(n_words, 1)) OR (low AND x < floor_ - slack * {rules.noise} / sqrt(greatest(n_words, 1)))) AS out
+v AS (SELECT x.doc_id, bool_or(x > high + room / sqrt(units) OR (low AND x < floor_ - room / sqrt(units))) AS out
       FROM x JOIN o ON x.rule = o.rule AND x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source GROUP BY x.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(out, false) AS kept
 FROM b LEFT JOIN v USING (doc_id)
