@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from parleyspark.functions import grams as N
 from parleyspark.functions import text as T
-from parleyspark.session import cut_lineage
+from parleyspark.session import cut_lineage, written
 
 
 # --- character n-grams --------------------------------------------------------------
@@ -166,18 +167,44 @@ def clipped_counts(df: DataFrame, key: str, hyp: Column, refs: Column, grams, by
     )
 
 
-def corpus_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) -> DataFrame:
-    """BLEU in [0, 1] with exponential smoothing and closest reference length."""
-    words = df.select(key, bleu_tokens(F.col(hyp)).alias("_h"), F.transform(refs, bleu_tokens).alias("_r"))
+def apart(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key no other row has, rows whose key is null or stands in several rows)."""
+    again = written(df.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR _again IS NULL").select("_again"))
+    same = df[key].eqNullSafe(again["_again"])
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
+def bleu_parts(df: DataFrame, key: str, hyp: str, refs: str, max_n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, _h, _r) as words of rows with a key of their own and of the others; (key, n, m, t) counted over rows of one key.
+
+    Rows with a key of their own are counted where they lie, so none of their n-grams is shuffled.
+    """
+    words = lambda d: d.select(key, bleu_tokens(F.col(hyp)).alias("_h"), F.transform(refs, bleu_tokens).alias("_r"))
+    once, again = map(words, apart(df.select(key, hyp, refs), key))
     tagged = lambda w, n: F.transform(word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
     grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
-    per_n = clipped_counts(words, key, F.col("_h"), F.col("_r"), grams)
-    sizes = words.select(F.size("_h").alias("h"), F.transform("_r", lambda r: F.size(r)).alias("r"))
-    closest = F.array_min(F.transform("r", lambda r: F.struct(F.abs(r - F.col("h")).alias("d"), r.alias("l"))))["l"]
-    lengths = sizes.agg(F.sum("h").alias("hyp_len"), F.sum(closest).alias("ref_len"))
-    wide = per_n.agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}") for n in range(1, max_n + 1) for c in "mt"]
-    ).withColumns({"h": lengths.select("hyp_len").scalar().cast("double"), "r": lengths.select("ref_len").scalar().cast("double")})
+    return once, again, clipped_counts(again, key, F.col("_h"), F.col("_r"), grams, [key])
+
+
+def _sizes() -> tuple[Column, Column]:
+    """Words of the hypothesis and of the reference closest to it in length."""
+    closest = F.array_min(F.transform("_r", lambda r: F.struct(F.abs(F.size(r) - F.size("_h")).alias("d"), F.size(r).alias("l"))))["l"]
+    return F.size("_h").alias("h"), closest.alias("r")
+
+
+def corpus_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4) -> DataFrame:
+    """BLEU in [0, 1] with exponential smoothing and closest reference length."""
+    once, again, shared = bleu_parts(df, key, hyp, refs, max_n)
+    names = [f"{c}{n}" for n in range(1, max_n + 1) for c in "mt"]
+    counted = once.select(*_sizes(), N.clipped(F.col("_h"), F.col("_r"), max_n).alias("c"))
+    own = counted.select("h", "r", *[F.get("c", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    lengths = again.select(*_sizes(), *[F.lit(0).cast("bigint").alias(c) for c in names])
+    pick = lambda c, n: F.when(F.col("n") == n, F.col(c)).otherwise(0).alias(f"{c}{n}")
+    none = F.lit(None).cast("int")
+    merged = shared.select(none.alias("h"), none.alias("r"), *[pick(c, n) for n in range(1, max_n + 1) for c in "mt"])
+    wide = own.unionByName(lengths).unionByName(merged).agg(
+        F.sum("h").cast("double").alias("h"), F.sum("r").cast("double").alias("r"), *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names]
+    )
     smooth, log_sum, usable = F.lit(1.0), F.lit(0.0), F.lit(True)
     for n in range(1, max_n + 1):
         m, t = F.col(f"m{n}"), F.col(f"t{n}")
@@ -195,15 +222,14 @@ def sentence_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4)
 
     Exponential smoothing and the closest reference length; zero without any match. ``key`` is unique.
     """
-    words = df.select(key, bleu_tokens(F.col(hyp)).alias("_h"), F.transform(refs, bleu_tokens).alias("_r"))
-    tagged = lambda w, n: F.transform(word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-    grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
-    per_n = clipped_counts(words, key, F.col("_h"), F.col("_r"), grams, [key])
-    pick = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}")
-    wide = per_n.groupBy(key).agg(*[pick(c, n) for n in range(1, max_n + 1) for c in "mt"])
-    sizes = words.select(key, F.size("_h").alias("h"), F.transform("_r", lambda r: F.size(r)).alias("r"))
-    closest = F.array_min(F.transform("r", lambda r: F.struct(F.abs(r - F.col("h")).alias("d"), r.alias("l"))))["l"]
-    d = sizes.select(key, F.col("h").cast("double").alias("h"), closest.cast("double").alias("r")).join(wide, key, "left")
+    once, again, shared = bleu_parts(df, key, hyp, refs, max_n)
+    names = [f"{c}{n}" for n in range(1, max_n + 1) for c in "mt"]
+    pick = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
+    wide = shared.groupBy(key).agg(*[pick(c, n) for n in range(1, max_n + 1) for c in "mt"])
+    counted = once.select(key, *_sizes(), N.clipped(F.col("_h"), F.col("_r"), max_n).alias("c"))
+    own = counted.select(key, "h", "r", *[F.get("c", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    others = again.select(key, *_sizes()).join(wide, key, "left")
+    d = own.unionByName(others).select(key, *[F.col(c).cast("double").alias(c) for c in ("h", "r", *names)])
     smooth, log_sum, order = F.lit(1.0), F.lit(0.0), F.lit(0)
     for n in range(1, max_n + 1):
         m, t = F.col(f"m{n}"), F.col(f"t{n}")
@@ -216,11 +242,28 @@ def sentence_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4)
     return d.select(key, score.alias("bleu"))
 
 
+def gram_counts(rows: DataFrame, refs: Column, met: DataFrame, max_n: int) -> DataFrame:
+    """(n, gram, c): how often all references hold each n-gram of met (n, gram); others stay in their rows."""
+    needed = met.select("n", "gram").distinct()
+    found = rows.select(F.inline(N.masked(refs, max_n, N.mask(needed, "gram"))))
+    return found.groupBy("n", "gram").agg(F.sum("cr").alias("c")).join(needed, ["n", "gram"], "left_semi")
+
+
+def gram_information(counted: DataFrame, words: Column) -> DataFrame:
+    """(n, gram, info): log2 of the count of the n-gram without its last word (all words for n = 1) over its own."""
+    parent = counted.select((F.col("n") + 1).alias("n"), F.col("gram").alias("_p"), F.col("c").alias("_pc"))
+    joined = counted.withColumn("_p", F.regexp_replace("gram", " [^ ]*$", "")).join(parent, ["n", "_p"], "left")
+    upper = F.when(F.col("n") == 1, words).otherwise(F.col("_pc").cast("double"))
+    return joined.select("n", "gram", F.log2(upper / F.col("c").cast("double")).alias("info"))
+
+
 def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) -> DataFrame:
     """NIST score: information-weighted matches with the length penalty.
 
     ``hyp`` and ``ref`` are word arrays. Information of an n-gram is the log2
-    ratio of its prefix count to its own count over all references.
+    ratio of its prefix count to its own count over all references. Rows with a key
+    of their own are matched where they lie; only n-grams that match anywhere, and their
+    counts, are shuffled.
     """
     tagged = lambda w, n: F.transform(
         word_grams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
@@ -230,20 +273,18 @@ def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) ->
     def side(c, flag):
         return F.transform(grams(c), lambda g: F.struct(g.alias("g"), F.lit(flag).alias("l")))
 
-    sides = [side(hyp, 1), side(ref, 0)]
-    rows = df.select(key, F.explode_outer(F.concat(*sides)).alias("x")).filter("x IS NOT NULL").select(key, "x.g", "x.l")
+    both = df.filter(F.col(hyp).isNotNull() & F.col(ref).isNotNull())
+    once, again = apart(both.select(key, hyp, ref), key)
+    rows = again.select(key, F.explode_outer(F.concat(side(hyp, 1), side(ref, 0))).alias("x")).filter("x IS NOT NULL").select(key, "x.g", "x.l")
     counts = rows.groupBy(key, "g").agg(F.sum("l").alias("ch"), F.sum(1 - F.col("l")).alias("cr"))
-    totals = counts.filter("cr > 0").groupBy("g").agg(F.sum("cr").alias("c"))
+    own = once.select(F.inline(N.matches(F.col(hyp), F.array(ref), max_n)))
+    pairs = own.select("n", "gram", "ch", "cr").unionByName(counts.filter("ch > 0 and cr > 0").select("g.n", "g.gram", "ch", "cr"))
+    met = cut_lineage(pairs.groupBy("n", "gram").agg(F.sum(F.least("ch", "cr")).alias("m")))
     words = df.agg(F.sum(F.size(ref))).scalar().cast("double")
-    prefix = F.struct((F.col("g.n") - 1).alias("n"), F.regexp_replace("g.gram", " [^ ]*$", "").alias("gram"))
-    keyed = totals.withColumn("_p", prefix)
-    parent = totals.select(F.col("g").alias("_p"), F.col("c").alias("_pc"))
-    joined = keyed.join(parent, "_p", "left")
-    upper = F.when(F.col("g.n") == 1, words).otherwise(F.col("_pc").cast("double"))
-    info = joined.select("g", F.log2(upper / F.col("c").cast("double")).alias("info"))
-    matched = counts.filter("ch > 0 and cr > 0").join(info, "g")
-    gain = matched.groupBy(F.col("g.n").alias("n")).agg(F.sum(F.least("ch", "cr") * F.col("info")).alias("gain"))
-    size = counts.groupBy(F.col("g.n").alias("n")).agg(F.sum("ch").cast("double").alias("total"))
+    info = gram_information(cut_lineage(gram_counts(both, F.array(ref), met, max_n)), words)
+    gain = met.join(info, ["n", "gram"]).groupBy("n").agg(F.sum(F.col("m") * F.col("info")).alias("gain"))
+    size = both.agg(F.array(*[F.sum(F.greatest(F.size(hyp) - n + 1, F.lit(0))).cast("double") for n in range(1, max_n + 1)]).alias("t"))
+    size = size.select(F.posexplode("t").alias("n", "total")).withColumn("n", F.col("n") + 1)
     mean = size.join(gain, "n", "left").select(F.try_divide(F.coalesce("gain", F.lit(0.0)), F.col("total")).alias("p"))
     hyp_words = df.agg(F.sum(F.size(hyp))).scalar().cast("double")
     ratio = hyp_words / words
@@ -277,22 +318,22 @@ def corpus_nist_refs(df: DataFrame, key: str, hyp: str, refs: str, max_n: int =
     grams = lambda w: F.flatten(F.array(*[tagged(w, n) for n in range(1, max_n + 1)]))
     listed = F.when(F.size(refs) > 0, F.col(refs)).otherwise(F.array(F.array().cast("array<string>")))
     rows = df.select(F.col(key).alias("_key"), F.col(hyp).alias("h"), listed.alias("r"))
+    once, again = apart(rows, "_key")
     sides = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.col("h").alias("w"))), F.transform("r", lambda w, k: F.struct(k.alias("k"), w.alias("w"))))
-    each = rows.select("_key", F.explode(sides).alias("s")).select("_key", "s.k", F.explode(grams(F.col("s.w"))).alias("g"))
-    counts = cut_lineage(each.groupBy("_key", "g", "k").agg(F.count(F.lit(1)).alias("c")))
-    totals = counts.filter("k >= 0").groupBy("g").agg(F.sum("c").alias("c"))
+    each = again.filter("_key IS NOT NULL").select("_key", F.explode(sides).alias("s")).select("_key", "s.k", F.explode(grams(F.col("s.w"))).alias("g"))
+    counts = each.groupBy("_key", "g", "k").agg(F.count(F.lit(1)).alias("c"))
+    shared = counts.filter("k >= 0").join(counts.filter("k < 0").select("_key", "g", F.col("c").alias("ch")), ["_key", "g"])
+    own = once.select("_key", F.inline(N.matches(F.col("h"), F.col("r"), max_n)))
+    met = own.select("_key", "n", "k", "gram", F.least("ch", "cr").alias("m"))
+    met = cut_lineage(met.unionByName(shared.select("_key", "g.n", "k", "g.gram", F.least("c", "ch").alias("m"))))
     all_words = rows.agg(F.sum(F.aggregate("r", F.lit(0).cast("bigint"), lambda a, w: a + F.size(w)))).scalar().cast("double")
-    parent = totals.select(F.col("g").alias("_p"), F.col("c").alias("_pc"))
-    keyed = totals.withColumn("_p", F.struct((F.col("g.n") - 1).alias("n"), F.regexp_replace("g.gram", " [^ ]*$", "").alias("gram")))
-    upper = F.when(F.col("g.n") == 1, all_words).otherwise(F.col("_pc").cast("double"))
-    info = cut_lineage(keyed.join(parent, "_p", "left").select("g", F.log2(upper / F.col("c").cast("double")).alias("info")))
-    met = counts.filter("k >= 0").join(counts.filter("k < 0").select("_key", "g", F.col("c").alias("ch")), ["_key", "g"]).join(info, "g")
-    gained = met.groupBy("_key", F.col("g.n").alias("n"), "k").agg(F.sum(F.least("c", "ch") * F.col("info")).alias("gain"))
+    info = gram_information(cut_lineage(gram_counts(rows, F.col("r"), met, max_n)), all_words)
+    gained = met.join(info, ["n", "gram"]).groupBy("_key", "n", "k").agg(F.sum(F.col("m") * F.col("info")).alias("gain"))
     base = rows.select("_key", F.size("h").alias("hl"), F.posexplode(F.transform("r", lambda w: F.size(w))).alias("k", "rl"))
     base = base.select("*", F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"))
     base = base.join(gained, ["_key", "n", "k"], "left").withColumns({"gain": F.coalesce("gain", F.lit(0.0)), "den": F.greatest(F.col("hl") - F.col("n") + 1, F.lit(0))})
     # gains that differ by rounding alone are equal
-    best = base.groupBy("_key", "n").agg(F.max(F.struct(F.round(F.coalesce(F.try_divide("gain", F.col("den").cast("double")), F.lit(0.0)), 12), "gain", "den", "rl")).alias("b"), F.max("hl").alias("hl"))
+    best = base.groupBy("_key", "n").agg(F.max(F.struct(F.round(F.coalesce(F.try_divide("gain", F.col("den").cast("double")), F.lit(0.0)), 12), "rl", "gain", "den")).alias("b"), F.max("hl").alias("hl"))
     per_n = best.groupBy("n").agg(F.sum("b.gain").alias("gain"), F.sum("b.den").cast("double").alias("den"), F.sum("b.rl").alias("rl"), F.sum("hl").alias("hl"))
     whole = per_n.agg(F.coalesce(F.sum(F.try_divide("gain", "den")), F.lit(0.0)).alias("s"), F.sum("rl").cast("double").alias("rl"), F.sum("hl").cast("double").alias("hl"))
     ratio, beta = F.try_divide("hl", "rl"), math.log(0.5) / math.log(1.5) ** 2
