@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from parleyspark.llm import shingle_sets
+from parleyspark.llm import shingle_sets, simhash
 
 
 def jaccard(a, b, k=5):
@@ -71,3 +71,13 @@ def test_similarity_is_exact(frame):
     texts = dict(enumerate([*at, *below, "", " "]))
     got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(frame(texts), bands=60, rows=1).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_stage_takes_fingerprint_links(spark, frame):
+    """Texts of one repeated line and words of their own: equal fingerprints, sets that are not similar."""
+    own = lambda k: " ".join(f"v{k}x{i}" for i in range(20))
+    texts = {k: "a b c " * 100 + own(k) for k in range(4)} | {k: own(k) for k in (10, 11)}
+    assert len({simhash.fingerprint(texts[k].encode(), 3) for k in range(4)}) == 1 and jaccard(texts[0], texts[1]) < 0.1
+    texts[12] = texts[11] + " and one more word here"[:4]  # a similar set besides
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(texts), "").collect()}
+    assert left == {0, 10, 11}
