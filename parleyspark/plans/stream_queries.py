@@ -18,9 +18,12 @@ from parleyspark.streaming import live
 
 
 def table_stream(spark, sf, name):
-    """One table of the folder as a stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """One table of the folder as a stream, be it one file or a folder of parts."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    stream = spark.readStream.schema(table(spark, sf, name).schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(f"{sf}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a stream reads folders only
 
 
 def run_folder(spark) -> str:
