@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 
 from parleyspark.llm.common import keep
 
-LEAF = 24
+LEAF = 256
 #: Points that are scored before the worst score is looked at again.
-BATCH = 256
+BATCH = 4096
+#: A node with more than one centre for so many of its points stays a leaf: points that lie apart are scored together.
+CROWDED = 16
 
 
 class Tree:
     """A cover tree, built from the top: a node's children are centres more than half its scale apart, each with
     the points within half the scale that are nearest to it. `radius` is the distance to the farthest point
-    below, rounded up. Points of a node are a stretch of `order`; nodes of at most LEAF points have no children."""
+    below, rounded up. Points of a node are a stretch of `order`; nodes of at most LEAF points, or of points that are nearly all
+    over half the scale apart, have no children."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -64,8 +67,10 @@ class Tree:
                 owner[at], near[at] = len(centres), 0.0
                 centres.append(own[at])
                 at = int(near.argmax())
-                if near[at] <= scale:
+                if near[at] <= scale or len(centres) > len(own) // CROWDED:
                     break
+            if near[at] > scale:
+                continue
             ranked = np.argsort(owner, kind="stable")
             self.order[lo:hi] = own[ranked]
             ends = np.searchsorted(owner[ranked], np.arange(len(centres) + 1))
@@ -123,9 +128,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
     def score(rows: np.ndarray, nodes: np.ndarray) -> None:
         cols = np.concatenate([right.order[slice(*right.span[n])] for n in nodes])
         found = (rows_of[rows] @ cols_of[cols].T).astype(np.int64)
-        for i, row in enumerate(rows):
-            own = ids[cols] != query_ids[row]
-            best.offer(row, found[i][own], ids[cols][own])
+        least = np.iinfo(np.int64).min
+        found[query_ids[rows][:, None] == ids[cols]] = least
+        useful = (found > least) & (found >= best.worst[rows][:, None])
+        if len(cols) > k:  # no more than the k best, and those equal to the last of them
+            useful &= found >= np.partition(found, len(cols) - k, axis=1)[:, len(cols) - k, None]
+        for i in np.flatnonzero(useful.any(1)):
+            best.offer(rows[i], found[i][useful[i]], ids[cols][useful[i]])
 
     todo = [(0, np.array([0]))]
     while todo:
