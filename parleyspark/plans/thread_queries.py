@@ -19,7 +19,7 @@ from parleyspark.operators import threads as Th
 from parleyspark.operators import windows as Wi
 from parleyspark.plans import frames as B
 from parleyspark.plans.registry import query
-from parleyspark.session import cut_lineage, table
+from parleyspark.session import computed_once, cut_lineage, table
 
 
 def order_hash(tag, key):
@@ -536,8 +536,9 @@ def attention_training(spark, sf):
     """Split texts as four-slot examples: train the attention, then score them."""
     from parleyspark.operators.training import train_attention
 
-    d = B.labelled(spark, sf).withColumn("toks", T.tokens(F.col("text"))).withColumn("parts", T.four_way_split(F.col("toks")))
-    pieces = d.filter("parts IS NOT NULL").select("doc_id", (1 - F.col("label")).alias("y"), F.posexplode("parts").alias("pos", "text"))
+    # a filter on the pieces would be pushed into the scan and tokenise there once for every use of the tokens
+    d = computed_once(B.labelled(spark, sf).select("doc_id", "label", "text"), toks=T.tokens(F.col("text")))
+    pieces = d.select("doc_id", (1 - F.col("label")).alias("y"), F.posexplode(T.four_way_split(F.col("toks"))).alias("pos", "text"))
     feats = A.with_features(pieces, "text", ABUSE_STEMS, BENIGN_STEMS)
     slots = feats.groupBy("doc_id", "y").agg(F.sort_array(F.collect_list(F.struct("pos", "feats"))).alias("_s"))
     rows = cut_lineage(slots.select("doc_id", "y", F.col("_s.feats").alias("slots")))
