@@ -81,3 +81,46 @@ def test_stage_takes_fingerprint_links(spark, frame):
     texts[12] = texts[11] + " and one more word here"[:4]  # a similar set besides
     left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(texts), "").collect()}
     assert left == {0, 10, 11}
+
+
+def crowded(seed=7):
+    """Near copies in pairs, all of one template, of which each pair has a seventh in words of its own: no two pairs are similar."""
+    draw, texts = np.random.default_rng(seed), {}
+    for k in range(80):
+        one = [f"w{x}" for x in range(174)] + [f"v{k}x{x}" for x in range(26)]
+        two = list(one)
+        for at in draw.choice(34, 4, replace=False) * 5:
+            two[at] = f"u{draw.integers(0, 10**9)}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(one), " ".join(two)
+    return texts
+
+
+def test_all_similar_sets_of_crowded_buckets_link(frame):
+    """Every near copy is found, also where it stands in crowded buckets only and meets two other sets there."""
+    texts = crowded()
+    want = brute(texts)
+    assert len(set(want.values())) == 80 and 0.7 < jaccard(texts[0], texts[2]) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(frame(texts), bands=8, crowd=8, near=1).collect()}
+    assert got == want
+
+
+def test_pairs_are_decided_in_shares(frame, monkeypatch):
+    monkeypatch.setattr(shingle_sets, "SHARE", 0.05)
+    monkeypatch.setattr(shingle_sets, "GROUP", 4)
+    texts = copies(5, 1, 90, changes=(3, 4, 5))
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_copies(frame(texts), crowd=4, near=1).collect()}
+    assert got == brute(texts)
+
+
+def test_first_shingles_hold_all_similar_pairs(spark):
+    """Random sets of unlike sizes: every pair at 0.8 or more is among the pairs, few others are."""
+    draw, sets = np.random.default_rng(3), []
+    for k in range(120):
+        n = int(draw.integers(1, 60))
+        own = draw.integers(-(2**63), 2**63, n, np.int64)
+        sets.append(np.unique(own))
+        sets.append(np.unique(np.concatenate([own[int(draw.integers(0, max(1, n // 4))) :], draw.integers(-(2**63), 2**63, int(draw.integers(0, 4)), np.int64)])))
+    df = spark.createDataFrame([(k, k, x.tolist()) for k, x in enumerate(sets)], "node bigint, component bigint, hashes array<bigint>")
+    got = {(r["a"], r["b"]) for r in shingle_sets.across(df, 0.8, 2).collect()}
+    alike = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(x))}
+    assert alike and alike <= got and len(got) < 2 * len(alike) + 60
