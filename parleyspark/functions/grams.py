@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose n-grams are counted at once.
-SLICE = 512
+#: Rows whose n-grams are counted at once, and words of such rows where they leave as rows of a table.
+SLICE, WORDS = 512, 1 << 16
 #: Hashes of n-grams are numbers below this prime; masks of them have at most 2**MOST_BITS bits.
 PRIME, MOST_BITS = 2147483629, 27
 RECORD = pa.struct([("n", pa.int32()), ("k", pa.int32()), ("gram", pa.string()), ("ch", pa.int64()), ("cr", pa.int64())])
@@ -118,25 +118,96 @@ def clipped(hyp: Column, refs: Column, orders: int) -> Column:
     return run(hyp, refs)
 
 
+def _matches(h: pa.Array, r: pa.Array, orders: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rows, records): by order, the n-grams that the hypothesis and a reference of some rows both have."""
+    sides = Sides.of(h, r)
+    for n, begins, ids, first in sides.grams(orders):
+        ch, gram, k, c = sides.counts(begins, ids)
+        met = ch[gram] > 0
+        gram, k, c = gram[met], k[met], c[met]
+        yield sides.row[sides.run[first[gram]]], _records(n, k, sides.texts(first[gram], n), ch[gram], c)
+
+
+def _masked(r: pa.Array, orders: int, held: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rows, records): by order, the n-grams of the references of some rows whose bit is set."""
+    sides = Sides.of(None, r)
+    if not len(sides.codes):
+        return
+    value, power = sides.hashes()
+    hashed = np.zeros(len(sides.codes), np.int64)
+    for n, begins, ids, first in sides.grams(orders):
+        last = sides.codes[begins + n - 1]
+        hashed[begins] = (hashed[begins] * power[last] + value[last]) % PRIME
+        place = _place(hashed[first], len(held).bit_length() + 2)
+        found = np.flatnonzero(held[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+        c = np.bincount(ids)[found]
+        yield sides.row[sides.run[first[found]]], _records(n, np.zeros(len(c), np.int64), sides.texts(first[found], n), c, c)
+
+
+def _listed(n_rows: int, found) -> pa.Array:
+    """Records of found(at, number of rows), slice by slice, listed by row."""
+    rows, parts = [], []
+    for at in _slices(n_rows):
+        for row, records in found(at, SLICE):
+            rows.append(at + row)
+            parts.append(records)
+    return _nested(rows, parts, n_rows)
+
+
 def matches(hyp: Column, refs: Column, orders: int) -> Column:
     """Records (n, k, gram, ch, cr) of the n-grams that the hypothesis and reference k both have."""
 
     @F.arrow_udf(RECORDS)
     def run(h: pa.Array, r: pa.Array) -> pa.Array:
-        rows, parts = [], []
-        for at in _slices(len(h)):
-            sides = Sides.of(h.slice(at, SLICE), r.slice(at, SLICE))
-            for n, begins, ids, first in sides.grams(orders):
-                ch, gram, k, c = sides.counts(begins, ids)
-                met = ch[gram] > 0
-                gram, k, c = gram[met], k[met], c[met]
-                rows.append(at + sides.row[sides.run[first[gram]]])
-                parts.append(_records(n, k, sides.texts(first[gram], n), ch[gram], c))
-        return _nested(rows, parts, len(h))
+        return _listed(len(h), lambda at, size: _matches(h.slice(at, size), r.slice(at, size), orders))
 
     return run(hyp, refs)
 
 
+def _stretches(*sides: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of stretches with at most WORDS words, or one row, and at most SLICE rows."""
+    counts = np.zeros(len(sides[0]), np.int64)
+    for x in sides:
+        if pa.types.is_list(x.type.value_type):
+            counts += np.diff(x.values.offsets.to_numpy()[x.offsets.to_numpy()])
+        else:
+            counts += np.diff(x.offsets.to_numpy())
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, side="right"))
+        size = min(max(most - at, 1), SLICE)
+        yield at, size
+        at += size
+
+
+def _as_rows(df: DataFrame, found) -> DataFrame:
+    """Records of found(hypotheses, references) as rows (_key, n, k, gram, ch, cr) of df (_key, sides).
+
+    They leave in batches of a stretch and an order, so a worker holds few of them however many rows a batch has.
+    """
+    key = df.schema["_key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, *sides = batch.columns
+            for at, size in _stretches(*sides):
+                for row, records in found(*[x.slice(at, size) for x in sides]):
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at + row)), *records.flatten()], ["_key", "n", "k", "gram", "ch", "cr"])
+
+    return df.mapInArrow(run, f"_key {key}, n int, k int, gram string, ch bigint, cr bigint")
+
+
+def match_rows(df: DataFrame, key: str, hyp: Column, refs: Column, orders: int) -> DataFrame:
+    """(_key, n, k, gram, ch, cr): `matches` as rows."""
+    return _as_rows(df.select(F.col(key).alias("_key"), hyp.alias("h"), refs.alias("r")), lambda h, r: _matches(h, r, orders))
+
+
+def masked_rows(df: DataFrame, refs: Column, orders: int, held: np.ndarray) -> DataFrame:
+    """(_key, n, k, gram, ch, cr): `masked` as rows; _key is null."""
+    return _as_rows(df.select(F.lit(None).cast("int").alias("_key"), refs.alias("r")), lambda r: _masked(r, orders, held))
+
+
 def mask(grams: DataFrame, gram: str) -> np.ndarray:
     """A bit for each hash that an n-gram of the table has. Its size follows the rows up to a bound; a text's hash is that of its bytes."""
     bits = min(max(16 * grams.count(), 1 << 16).bit_length(), MOST_BITS)
@@ -162,21 +233,6 @@ def masked(refs: Column, orders: int, held: np.ndarray) -> Column:
 
     @F.arrow_udf(RECORDS)
     def run(r: pa.Array) -> pa.Array:
-        rows, parts = [], []
-        for at in _slices(len(r)):
-            sides = Sides.of(None, r.slice(at, SLICE))
-            if not len(sides.codes):
-                continue
-            value, power = sides.hashes()
-            hashed = np.zeros(len(sides.codes), np.int64)
-            for n, begins, ids, first in sides.grams(orders):
-                last = sides.codes[begins + n - 1]
-                hashed[begins] = (hashed[begins] * power[last] + value[last]) % PRIME
-                place = _place(hashed[first], len(held).bit_length() + 2)
-                found = np.flatnonzero(held[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                c = np.bincount(ids)[found]
-                rows.append(at + sides.row[sides.run[first[found]]])
-                parts.append(_records(n, np.zeros(len(c), np.int64), sides.texts(first[found], n), c, c))
-        return _nested(rows, parts, len(r))
+        return _listed(len(r), lambda at, size: _masked(r.slice(at, size), orders, held))
 
     return run(refs)

@@ -245,7 +245,7 @@ def sentence_bleu(df: DataFrame, key: str, hyp: str, refs: str, max_n: int = 4)
 def gram_counts(rows: DataFrame, refs: Column, met: DataFrame, max_n: int) -> DataFrame:
     """(n, gram, c): how often all references hold each n-gram of met (n, gram); others stay in their rows."""
     needed = met.select("n", "gram").distinct()
-    found = rows.select(F.inline(N.masked(refs, max_n, N.mask(needed, "gram"))))
+    found = N.masked_rows(rows, refs, max_n, N.mask(needed, "gram"))
     return found.groupBy("n", "gram").agg(F.sum("cr").alias("c")).join(needed, ["n", "gram"], "left_semi")
 
 
@@ -277,7 +277,7 @@ def corpus_nist(df: DataFrame, key: str, hyp: str, ref: str, max_n: int = 5) ->
     once, again = apart(both.select(key, hyp, ref), key)
     rows = again.select(key, F.explode_outer(F.concat(side(hyp, 1), side(ref, 0))).alias("x")).filter("x IS NOT NULL").select(key, "x.g", "x.l")
     counts = rows.groupBy(key, "g").agg(F.sum("l").alias("ch"), F.sum(1 - F.col("l")).alias("cr"))
-    own = once.select(F.inline(N.matches(F.col(hyp), F.array(ref), max_n)))
+    own = N.match_rows(once, key, F.col(hyp), F.array(ref), max_n)
     pairs = own.select("n", "gram", "ch", "cr").unionByName(counts.filter("ch > 0 and cr > 0").select("g.n", "g.gram", "ch", "cr"))
     met = cut_lineage(pairs.groupBy("n", "gram").agg(F.sum(F.least("ch", "cr")).alias("m")))
     words = df.agg(F.sum(F.size(ref))).scalar().cast("double")
@@ -323,7 +323,7 @@ def corpus_nist_refs(df: DataFrame, key: str, hyp: str, refs: str, max_n: int =
     each = again.filter("_key IS NOT NULL").select("_key", F.explode(sides).alias("s")).select("_key", "s.k", F.explode(grams(F.col("s.w"))).alias("g"))
     counts = each.groupBy("_key", "g", "k").agg(F.count(F.lit(1)).alias("c"))
     shared = counts.filter("k >= 0").join(counts.filter("k < 0").select("_key", "g", F.col("c").alias("ch")), ["_key", "g"])
-    own = once.select("_key", F.inline(N.matches(F.col("h"), F.col("r"), max_n)))
+    own = N.match_rows(once, "_key", F.col("h"), F.col("r"), max_n)
     met = own.select("_key", "n", "k", "gram", F.least("ch", "cr").alias("m"))
     met = cut_lineage(met.unionByName(shared.select("_key", "g.n", "k", "g.gram", F.least("c", "ch").alias("m"))))
     all_words = rows.agg(F.sum(F.aggregate("r", F.lit(0).cast("bigint"), lambda a, w: a + F.size(w)))).scalar().cast("double")
